@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from lodestrand.operators import quantities, snapshots
+
+QUERIES: dict = {
+    "p2_found": snapshots.p2_found,
+    "p2_changes": snapshots.p2_changes,
+    "p4_found": quantities.p4_found,
+    "p4_amounts": quantities.p4_amounts,
+}
 SQL: dict[str, str] = {}
