@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import near_duplicates
+from lodestrand.llm import leaks, near_duplicates, splitting
 
 QUERIES = {
     "p1_found": near_duplicates.p1_found,
     "p1_groups": near_duplicates.p1_groups,
+    "p5_found": splitting.p5_found,
+    "p5_pieces": splitting.p5_pieces,
+    "p6_found": leaks.p6_found,
+    "p6_report": leaks.p6_report,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p5_found": splitting.P5_FOUND_SQL}
