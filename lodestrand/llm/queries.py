@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestrand.llm import leaks, near_duplicates, splitting
+from lodestrand.llm import leaks, near_duplicates, pii, splitting
 
 QUERIES = {
     "p1_found": near_duplicates.p1_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p5_pieces": splitting.p5_pieces,
     "p6_found": leaks.p6_found,
     "p6_report": leaks.p6_report,
+    "p8_found": pii.p8_found,
+    "p8_redacted": pii.p8_redacted,
 }
 
 SQL: dict[str, str] = {"p5_found": splitting.P5_FOUND_SQL}
