@@ -1,8 +1,8 @@
 """Personal data in free text, found by a character tagger and replaced by typed placeholders.
 
 A text is mapped character by character to half-width forms with all digits alike, cut into
-segments at sentence and clause ends, and long segments into overlapping windows of WINDOW
-characters. The tagger (bidirectional LSTM with CRF, `lodestrand.llm.tagger`) decodes each
+segments at sentence and clause ends, short numbers within them are shortened to one digit, and
+long segments are cut into overlapping windows of WINDOW characters. The tagger (bidirectional LSTM with CRF, `lodestrand.llm.tagger`) decodes each
 distinct segment once per worker: texts repeat phrases, and equal input has equal output. The
 spans of all windows of a text are then reconciled together: of overlapping spans the union stands
 if they are of one kind, else the longer one. An exact check of form follows: an e-mail address
@@ -33,8 +33,9 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 HALF = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if chr(c) not in "，；：！？"} | {0x3000: 32, 0xA0: 32, 13: 10, 0x2007: 32, 0x202F: 32}
 SHAPE = HALF | {ord(c): "0" for c in "0123456789"} | {c: "0" for c in range(0xFF10, 0xFF1A)}
-CODE = re.compile(r"[A-Z]+(?=0)|(?<=0)[A-Z]+")
-BREAK = re.compile(r"[。！？；，]+|\n+|\t|(?<=[^\s.]{3}[.!?])(?<!Mrs\.)(?<!gez\.) +(?=[A-ZÄÖÜ])|(?m:^(?:[A-Z][a-z]{3,8}: |[一-鿿]{2}：))")
+CODE = re.compile(r"[A-Z]+(?=-?0)|(?<=0)[A-Z]+")
+NUMBER = re.compile(r"(?<![\w.+(/@-])(?<!0 )0{1,3}(?:\.0{1,2})?(?![\w./@-]| ?[0(])|(?<=[一-鿿])0{1,3}(?:\.0{1,2})?(?=[^0A-Za-z ./@-]|[KNVm%LMΩk])")
+BREAK = re.compile(r"[。！？；，]+|; |, (?=[a-zäöü])|\n+|\t|(?<=[^\s.]{3}[.!?])(?<!Mrs\.)(?<!gez\.) +(?=[A-ZÄÖÜ])|(?m:^(?:[A-Z][a-z]{3,8}: |[一-鿿]{2}：))")
 MAIL = re.compile(r"[A-Za-z0-9_.+-]+(?: ?@ ?| ?[(\[{] ?at ?[)\]}] ?| at )[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]+)+", re.I)
 EXTENSION = re.compile(r"ext|[x转]", re.I)
 EDGE = re.compile(r"[^\w+(]+")
@@ -53,6 +54,20 @@ def shape(text: str) -> str:
     return CODE.sub(lambda m: "A" * len(m[0]), text.translate(SHAPE))
 
 
+def shorten(segment: str) -> str:
+    """The segment with each short number as the digit 1; this is what is decoded and remembered."""
+    return NUMBER.sub("1", segment)
+
+
+def places(segment: str) -> list[int]:
+    """For each place in the shortened segment, and its end, the place in the segment."""
+    out, at = [], 0
+    for m in NUMBER.finditer(segment):
+        out += range(at, m.start() + 1)
+        at = m.end()
+    return [*out, *range(at, len(segment) + 1)]
+
+
 def segments(shaped: str) -> list[tuple[int, int]]:
     out, start = [], 0
     for m in BREAK.finditer(shaped):
@@ -136,14 +151,18 @@ def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     cut = []
     for text in texts:
         shaped = shape(text) if text else ""
-        cut.append([(a, shaped[a:b]) for a, b in segments(shaped)])
-    new = list({part for parts in cut for _, part in parts if part not in known})
+        cut.append([(a, shorten(own), own) for a, b in segments(shaped) for own in (shaped[a:b],)])
+    new = list({part for parts in cut for _, part, _ in parts if part not in known})
     for start in range(0, len(new), 20_000):
         some = new[start : start + 20_000]
         known.update(zip(some, decode(some, _state["tagger"])))
     out = []
     for text, parts in zip(texts, cut):
-        spans = [(at + a, at + b, kind) for at, part in parts if (own := known[part]) for a, b, kind in own]
+        spans = []
+        for at, part, own in parts:
+            if found := known[part]:
+                back = places(own)
+                spans += [(at + back[a], at + back[b], kind) for a, b, kind in found]
         if spans:
             flat = plain(text)
             spans = reconcile([(s, e, kind) for a, b, kind in spans for s, e in confirm(flat, a, b, kind)])

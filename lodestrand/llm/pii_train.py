@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import time
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -28,10 +29,11 @@ def examples(texts: list[str]) -> tuple[dict[str, list], dict[str, int]]:
     for text in texts:
         labels, shaped = pii_labels.spans(pii.plain(text)), pii.shape(text)
         for a, b in pii.segments(shaped):
-            times[shaped[a:b]] = times.get(shaped[a:b], 0) + 1
-            own = [(max(s, a) - a, min(e, b) - a, kind) for s, e, kind in labels if s < b and e > a]
-            if own or shaped[a:b] not in out:
-                out[shaped[a:b]] = own
+            back, key = pii.places(shaped[a:b]), pii.shorten(shaped[a:b])
+            times[key] = times.get(key, 0) + 1
+            own = [(bisect_left(back, max(s, a) - a), bisect_left(back, min(e, b) - a), kind) for s, e, kind in labels if s < b and e > a]
+            if own or key not in out:
+                out[key] = own
     return out, times
 
 

@@ -27,7 +27,7 @@ class Tagger:
         self.tables: dict[str, np.ndarray] | None = None
 
     @classmethod
-    def new(cls, alphabet: str, width: int = 24, hidden: int = 32, seed: int = 7) -> Tagger:
+    def new(cls, alphabet: str, width: int = 20, hidden: int = 24, seed: int = 7) -> Tagger:
         r = np.random.default_rng(seed)
         w = {"E": r.normal(0, 0.3, (len(alphabet) + 1, width))}
         for d in "fb":
@@ -53,17 +53,28 @@ class Tagger:
     def _states(self, d: str, x: np.ndarray) -> np.ndarray:
         """Hidden states (time, batch, hidden) of one direction over codes (time, batch)."""
         if self.tables is None:
-            self.tables = {k: np.ascontiguousarray(self.w["E"] @ self.w[f"{k}W"] + self.w[f"{k}b"]) for k in "fb"}
-        table, u = self.tables[d], self.w[f"{d}U"]
+            # half of a sigmoid gate's input, as sigmoid(x) = (1 + tanh(x / 2)) / 2; one tanh then does all gates
+            n = self.w["fU"].shape[0]
+            half = np.r_[np.full(3 * n, 0.5), np.ones(n)].astype(np.float32)
+            self.tables = {k: np.ascontiguousarray((self.w["E"] @ self.w[f"{k}W"] + self.w[f"{k}b"]) * half) for k in "fb"}
+            self.tables |= {f"{k}U": np.ascontiguousarray(self.w[f"{k}U"] * half) for k in "fb"}
+        table, u = self.tables[d], self.tables[f"{d}U"]
         n = u.shape[0]
-        h, c = (np.zeros((x.shape[1], n), np.float32) for _ in "hc")
+        h, c, s = (np.zeros((x.shape[1], n), np.float32) for _ in "hcs")
+        z = np.empty((x.shape[1], 4 * n), np.float32)
         out = np.empty((len(x), x.shape[1], n), np.float32)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            z = h @ u
+            np.matmul(h, u, out=z)
             z += table[x[t]]
-            z[:, : 3 * n] = _sigmoid(z[:, : 3 * n])
-            c = z[:, n : 2 * n] * c + z[:, :n] * np.tanh(z[:, 3 * n :])
-            h = out[t] = z[:, 2 * n : 3 * n] * np.tanh(c)
+            np.tanh(z, out=z)
+            z[:, : 3 * n] += 1
+            np.multiply(z[:, :n], z[:, 3 * n :], out=s)
+            c *= z[:, n : 2 * n]
+            c += s
+            c *= 0.5
+            np.tanh(c, out=s)
+            s *= z[:, 2 * n : 3 * n]
+            h = np.multiply(s, 0.5, out=out[t])
         return out
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -85,20 +96,18 @@ class Tagger:
 
     def _best(self, s: np.ndarray) -> np.ndarray:
         """Tags (time, batch) of the best paths."""
-        v = s[0] + self.w["S"]
-        back = np.empty(s.shape, np.int8)
-        to = np.ascontiguousarray(self.w["T"].T)
+        s = np.ascontiguousarray(s.transpose(0, 2, 1))
+        trans = self.w["T"]
+        v = np.empty_like(s)
+        v[0] = s[0] + self.w["S"][:, None]
         for t in range(1, len(s)):
-            m = v[:, None, :] + to
-            back[t] = m.argmax(2)
-            v = m.max(2) + s[t]
-        tag = (v + self.w["F"]).argmax(1)
-        out = np.empty(s.shape[:2], np.int8)
-        each = np.arange(s.shape[1])
+            np.add((v[t - 1][:, None] + trans[:, :, None]).max(0), s[t], out=v[t])
+        out = np.empty((len(s), s.shape[2]), np.int8)
+        tag = (v[-1] + self.w["F"][:, None]).argmax(0)
         for t in range(len(s) - 1, -1, -1):
             out[t] = tag
-            if t:
-                tag = back[t][each, tag]
+            if t:  # the best way to this tag is found again, so no pointers are kept
+                tag = (v[t - 1] + trans[:, tag]).argmax(0)
         return out
 
     # Training
