@@ -27,10 +27,10 @@ from lodestrand.session import spread
 
 MODEL = os.path.join(os.path.dirname(__file__), "residue_model.npz")
 KINDS = ("placeholder", "filler", "notice")
-ORDER, BITS, ALPHABET = 5, 17, 4000
+ORDER, ALPHABET = 5, 4000
 CLIP = 4.0
 #: The least sum of a window of each kind, and the least share of the text that it must cover.
-LEAST_SUM = {"placeholder": 7.4, "filler": 5.0, "notice": 12.0}
+LEAST_SUM = {"placeholder": 7.8, "filler": 4.5, "notice": 12.0}
 LEAST_COVER = {"placeholder": 0.0, "filler": 0.6, "notice": 0.6}
 MEMORY = 200_000
 
@@ -41,69 +41,64 @@ def normal(text: str) -> str:
     return " ".join(text.split())
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets (order + 1, characters) of the runs of 0 to ORDER characters that end at each place."""
-    padded = "\x02" * ORDER + text + "\x03"
+def runs(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ORDER + 1, characters + 1) of the runs of 0 to ORDER characters that end at each place,
+    the end of the text being one, and (ORDER, ...) of the runs that end just before it."""
+    padded = "\x02" * (ORDER + 1) + text + "\x03"
     a = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    n = len(text) + 1
-    out = np.zeros((ORDER + 1, n), np.int64)
-    h = np.zeros(n, np.uint64)
+    n = len(text) + 2
+    out = np.zeros((ORDER + 1, n), np.uint64)
     for k in range(1, ORDER + 1):
-        h = (h ^ a[ORDER - k + 1 : ORDER - k + 1 + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        out[k] = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    return out
-
-
-def contexts(text: str) -> np.ndarray:
-    """Buckets of the runs of 0 to ORDER - 1 characters just before each place."""
-    padded = "\x02" * ORDER + text + "\x03"
-    a = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    n = len(text) + 1
-    out = np.zeros((ORDER, n), np.int64)
-    h = np.zeros(n, np.uint64)
-    for k in range(1, ORDER):
-        h = (h ^ a[ORDER - k : ORDER - k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        out[k] = (h >> np.uint64(64 - BITS)).astype(np.int64)
-    return out
+        h = (out[k - 1] ^ a[ORDER + 1 - k : ORDER + 1 - k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out[k] = h ^ (h >> np.uint64(32))
+    out = (out >> np.uint64(32)).astype(np.uint32)
+    return out[:, 1:], out[:ORDER, :-1]
 
 
 class Model:
-    """Counts of runs, of their uses as contexts, and of the distinct characters seen after them."""
+    """Of each order: the hashes of runs with their counts, and of contexts with their uses and distinct successors."""
 
-    def __init__(self, runs: np.ndarray, uses: np.ndarray, kinds: np.ndarray):
-        self.runs, self.uses, self.kinds = runs, uses, kinds
+    def __init__(self, tables: list[tuple[np.ndarray, ...]]):
+        self.tables = tables
 
     @classmethod
     def fit(cls, texts: list[str]) -> Model:
-        runs, uses, kinds = (np.zeros((k, 1 << BITS), np.float32) for k in (ORDER + 1, ORDER, ORDER))
-        seen: list[set] = [set() for _ in range(ORDER)]
-        for text in texts:
-            g, c = grams(text), contexts(text)
-            for k in range(ORDER + 1):
-                np.add.at(runs[k], g[k], 1)
-            for k in range(ORDER):
-                np.add.at(uses[k], c[k], 1)
-                seen[k].update(zip(c[k].tolist(), g[k + 1].tolist()))
+        both = [runs(t) for t in texts]
+        g, c = (np.concatenate([b[k] for b in both], axis=1) for k in (0, 1))
+        tables = []
         for k in range(ORDER):
-            at = np.array([c for c, _ in seen[k]], np.int64)
-            np.add.at(kinds[k], at, 1)
-        return cls(runs, uses, kinds)
+            keys, counts = np.unique(g[k + 1], return_counts=True)
+            contexts, uses = np.unique(c[k], return_counts=True)
+            pairs = np.unique(np.stack([c[k], g[k + 1]]), axis=1)
+            different = np.unique(pairs[0], return_counts=True)[1]
+            tables.append((keys, counts.astype(np.int32), contexts, uses.astype(np.int32), different.astype(np.int32)))
+        return cls(tables)
 
     def log(self, g: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The logarithm of each character's probability."""
+        """The logarithm of each character's probability, by Witten-Bell interpolation."""
+
+        def at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+            k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return np.where(keys[k] == wanted, values[k], 0)
+
         p = np.full(g.shape[1], 1 / ALPHABET, np.float64)
-        for k in range(ORDER):
-            used, different = self.uses[k][c[k]], self.kinds[k][c[k]]
-            total = used + different
-            p = np.where(total > 0, (np.minimum(self.runs[k + 1][g[k + 1]], used) + different * p) / np.maximum(total, 1), p)
+        for k, (keys, counts, contexts, uses, different) in enumerate(self.tables):
+            used, kinds = at(contexts, uses, c[k]), at(contexts, different, c[k])
+            total = used + kinds
+            p = np.where(total > 0, (at(keys, counts, g[k + 1]) + kinds * p) / np.maximum(total, 1), p)
         return np.log(p)
 
 
+PARTS = ("keys", "counts", "contexts", "uses", "different")
+
+
+def save(models: dict[str, Model], path: str) -> None:
+    np.savez_compressed(path, **{f"{kind}_{k}_{part}": x for kind, m in models.items() for k, t in enumerate(m.tables) for part, x in zip(PARTS, t)})
+
+
 def load(path: str = MODEL) -> dict[str, Model]:
     with np.load(path) as z:
-        return {kind: Model(*(z[f"{kind}_{part}"].astype(np.float32) for part in ("runs", "uses", "kinds"))) for kind in ("prose", *KINDS)}
+        return {kind: Model([tuple(z[f"{kind}_{k}_{part}"] for part in PARTS) for k in range(ORDER)]) for kind in ("prose", *KINDS)}
 
 
 def window(ratio: np.ndarray) -> tuple[int, int, float]:
@@ -116,18 +111,23 @@ def window(ratio: np.ndarray) -> tuple[int, int, float]:
     return start, end + 1, float(gain[end])
 
 
-def examine(text: str, models: dict[str, Model]) -> list[tuple[str, int, int, float, float]]:
-    """(kind, start, end, sum, coverage) of the best window of each kind over the normalised text."""
-    text = normal(text)
-    if not text:
-        return []
-    g, c = grams(text), contexts(text)
-    prose, out = models["prose"].log(g, c), []
-    for kind in KINDS:
-        ratio = np.clip(models[kind].log(g, c) - prose, -CLIP, CLIP)  # the last place is the text's end
-        start, end, total = window(ratio)
-        end = min(end, len(text))
-        out.append((kind, min(start, end - 1), end, total, (end - min(start, end - 1)) / len(text)))
+def examine(texts: list[str], models: dict[str, Model]) -> list[list[tuple[str, int, int, float, float]]]:
+    """(kind, start, end, sum, coverage) of the best window of each kind over each normalised text."""
+    texts = [normal(t) for t in texts]
+    both = [runs(t) for t in texts]
+    g, c = (np.concatenate([b[k] for b in both], axis=1) for k in (0, 1))
+    prose = models["prose"].log(g, c)
+    ratios = {kind: np.clip(models[kind].log(g, c) - prose, -CLIP, CLIP) for kind in KINDS}
+    out, at = [], 0
+    for text in texts:
+        own = []
+        for kind, ratio in ratios.items() if text else ():
+            start, end, total = window(ratio[at : at + len(text) + 1])  # the last place is the text's end
+            end = min(end, len(text))
+            start = min(start, end - 1)
+            own.append((kind, start, end, total, (end - start) / len(text)))
+        out.append(own)
+        at += len(text) + 1
     return out
 
 
@@ -139,20 +139,27 @@ def residue(found: list[tuple[str, int, int, float, float]]) -> list[tuple[str,
 _state: dict = {"models": None, "known": {}}
 
 
-def judge(text: str) -> list[tuple[str, int, int, float, float]]:
+def judge(texts: list[str]) -> list[list[tuple[str, int, int, float, float]]]:
+    """The residue of each text; equal texts are examined once per worker."""
     if _state["models"] is None:
         _state["models"] = load()
     known = _state["known"]
-    if text not in known:
-        if len(known) > MEMORY:
-            known.clear()
-        known[text] = residue(examine(text, _state["models"]))
-    return known[text]
+    if len(known) > MEMORY:
+        known.clear()
+    new = list({t for t in texts if t not in known})
+    start, size = 0, 0
+    for k, t in enumerate(new):
+        size += len(t)
+        if size > 200_000 or k + 1 == len(new):
+            known.update(zip(new[start : k + 1], map(residue, examine(new[start : k + 1], _state["models"]))))
+            start, size = k + 1, 0
+    return [known[t] for t in texts]
 
 
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(i, f, n, *w) for i, f, n, t in zip(pdf["id"], pdf["field_name"], pdf["nth"], pdf["text"]) for w in judge(t)]
+        found = judge(pdf["text"].tolist())
+        rows = [(i, f, n, *w) for i, f, n, own in zip(pdf["id"], pdf["field_name"], pdf["nth"], found) for w in own]
         yield pd.DataFrame(rows, columns=["id", "field_name", "nth", "kind", "start", "end", "score", "coverage"])
 
 

@@ -71,15 +71,15 @@ def main(source: str, out: str = residue.MODEL) -> None:
     models = {"prose": residue.Model.fit(sample["prose"])}
     for kind in residue.KINDS:
         models[kind] = residue.Model.fit(sample[kind] * 3 + [residue.normal(t) for t in extra[kind]])
-    np.savez_compressed(out, **{f"{k}_{p}": np.minimum(getattr(m, p), 60_000).astype(np.uint16) for k, m in models.items() for p in ("runs", "uses", "kinds")})
+    residue.save(models, out)
     evaluate(held)
 
 
 def evaluate(values: list[str], show: int = 60) -> None:
     models = residue.load()
     wrong, counts = [], {"tp": 0, "fp": 0, "fn": 0}
-    for text in values:
-        found, true = residue.examine(text, models), bool(label(text))
+    for text, found in zip(values, residue.examine(values, models)):
+        true = bool(label(text))
         said = bool(residue.residue(found))
         if said or true:
             counts["tp" if said and true else "fp" if said else "fn"] += 1
