@@ -1,0 +1,607 @@
+"""The core's queries over the tables, each with the SQL that gives the same rows where SQL can say it."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestrand.functions import metrics as M
+from lodestrand.functions import text as X
+from lodestrand.operators import attribution, audit, chunking, claims, evaluation, ingest, keyword_index, plugins, retrieval, serving, tables
+from lodestrand.session import has_shared_folder, table
+from lodestrand.streaming import windows
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+# Parts of SQL
+
+HAN = "[一-鿿]"
+
+
+def sql_tokens(c: str) -> str:
+    pieces = f"list_transform(regexp_extract_all(lower({c}), '{HAN}+'), lambda r: list_concat(list_transform(range(1, length(r) + 1), lambda i: substr(r, i, 1)), list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))"
+    return f"list_concat(flatten({pieces}), list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: length(w) > 1 OR regexp_matches(w, '[0-9]')))"
+
+
+def sql_strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def sql_flat(c: str) -> str:
+    return sql_strip(rf"regexp_replace({c}, '\s+', ' ', 'g')")
+
+
+def sql_normal(c: str) -> str:
+    c = rf"regexp_replace({c}, '\r\n?', chr(10), 'g')"
+    c = rf"regexp_replace({c}, '[\x{{200b}}\x{{feff}}]', '', 'g')"
+    c = rf"regexp_replace({c}, '[ \t\x{{a0}}]+', ' ', 'g')"
+    c = rf"regexp_replace(regexp_replace({c}, ' +\n', chr(10), 'g'), ' +$', '')"
+    return sql_strip(rf"regexp_replace({c}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def sql_alias(c: str) -> str:
+    parts = []
+    for trigger, also, terms in X.ALIASES:
+        test = " AND ".join(f"contains({c}, '{t}')" for t in (trigger, *also))
+        parts.append(f"CASE WHEN {test} THEN '{'、'.join(terms)}' END")
+    return f"nullif(concat_ws('、', {', '.join(parts)}), '')"
+
+
+def sql_context(c: str, *context: str) -> str:
+    head = f"concat_ws('；', {', '.join([*(f'nullif({sql_strip(x)}, {chr(39)*2})' for x in context), f'{chr(39)}（同义表述：{chr(39)} || {sql_alias(c)} || {chr(39)}）{chr(39)}'])})"
+    return f"CASE WHEN {head} <> '' THEN {head} || chr(10) || {c} ELSE {c} END"
+
+
+# Text
+
+
+@query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
+def token_stats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("doc_id", X.tokens(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, length({sql_normal('text')}) AS n_normal, CASE WHEN length({sql_flat('text')}) <= 160 THEN {sql_flat('text')} ELSE substr({sql_flat('text')}, 1, 159) || '…' END AS snippet FROM documents")
+def normalize_snippet(spark: SparkSession, folder: str) -> DataFrame:
+    c = F.col("text")
+    return table(spark, folder, "documents").select("doc_id", F.length(X.normalize(c)).cast("long").alias("n_normal"), X.snippet(c).alias("snippet"))
+
+
+@query(
+    rf"""SELECT doc_id, greatest(n, CASE WHEN text <> '' THEN 1 ELSE 0 END) AS n_sentences FROM (SELECT doc_id, text,
+    len(list_filter(string_split(regexp_replace(regexp_replace(text, '([。！？!?；;])', '\1' || chr(1), 'g'), '\.\s+', '.' || chr(1), 'g'), chr(1)), lambda s: {sql_strip('s')} <> '')) AS n FROM documents)"""
+)
+def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n_sentences"))
+
+
+@query(f"SELECT DISTINCT source, 'doc_' || substr(sha256(source), 1, 10) AS stable_id, sha256({sql_normal('text')}) AS checksum FROM source_document")
+def stable_ids(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "source_document")
+    return rows.select("source", X.stable_id(F.col("source")).alias("stable_id"), F.sha2(X.normalize(F.col("text")), 256).alias("checksum")).distinct()
+
+
+@query(
+    f"""SELECT width, gram, count(*) AS n FROM (SELECT w AS width, unnest(list_transform(range(1, greatest(length(t) - w + 2, 1)), lambda i: substr(t, i, w))) AS gram
+    FROM (SELECT {sql_flat('lower(text)')} AS t FROM eval_item), (VALUES (2), (3)) v(w)) WHERE trim(gram) <> '' GROUP BY ALL"""
+)
+def ngram_counts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "eval_item")
+    each = [rows.select(F.lit(w).alias("width"), F.explode(X.ngrams(F.col("text"), w)).alias("gram")) for w in (2, 3)]
+    return each[0].unionByName(each[1]).groupBy("width", "gram").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH d AS (SELECT {sql_tokens('text')} AS t FROM documents), k AS (SELECT list_distinct(t) AS t FROM d WHERE len(t) > 0), n AS (SELECT count(*) AS n FROM k)
+    SELECT token, df, round(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 6) AS idf FROM (SELECT token, count(*) AS df FROM (SELECT unnest(t) AS token FROM k) GROUP BY token), n"""
+)
+def doc_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    found = keyword_index.frequencies(table(spark, folder, "documents"), "doc_id", F.col("text"))
+    return found.select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"SELECT chunk_id, {sql_context('text', 'section')} AS index_text FROM (SELECT DISTINCT chunk_id, section, text FROM chunk)")
+def context_texts(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "chunk").select("chunk_id", "section", "text").distinct()
+    return rows.select("chunk_id", X.context_text(F.col("text"), F.col("section")).alias("index_text"))
+
+
+# Recall and ranking
+
+_PHRASES = "list_filter(regexp_split_to_array(text, '[\\s，。！？、；：,.!?;:（）()\\[\\]【】\"''“”]+'), lambda p: length(p) >= 2 AND p NOT IN ({}))".format(", ".join(f"'{p}'" for p in X.STOP_PHRASES))
+_BM25 = f"""
+WITH d AS (SELECT doc_id, text, {sql_tokens('case when a is null then text else a end')} AS t FROM (SELECT doc_id, text, {sql_context('text')} AS a FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)),
+k AS (SELECT * FROM d WHERE len(t) > 0), s AS (SELECT count(*) AS n, avg(len(t)) AS average FROM k),
+q AS (SELECT item_id, {sql_tokens('text')} AS t, {_PHRASES} AS phrases FROM (SELECT DISTINCT item_id, text FROM eval_item)),
+qt AS (SELECT item_id, token, count(*) AS times FROM (SELECT item_id, unnest(t) AS token FROM q) GROUP BY ALL),
+p AS (SELECT doc_id, len, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS token FROM k) WHERE token IN (SELECT token FROM qt) GROUP BY ALL),
+f AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+x AS (SELECT item_id, doc_id, sum(times * (CASE WHEN length(token) = 1 AND regexp_matches(token, '{HAN}') THEN 0.3::DOUBLE ELSE 1 END) * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / average))) AS score
+  FROM qt JOIN p USING (token) JOIN f USING (token), s GROUP BY ALL),
+y AS (SELECT item_id, doc_id, round(score * pow(1.3::DOUBLE, least(3, len(list_filter(phrases, lambda u: contains(text, u))))), 6) AS score FROM x JOIN q USING (item_id) JOIN k USING (doc_id) WHERE score > 0),
+z AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY item_id) AS best FROM y)
+"""
+
+
+@query(_BM25 + "SELECT item_id, doc_id, score, rank FROM z WHERE rank <= 10 AND score >= 0.15::DOUBLE * best")
+def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
+    found = keyword_index.search(table(spark, folder, "documents"), table(spark, folder, "eval_item").select("item_id", "text").distinct(), 10)
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    _BM25 + "SELECT item_id, CASE WHEN max(score) IS NULL THEN 'empty' WHEN max(score) < 5 THEN 'weak' ELSE 'answerable' END AS gate FROM (SELECT DISTINCT item_id FROM eval_item) LEFT JOIN (SELECT * FROM z WHERE rank <= 10) USING (item_id) GROUP BY item_id"
+)
+def evidence_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether recall found nothing, nothing above a floor, or evidence to answer with."""
+    items = table(spark, folder, "eval_item").select("item_id", "text").distinct()
+    best = keyword_index.search(table(spark, folder, "documents"), items, 10).groupBy(F.col("query_id").alias("item_id")).agg(F.max("score").alias("best"))
+    gate = F.when(F.col("best").isNull(), "empty").when(F.col("best") < 5, "weak").otherwise("answerable")
+    return items.select("item_id").distinct().join(best, "item_id", "left").select("item_id", gate.alias("gate"))
+
+
+_NEAREST = """
+WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
+c AS (SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id AS id, e.label AS label, round(list_dot_product(q.v, e.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(e.v, e.v))), 6) AS score FROM q, e WHERE q.vec_id <> e.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM c)
+"""
+
+
+def _hits(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    return retrieval.nearest(rows, rows.where("vec_id % 20 = 0"), k)
+
+
+@query(_NEAREST + "SELECT query_id, id, score, rank FROM r WHERE rank <= 10")
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _hits(spark, folder, 10).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    _NEAREST
+    + """, v AS (SELECT query_id, id, score, rank, score / max(score) OVER (PARTITION BY query_id) AS share FROM r WHERE rank <= 20),
+l AS (SELECT query_id, id, 1 / (1.0::DOUBLE + abs(query_id - id)) AS score, row_number() OVER (PARTITION BY query_id ORDER BY abs(query_id - id), id) AS rank FROM c WHERE label = query_label),
+w AS (SELECT *, score / max(score) OVER (PARTITION BY query_id) AS share FROM l WHERE rank <= 20)
+SELECT coalesce(v.query_id, w.query_id) AS query_id, coalesce(v.id, w.id) AS id, round(coalesce(v.share / (60 + v.rank), 0) + coalesce(0.8::DOUBLE * w.share / (60 + w.rank), 0), 6) AS fusion, v.id IS NOT NULL AS from_vector, w.id IS NOT NULL AS from_label
+FROM v FULL JOIN w ON v.query_id = w.query_id AND v.id = w.id"""
+)
+def hybrid_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine hits fused with the nearest ids of the same label."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "label")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    pairs = rows.join(F.broadcast(asked), "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"), (1 / (1.0 + F.abs(F.col("query_id") - F.col("vec_id")))).alias("score"))
+    w = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    near = pairs.withColumn("rank", w).where("rank <= 20")
+    found = retrieval.fuse(_hits(spark, folder, 20), near)
+    return found.select("query_id", "id", F.round("fusion", 6).alias("fusion"), F.col("vector_rank").isNotNull().alias("from_vector"), F.col("keyword_rank").isNotNull().alias("from_label"))
+
+
+def _sql_weight(t: str) -> str:
+    return f"CASE WHEN length({t}) = 1 AND regexp_matches({t}, '{HAN}') THEN 0.25::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+def _sql_coverage(terms: str, there: str) -> str:
+    weigh = f"lambda w: {_sql_weight('w')}"
+    return f"coalesce(list_sum(list_transform(list_filter({terms}, lambda w: list_contains({there}, w)), {weigh})) / list_sum(list_transform({terms}, {weigh})), 0)"
+
+
+@query(
+    f"""WITH m AS (SELECT id, question, ground_truth, coalesce(category, '') AS category FROM (SELECT DISTINCT id, question, ground_truth, category FROM multi_turn_set) WHERE question IS NOT NULL AND ground_truth IS NOT NULL),
+a AS (SELECT *, {sql_context('ground_truth', 'category')} AS x FROM m),
+b AS (SELECT *, {sql_tokens('question')} AS q, list_distinct({sql_tokens('x')}) AS t, list_distinct({sql_tokens('category')}) AS s, regexp_replace(x, '[^一-鿿]', '', 'g') AS han FROM a),
+c AS (SELECT *, list_distinct(list_filter(q, lambda w: regexp_matches(w, '[0-9a-z]') AND length(replace(w, '_', '')) <= 12)) AS exact, list_distinct(list_filter(q, lambda w: length(w) >= 2 AND regexp_matches(w, '{HAN}'))) AS two FROM b),
+d AS (SELECT id, {_sql_coverage('q', 't')} AS coverage, CASE WHEN len(exact) > 0 THEN len(list_intersect(exact, t)) / len(exact)::DOUBLE ELSE 0 END AS prec, CASE WHEN len(two) > 0 THEN len(list_filter(two, lambda w: contains(han, w))) / len(two)::DOUBLE ELSE 0 END AS cjk,
+  CASE WHEN len(s) > 0 THEN {_sql_coverage('q', 's')} ELSE 0 END AS section, CASE WHEN ({sql_flat('question')} <> '' AND contains({sql_flat('x')}, {sql_flat('question')})) OR (length({sql_strip('question')}) >= 4 AND contains(x, {sql_strip('question')})) THEN 1.0::DOUBLE ELSE 0 END AS phrase FROM c)
+SELECT id, round(coverage, 6) AS coverage, round(prec, 6) AS "precision", round(cjk, 6) AS cjk, round(section, 6) AS section, phrase, round(0.54::DOUBLE + 0.12::DOUBLE * coverage + 0.12::DOUBLE * prec + 0.08::DOUBLE * cjk + 0.08::DOUBLE * section + 0.06::DOUBLE * phrase, 6) AS score FROM d"""
+)
+def rerank_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """The signals of each question with its own reference answer, the category being the section."""
+    rows = table(spark, folder, "multi_turn_set").select("id", "question", "ground_truth", "category").distinct().where("question IS NOT NULL AND ground_truth IS NOT NULL")
+    df = retrieval.rerank(rows.withColumn("fusion", F.lit(1.0)), "question", "ground_truth", "category")
+    return df.select("id", *(F.col(f"signal_{n}").alias(n) for n in retrieval.SIGNALS if n != "fusion"), "score")
+
+
+@query()
+def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of all source documents."""
+    return chunking.chunk(table(spark, folder, "source_document"))
+
+
+@query(
+    """SELECT doc_id, position, chunk_id, char_start - lag(char_end) OVER (PARTITION BY doc_id ORDER BY position, chunk_id) AS gap
+    FROM (SELECT DISTINCT chunk_id, doc_id, position, char_start, char_end FROM chunk)"""
+)
+def chunk_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """How far each delivered chunk starts behind the end of the one before; below 0 they overlap."""
+    rows = table(spark, folder, "chunk").select("chunk_id", "doc_id", "position", "char_start", "char_end").distinct()
+    before = F.lag("char_end").over(Window.partitionBy("doc_id").orderBy("position", "chunk_id"))
+    return rows.select("doc_id", "position", "chunk_id", (F.col("char_start") - before).alias("gap"))
+
+
+@query()
+def hash_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """The norm and the dimensions in use of every chunk's hash embedding."""
+    rows = retrieval.embed(table(spark, folder, "chunk").select("chunk_id", "text").distinct(), "text", 256)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return rows.select("chunk_id", F.round(norm, 4).alias("norm"), F.size(F.filter("embedding", lambda x: x != 0)).alias("n_used"))
+
+
+# Evaluation
+
+_ITEMS = "(SELECT DISTINCT id, category, question, ground_truth, must_refuse, expected_keywords, expected_snippets, expected_sources FROM multi_turn_set)"
+
+
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "multi_turn_set").select("id", "category", "question", "ground_truth", "must_refuse", "expected_keywords", "expected_snippets", "expected_sources").distinct()
+
+
+def _plain(c):
+    return F.lower(F.regexp_replace(c, r"\s+", ""))
+
+
+_SQL_PLAIN = r"lower(regexp_replace({}, '\s+', '', 'g'))"
+_SQL_HITS = "len(list_filter(coalesce(expected_keywords, []), lambda k: " + _SQL_PLAIN.format("k") + " <> '' AND contains(" + _SQL_PLAIN.format("coalesce(ground_truth, '')") + ", " + _SQL_PLAIN.format("k") + ")))"
+
+
+@query(f"SELECT id, len(coalesce(expected_keywords, [])) AS n_expected, {_SQL_HITS} AS n_held, CASE WHEN len(coalesce(expected_keywords, [])) > 0 THEN round({_SQL_HITS}::DOUBLE / len(expected_keywords), 4) ELSE 0.0 END AS coverage FROM {_ITEMS}")
+def keyword_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    expected = F.transform(F.coalesce("expected_keywords", F.array().cast("array<string>")), _plain)
+    text = _plain(F.coalesce("ground_truth", F.lit("")))
+    return _items(spark, folder).select("id", F.size(expected).cast("long").alias("n_expected"), M.hits(expected, text).cast("long").alias("n_held"), M.keyword_coverage(expected, text).alias("coverage"))
+
+
+@query(
+    _NEAREST
+    + """, h AS (SELECT query_id, rank, label = query_label AS flag FROM r WHERE rank <= 10),
+g AS (SELECT query_id, count(*) AS n, count(*) FILTER (flag) AS relevant, min(rank) FILTER (flag) AS first_rank, round(avg(CASE WHEN rank <= 8 THEN flag::INT END), 4) AS "precision", sum(CASE WHEN rank <= 8 THEN flag::INT / log2(rank + 1) END) AS dcg FROM h GROUP BY query_id)
+SELECT query_id, n, relevant, first_rank, CASE WHEN first_rank IS NULL THEN 0 ELSE round(1.0::DOUBLE / first_rank, 4) END AS rr, "precision", CASE WHEN relevant > 0 THEN round(dcg / list_sum(list_transform(range(1, least(relevant, 8) + 1), lambda i: 1 / log2(i + 1))), 4) END AS ndcg FROM g"""
+)
+def rank_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "embeddings").select("vec_id", "label")
+    hits = _hits(spark, folder, 10)
+    a, b = labels.select(F.col("vec_id").alias("query_id"), F.col("label").alias("wanted")), labels.select(F.col("vec_id").alias("id"), "label")
+    out = evaluation.rank_metrics(hits.join(a, "query_id").join(b, "id").withColumn("flag", F.col("label") == F.col("wanted")))
+    return out.withColumn("first_rank", F.col("first_rank").cast("long"))
+
+
+@query(
+    _NEAREST + """SELECT query_id, count(*) AS expected, count(*) FILTER (rank <= 10) AS found, round(count(*) FILTER (rank <= 10) / count(*)::DOUBLE, 4) AS recall FROM r WHERE label = query_label GROUP BY query_id"""
+)
+def recall_at_k(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "embeddings").select("vec_id", "label")
+    asked = labels.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    expected = labels.join(F.broadcast(asked), "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"))
+    return evaluation.recall_at(_hits(spark, folder, 10), expected, 10)
+
+
+@query(
+    f"""WITH m AS (SELECT DISTINCT id, question, ground_truth FROM multi_turn_set), r AS (SELECT id, token, count(*) AS r FROM (SELECT id, unnest({sql_tokens('ground_truth')}) AS token FROM m) GROUP BY ALL),
+h AS (SELECT id, token, count(*) AS h FROM (SELECT id, unnest({sql_tokens('question')}) AS token FROM m) GROUP BY ALL),
+f AS (SELECT id, sum(r) AS nr, sum(h) AS nh, sum(least(coalesce(r, 0), coalesce(h, 0))) AS common FROM r FULL JOIN h USING (id, token) GROUP BY id)
+SELECT DISTINCT m.id, CASE WHEN nr IS NOT NULL AND nh IS NOT NULL THEN round(2.0::DOUBLE * common / (nr + nh), 4) END AS f1 FROM m LEFT JOIN f USING (id)"""
+)
+def token_f1(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.token_f1(table(spark, folder, "multi_turn_set").select("id", "question", "ground_truth").distinct(), "id", "ground_truth", "question")
+
+
+_SQL_DECLARED = "(contains(coalesce(ground_truth, ''), '拒绝') OR contains(coalesce(ground_truth, ''), 'declined') OR contains(coalesce(ground_truth, ''), 'abgelehnt'))"
+_SQL_SUBSTANTIVE = f"(len(coalesce(expected_keywords, [])) > 0 AND round({_SQL_HITS}::DOUBLE / len(expected_keywords), 4) >= 0.3)"
+_SQL_REFUSED = f"((coalesce(ground_truth, '') = '' OR {_SQL_DECLARED}) AND (coalesce(must_refuse, false) OR coalesce(ground_truth, '') = '' OR NOT {_SQL_SUBSTANTIVE}))"
+
+
+def _judged(spark: SparkSession, folder: str) -> DataFrame:
+    """Items with the reference answer judged as an answer: declared, refused outright, substantive."""
+    text = F.coalesce("ground_truth", F.lit(""))
+    expected = F.transform(F.coalesce("expected_keywords", F.array().cast("array<string>")), _plain)
+    share = M.keyword_coverage(expected, _plain(text))
+    df = _items(spark, folder).withColumn("must", F.coalesce("must_refuse", F.lit(False))).withColumn("none", text == "")
+    df = df.withColumn("declared", F.contains(text, F.lit("拒绝")) | F.contains(text, F.lit("declined")) | F.contains(text, F.lit("abgelehnt"))).withColumn("share", share)
+    df = df.withColumn("substantive", (F.size(expected) > 0) & (share >= M.SUBSTANTIVE))
+    return df.withColumn("refused", M.effective_refusal(F.col("must"), F.col("none"), F.col("declared"), F.col("substantive")))
+
+
+@query(f"SELECT CASE WHEN coalesce(ground_truth, '') = '' THEN 'hard' WHEN {_SQL_DECLARED} AND {_SQL_SUBSTANTIVE} THEN 'partial' WHEN {_SQL_DECLARED} THEN 'soft' ELSE 'none' END AS path, count(*) AS n FROM {_ITEMS} GROUP BY path")
+def refusal_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return evaluation.distribution(_judged(spark, folder), M.refusal_path(F.col("none"), F.col("declared"), F.col("substantive")), "path")
+
+
+@query(
+    f"""SELECT CASE WHEN coalesce(must_refuse, false) AND {_SQL_REFUSED} THEN 'ok' WHEN coalesce(must_refuse, false) THEN 'missed_refusal' WHEN {_SQL_REFUSED} AND {_SQL_SUBSTANTIVE} THEN 'wrong_refusal'
+    WHEN {_SQL_REFUSED} AND len(coalesce(expected_sources, [])) > 0 THEN 'evidence_miss' WHEN {_SQL_REFUSED} THEN 'wrong_refusal'
+    WHEN len(coalesce(expected_sources, [])) > 0 AND (CASE WHEN len(coalesce(expected_keywords, [])) > 0 THEN round({_SQL_HITS}::DOUBLE / len(expected_keywords), 4) ELSE 0 END) < 0.5 THEN 'answer_mismatch' ELSE 'ok' END AS label, count(*) AS n FROM {_ITEMS} GROUP BY label"""
+)
+def failure_labels(spark: SparkSession, folder: str) -> DataFrame:
+    none, has = F.lit(None), F.size(F.coalesce("expected_sources", F.array().cast("array<string>"))) > 0
+    label = M.failure(F.lit(False), F.col("must"), F.col("refused"), F.lit(False), F.col("substantive"), has, none.cast("double"), none.cast("int"), none.cast("int"), none.cast("int"), F.col("share"))
+    return evaluation.distribution(_judged(spark, folder), label)
+
+
+@query(
+    f"""SELECT coalesce(nullif(category, ''), '(none)') AS category, count(*) AS n, count(*) FILTER (coalesce(must_refuse, false)) AS to_refuse, count(*) FILTER (coalesce(must_refuse, false) AND {_SQL_REFUSED}) AS refused,
+    round(count(*) FILTER (coalesce(must_refuse, false) AND {_SQL_REFUSED}) / nullif(count(*) FILTER (coalesce(must_refuse, false)), 0)::DOUBLE, 4) AS refusal_rate, round(avg(length(ground_truth)) FILTER (NOT coalesce(must_refuse, false) AND ground_truth <> ''), 4) AS mean_answered
+    FROM {_ITEMS} GROUP BY 1"""
+)
+def group_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Per category, each share over its own denominator; null where that is empty."""
+    both = F.col("must") & F.col("refused")
+    df = _judged(spark, folder).groupBy(F.coalesce(F.nullif("category", F.lit("")), F.lit("(none)")).alias("category")).agg(
+        F.count("*").alias("n"), F.count_if("must").alias("to_refuse"), F.count_if(both).alias("refused"), M.ratio(F.count_if(both), F.nullif(F.count_if("must"), F.lit(0))).alias("refusal_rate"),
+        M.mean(F.when(~F.col("must") & (F.col("ground_truth") != ""), F.length("ground_truth"))).alias("mean_answered"),
+    )
+    return df
+
+
+@query(
+    r"""WITH m AS (SELECT DISTINCT id, coalesce(ground_truth, '') || ' [' || turn || ']' AS answer FROM multi_turn_set WHERE turn IS NOT NULL),
+u AS (SELECT id, list_distinct(list_transform(regexp_extract_all(answer, '\[(\d{1,2})\]', 1), lambda x: x::INT)) AS used FROM m)
+SELECT id, array_to_string(list_sort(used), ',') AS used, array_to_string(list_sort(list_filter(used, lambda x: x NOT IN (1, 2))), ',') AS unknown, array_to_string(list_sort(CASE WHEN len(list_filter(used, lambda x: x IN (1, 2))) > 0 THEN list_filter(used, lambda x: x IN (1, 2)) ELSE [1, 2] END), ',') AS kept FROM u"""
+)
+def citation_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Reference answers that cite their turn's number, where passages 1 and 2 may be cited."""
+    rows = table(spark, folder, "multi_turn_set").where("turn IS NOT NULL")
+    answers = rows.select(F.col("id").alias("answer_id"), F.concat(F.coalesce("ground_truth", F.lit("")), F.lit(" ["), F.col("turn").cast("string"), F.lit("]")).alias("answer"), F.array(F.lit(1), F.lit(2)).alias("offered")).distinct()
+    listed = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return attribution.check_citations(answers).select(F.col("answer_id").alias("id"), listed("used"), listed("unknown"), listed("kept"))
+
+
+@query()
+def attribution_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the expected snippets support the reference answers, each answer citing its snippets."""
+    rows = table(spark, folder, "multi_turn_set").where("ground_truth <> '' AND size(expected_snippets) > 0").groupBy("id").agg(F.min(F.struct("ground_truth", "expected_snippets")).alias("r"))
+    answers = rows.select(F.col("id").alias("answer_id"), F.concat("r.ground_truth", F.lit(" [1]")).alias("answer"))
+    passages = rows.select(F.col("id").alias("answer_id"), F.posexplode("r.expected_snippets").alias("index", "text")).select("answer_id", (F.col("index") + 1).alias("index"), F.lit("").alias("section"), "text")
+    return attribution.report(attribution.attribute(answers, passages, match_any=True))
+
+
+@query("""SELECT signal, round(avg(v) FILTER (label = 0), 4) AS relevant, round(avg(v) FILTER (label <> 0), 4) AS others, round(round(avg(v) FILTER (label = 0), 4) - round(avg(v) FILTER (label <> 0), 4), 4) AS difference
+FROM (SELECT label, unnest(['first', 'second', 'third']) AS signal, unnest([embedding[1]::DOUBLE, embedding[2]::DOUBLE, embedding[3]::DOUBLE]) AS v FROM embeddings) GROUP BY signal""")
+def signal_discrimination(spark: SparkSession, folder: str) -> DataFrame:
+    """How well single signals, here the first dimensions of the vectors, tell one label from the others."""
+    names = ("first", "second", "third")
+    rows = table(spark, folder, "embeddings").select((F.col("label") == 0).alias("flag"), *(F.element_at("embedding", k + 1).cast("double").alias(n) for k, n in enumerate(names)))
+    return evaluation.signal_discrimination(rows, "flag", dict.fromkeys(names, 1.0)).drop("weighted")
+
+
+@query("""WITH d AS (SELECT date_trunc('day', ts) AS run, avg(value) AS mean_value, count(*)::DOUBLE AS n_events FROM events GROUP BY 1), u AS (SELECT unnest(['mean_value', 'n_events']) AS metric, unnest([mean_value, n_events]) AS v FROM d)
+SELECT metric, round(avg(v), 3) AS mean, round(min(v), 3) AS least, round(max(v), 3) AS most, min(v) = max(v) AS constant FROM u GROUP BY metric""")
+def repeat_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Days as repeated runs: how far their metrics vary."""
+    days = table(spark, folder, "events").groupBy(F.date_trunc("day", "ts").alias("run")).agg(F.avg("value").alias("mean_value"), F.count("*").cast("double").alias("n_events"))
+    out = evaluation.repeats(days, "run", ["mean_value", "n_events"])
+    return out.select("metric", *(F.round(c, 3).alias(c) for c in ("mean", "least", "most")), "constant")
+
+
+# Ingest, claims, lookups
+
+_LATEST = "(SELECT doc_source AS source, checksum FROM (SELECT *, row_number() OVER (PARTITION BY doc_source ORDER BY id DESC) AS age FROM (SELECT DISTINCT id, doc_source, checksum FROM doc_version)) WHERE age = 1)"
+
+
+@query(f"""WITH n AS (SELECT source, max(checksum) AS checksum, max(length(text)) AS n_chars FROM source_document GROUP BY source), r AS {_LATEST}
+SELECT coalesce(n.source, r.source) AS source, CASE WHEN n.source IS NULL THEN 'deleted' WHEN coalesce(n.n_chars, 0) = 0 THEN 'failed' WHEN n.checksum IS NOT DISTINCT FROM r.checksum THEN 'skipped' ELSE 'indexed' END AS status, CASE WHEN r.checksum IS NULL THEN 'new' ELSE 'known' END AS known
+FROM n FULL JOIN r ON n.source = r.source""")
+def ingest_plan(spark: SparkSession, folder: str) -> DataFrame:
+    """The delivered documents against the checksums last seen."""
+    delivered = table(spark, folder, "source_document").groupBy("source").agg(F.max("checksum").alias("checksum"), F.max(F.length("text")).alias("n_chars"))
+    known = claims.latest_versions(table(spark, folder, "doc_version")).select(F.col("doc_source").alias("source"), "checksum")
+    return ingest.plan(delivered, known)
+
+
+@query(r"""WITH h AS (SELECT chunk_id, min(text) AS now, max(text) AS before FROM chunk GROUP BY chunk_id), x AS (SELECT chunk_id, substr(sha256(regexp_replace(now, '\s+', '', 'g')), 1, 16) AS content_hash, substr(sha256(regexp_replace(before, '\s+', '', 'g')), 1, 16) AS old FROM h)
+SELECT chunk_id, content_hash, content_hash = old AS reusable FROM x""")
+def content_hash_reuse(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks whose deliveries agree but for white space."""
+    both = table(spark, folder, "chunk").groupBy("chunk_id").agg(F.min("text").alias("text"), F.max("text").alias("before"))
+    return claims.reuse_plan(both.select("chunk_id", "text"), both.select("chunk_id", X.content_hash(F.col("before")).alias("content_hash")))
+
+
+_VERSIONS = "(SELECT *, row_number() OVER (PARTITION BY doc_source ORDER BY id DESC) AS age FROM (SELECT DISTINCT id, doc_source, checksum, claim_count FROM doc_version))"
+_SQL_Q = "list_sort(coalesce(TRY_CAST(TRY_CAST(qualifiers AS JSON) AS VARCHAR[]), []))"
+
+
+@query(
+    f"""WITH v AS (SELECT id AS version_id, doc_source, age FROM {_VERSIONS} WHERE age <= 2), two AS (SELECT doc_source FROM v WHERE age = 2),
+c AS (SELECT *, row_number() OVER (PARTITION BY version_id, claim_key ORDER BY id DESC) AS n FROM (SELECT DISTINCT id, version_id, claim_key, claim_type, subject, coalesce(value, '') AS value, nullif(value_normalized, '') AS norm, {_SQL_Q} AS q FROM claim) WHERE claim_key IS NOT NULL),
+o AS (SELECT doc_source, age, c.* EXCLUDE (n) FROM c JOIN v USING (version_id) WHERE n = 1 AND doc_source IN (FROM two)),
+a AS (SELECT * FROM o WHERE age = 2), b AS (SELECT * FROM o WHERE age = 1),
+x AS (SELECT coalesce(b.doc_source, a.doc_source) AS doc_source, coalesce(b.claim_key, a.claim_key) AS claim_key, coalesce(b.claim_type, a.claim_type) AS kind, b.norm AS new_norm, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed'
+  WHEN {sql_strip('a.value')} = {sql_strip('b.value')} OR coalesce(a.norm = b.norm, false) THEN CASE WHEN a.q = b.q THEN 'unchanged' ELSE 'qualifier_changed' END ELSE 'modified' END AS change
+  FROM a FULL JOIN b ON a.doc_source = b.doc_source AND a.claim_key = b.claim_key)
+SELECT doc_source, claim_key, change, CASE WHEN change IN ('modified', 'removed') THEN CASE WHEN kind IN ('interval', 'threshold', 'policy') THEN 'high' ELSE 'medium' END WHEN change = 'qualifier_changed' THEN 'medium' WHEN change = 'added' THEN 'low' ELSE 'none' END AS severity, change = 'added' AND new_norm IS NULL AS recheck FROM x"""
+)
+def claim_diff(spark: SparkSession, folder: str) -> DataFrame:
+    return claims.diff_latest(table(spark, folder, "doc_version"), table(spark, folder, "claim")).drop("subject")
+
+
+@query(f"SELECT doc_source, id, checksum, claim_count FROM {_VERSIONS} WHERE age = 1")
+def latest_version(spark: SparkSession, folder: str) -> DataFrame:
+    return claims.latest_versions(table(spark, folder, "doc_version")).select("doc_source", "id", "checksum", "claim_count")
+
+
+@query("SELECT doc_source, count(DISTINCT id) AS n_versions, count(DISTINCT checksum) AS n_checksums FROM doc_version GROUP BY doc_source HAVING count(DISTINCT id) >= 2")
+def multi_version(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "doc_version").groupBy("doc_source").agg(F.countDistinct("id").alias("n_versions"), F.countDistinct("checksum").alias("n_checksums"))
+    return df.where("n_versions >= 2")
+
+
+@query(f"SELECT doc_source, count(*) AS n FROM (SELECT DISTINCT id, version_id, doc_source, subject, predicate, value FROM claim) WHERE (subject ILIKE '%Nm%' OR predicate ILIKE '%Nm%' OR value ILIKE '%Nm%') AND version_id IN (SELECT id FROM {_VERSIONS} WHERE age = 1) GROUP BY doc_source")
+def impact_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    return claims.impact(table(spark, folder, "doc_version"), table(spark, folder, "claim"), "Nm")
+
+
+@query(
+    """WITH q AS (SELECT unnest(['ke-01', 'VELOR', 'zzz', 'OM-03']) AS word), e AS (SELECT car_model, display_name, word, 'code' AS how FROM vehicle_model JOIN q ON upper(car_model) = upper(word)), r AS (SELECT word FROM q WHERE word NOT IN (SELECT word FROM e))
+SELECT * FROM e UNION ALL SELECT car_model, display_name, word, 'keyword' FROM vehicle_model JOIN r ON contains(lower(concat_ws(chr(10), car_model, display_name)), lower(word))"""
+)
+def lookup_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact codes first, then words in code or name."""
+    asked = spark.createDataFrame([(w,) for w in ("ke-01", "VELOR", "zzz", "OM-03")], "word string")
+    return tables.lookup(table(spark, folder, "vehicle_model").select("car_model", "display_name"), asked, "car_model", "display_name")
+
+
+_KM = r"(\d+(?:\.\d+)?)\s*"
+
+
+@query(
+    rf"""WITH m AS (SELECT DISTINCT id, replace(period_text, ',', '') AS t FROM maintenance), x AS (SELECT id, TRY_CAST(nullif(regexp_extract(t, '{_KM}万\s*(?:km|公里)', 1), '') AS DOUBLE) AS wan, TRY_CAST(nullif(regexp_extract(t, '{_KM}(?:km|公里)', 1), '') AS DOUBLE) AS km,
+TRY_CAST(nullif(regexp_extract(t, '(\d+)\s*个?月', 1), '') AS DOUBLE) AS mon, TRY_CAST(nullif(regexp_extract(t, '(\d+)\s*年', 1), '') AS DOUBLE) AS yr FROM m)
+SELECT id, trunc(coalesce(wan * 10000, km))::INT AS km, trunc(coalesce(mon, yr * 12))::INT AS months FROM x"""
+)
+def period_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Maintenance intervals in their plain form."""
+    km, months = tables.period(F.col("period_text"))
+    return table(spark, folder, "maintenance").select("id", "period_text").distinct().select("id", km.alias("km"), months.alias("months"))
+
+
+@query()
+def table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    rows = tables.table_rows(table(spark, folder, "source_document"))
+    return rows.select("doc_id", "line", "row", F.size("header").alias("n_header"), F.array_join("cells", "|").alias("cells"))
+
+
+@query()
+def fault_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.fault_codes(tables.table_rows(table(spark, folder, "source_document"))).distinct()
+
+
+# Serving
+
+@query(
+    """SELECT session_id, id, turn, back, back <= 3 AS in_context FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC NULLS LAST, id DESC) AS back FROM (SELECT DISTINCT session_id, id, turn FROM multi_turn_set WHERE session_id IS NOT NULL)) WHERE back <= 6"""
+)
+def session_window(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "multi_turn_set").select("session_id", "id", "turn").distinct()
+    return serving.last_turns(rows).select("session_id", "id", "turn", F.col("back").cast("long").alias("back"), "in_context")
+
+
+_RANK = "list_extract(list_sort(list(value)), (round_even({p} * (count(value) - 1), 0) + 1)::BIGINT)"
+
+
+@query(
+    f"""SELECT endpoint, count(value) AS n, {_RANK.format(p='0.5::DOUBLE')} AS p50, {_RANK.format(p='0.95::DOUBLE')} AS p95, {_RANK.format(p='0.99::DOUBLE')} AS p99, max(value) AS most
+FROM (SELECT unnest([coalesce(event_type, '(none)'), 'overall']) AS endpoint, value FROM events WHERE value IS NOT NULL) GROUP BY endpoint"""
+)
+def request_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    return serving.request_metrics(table(spark, folder, "events"))
+
+
+@query("SELECT event_id, event_type, greatest((SELECT count(*) FROM events) - 1000, 0) AS dropped FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def ring_buffer(spark: SparkSession, folder: str) -> DataFrame:
+    kept, dropped = serving.ring(table(spark, folder, "events"), [F.desc("ts"), F.desc("event_id")])
+    return kept.select("event_id", "event_type", F.lit(dropped).cast("long").alias("dropped"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id || '/' || event_type AS key, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+w AS (SELECT event_id, key, n, t AS since, false AS hit FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.key, e.n, CASE WHEN e.t - w.since < 86400 THEN w.since ELSE e.t END, e.t - w.since < 86400 FROM w JOIN e ON e.key = w.key AND e.n = w.n + 1)
+SELECT key, event_id, hit FROM w"""
+)
+def cache_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests of a user for a kind of event, entries living a day."""
+    rows = table(spark, folder, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL").select("event_id", F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return serving.cache_replay(rows, "key", "ts", "event_id", 86_400)
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(source)), car_model, substr(text, 1, 60) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def dedupe_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """The first of the documents that agree in source, model and opening, as hit lists are freed of repeats."""
+    return serving.dedupe(table(spark, folder, "documents"), [F.lower(F.trim("source")), "car_model", F.substring("text", 1, 60)], ["doc_id"]).select("doc_id")
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+def json_props(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+# Audits
+
+
+@query("SELECT doc_id, regexp_matches(text, 'sk-[A-Za-z0-9]{16,}') AS api_key, regexp_matches(text, 'AKIA[0-9A-Z]{16}') AS cloud_key, regexp_matches(text, 'ghp_[A-Za-z0-9]{20,}') AS token FROM documents WHERE regexp_matches(text, 'sk-[A-Za-z0-9]{16,}|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}')")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.secrets(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query()
+def risk_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.risks(table(spark, folder, "documents"), "doc_id", "text")
+
+
+@query()
+def snippet_lint(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.snippet_lint(table(spark, folder, "multi_turn_set"), table(spark, folder, "source_document"), table(spark, folder, "chunk"))
+
+
+# Windows and streams
+
+
+def _sql_window(size: int, slide: int) -> str:
+    return f"SELECT time_bucket(INTERVAL {slide} MINUTE, ts) - INTERVAL (o * {slide}) MINUTE AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, range({size // slide}) r(o) GROUP BY ALL"
+
+
+@query(_sql_window(60, 60))
+def tumbling_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.counted(table(spark, folder, "events"), "60 minutes")
+
+
+@query(_sql_window(60, 15))
+def sliding_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.counted(table(spark, folder, "events"), "60 minutes", "15 minutes")
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM r GROUP BY user_id, run"""
+)
+def session_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return windows.sessions(table(spark, folder, "events"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder within the shared one; a local one only where the session has none."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") if has_shared_folder(spark) else None
+    base = base or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestrand-")
+    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+
+
+def _streamed(spark: SparkSession, folder: str, shape) -> DataFrame:
+    """What a stream over the events has written once it has read them all."""
+    here = _scratch(spark)
+    events = spark.readStream.schema(table(spark, folder, "events").schema).parquet(f"{folder}/events.parque[t]")
+    out = shape(events)
+    out.writeStream.format("parquet").option("path", f"{here}/out").option("checkpointLocation", f"{here}/log").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{here}/out")
+
+
+@query("SELECT DISTINCT event_id, event_type FROM events")
+def stream_unique(spark: SparkSession, folder: str) -> DataFrame:
+    return _streamed(spark, folder, lambda e: windows.unique(e, ["event_id"]).select("event_id", "event_type"))
+
+
+@query()
+def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """The hourly windows that the watermark had closed when the stream ended."""
+    return _streamed(spark, folder, lambda e: windows.counted(e, "60 minutes"))
+
+
+@query()
+def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Retrieve, then answer by the offline generator: the best passage's first sentence, cited."""
+    documents = table(spark, folder, "documents")
+    hits = keyword_index.search(documents, table(spark, folder, "eval_item").select("item_id", "text").distinct(), 3).join(documents.select(F.col("doc_id").alias("id"), "text"), "id")
+    best = hits.groupBy(F.col("query_id").alias("answer_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]).alias("passages"))
+    return plugins.extractive_generator(best)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from lodestrand.operators import quantities, snapshots
+from lodestrand.plans import catalogue
 
 QUERIES: dict = {
     "p2_found": snapshots.p2_found,
     "p2_changes": snapshots.p2_changes,
     "p4_found": quantities.p4_found,
     "p4_amounts": quantities.p4_amounts,
-}
-SQL: dict[str, str] = {}
+} | catalogue.QUERIES
+SQL: dict[str, str] = dict(catalogue.SQL)
