@@ -36,6 +36,7 @@ BLOCK_CHARS = 4_000_000
 COVERAGE = 0.2
 APART = ""
 FILTER_BITS = 22
+STRETCH = 2_000_000
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -118,25 +119,56 @@ def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarra
     return out, longest
 
 
+def stretches(texts: list[str]) -> Iterator[tuple[list[tuple[int, int]], str, np.ndarray]]:
+    """Texts joined into stretches of about STRETCH characters, long texts cut with SEED - 1 characters in common.
+
+    Of each: (text, offset) of its parts, the joined string, and where the parts start in it.
+    """
+    parts, joined, length = [], [], 0
+    for n, text in enumerate(texts):
+        for low in range(0, max(1, len(text) - SEED + 1), STRETCH):
+            part = text[low : low + STRETCH + SEED - 1]
+            parts.append((n, low))
+            joined.append(part)
+            length += len(part) + 1
+            if length > STRETCH:
+                yield parts, APART.join(joined), np.cumsum([0] + [len(p) + 1 for p in joined[:-1]])
+                parts, joined, length = [], [], 0
+    if parts:
+        yield parts, APART.join(joined), np.cumsum([0] + [len(p) + 1 for p in joined[:-1]])
+
+
+def around(text: str, places: list[int], reach: int) -> str:
+    """The parts of a text that a match with a seed at one of the places can touch; any tile lies in one of them."""
+    spans: list[list[int]] = []
+    for p in sorted(places):
+        if spans and p - reach <= spans[-1][1]:
+            spans[-1][1] = p + SEED + reach
+        else:
+            spans.append([max(0, p - reach), p + SEED + reach])
+    return APART.join(text[a:b] for a, b in spans)
+
+
 def _search(seeds):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, owner, items, likely = seeds.value
         shift = np.uint64(64 - FILTER_BITS)
         for pdf in batches:
             norms = [alnum(t) for t in pdf["text"]]
-            starts = np.cumsum([0] + [len(t) + 1 for t in norms])
-            windows = rolling(codes(APART.join(norms)), SEED)
-            at = np.flatnonzero(likely[windows >> shift])
-            k = np.minimum(np.searchsorted(known, windows[at]), len(known) - 1)
-            at, k = at[known[k] == windows[at]], k[known[k] == windows[at]]
-            met: dict[tuple[int, int], None] = {}
-            for doc, seed in zip((np.searchsorted(starts, at, "right") - 1).tolist(), k.tolist()):
-                for item in owner[seed]:
-                    met[doc, item] = None
+            met: dict[tuple[int, int], list[int]] = defaultdict(list)
+            for first, text, starts in stretches(norms):
+                windows = rolling(codes(text), SEED)
+                at = np.flatnonzero(likely[windows >> shift])
+                k = np.minimum(np.searchsorted(known, windows[at]), len(known) - 1)
+                at, k = at[known[k] == windows[at]], k[known[k] == windows[at]]
+                doc = np.searchsorted(starts, at, "right") - 1
+                for d, place, seed in zip(doc.tolist(), (at - starts[doc]).tolist(), k.tolist()):
+                    for item in owner[seed]:
+                        met[first[d][0], item].append(place + first[d][1])
             rows = []
-            for doc, item in met:
+            for (doc, item), places in met.items():
                 key, text = items[item]
-                if found := tiles(text, norms[doc]):
+                if found := tiles(text, around(norms[doc], places, len(text))):
                     rows.append((pdf["doc_id"].iloc[doc], key, len(found), max(n for _, _, n in found), sum(n for _, _, n in found) / len(text)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_tiles", "longest", "coverage"])
 
