@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +51,36 @@ def ring(records: DataFrame, order: list, most: int = RECORDS) -> tuple[DataFram
     return records.orderBy(*order).limit(most), max(0, n - most)
 
 
+def _walk(ttl: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, since = None, 0
+        for pdf in batches:
+            hits = []
+            for run_of in zip(pdf["key"], pdf["run"], pdf["t"]):
+                hit = run_of[:2] == at and run_of[2] - since < ttl
+                if not hit:
+                    at, since = run_of[:2], run_of[2]
+                hits.append(hit)
+            yield pd.DataFrame({"key": pdf["key"], "order": pdf["order"], "hit": hits})
+
+    return run
+
+
 def cache_replay(requests: DataFrame, key: str, time: str, order: str, ttl_seconds: int = 3600) -> DataFrame:
     """Each request with `hit`: whether an entry of its key, stored less than the time to live before, was there.
 
-    An entry is stored by a miss; a hit doesn't renew it. Whether a request hits depends on the
-    last miss before, a chain that `aggregate` follows over each key's times of one day, so a
-    hot key is split by days only where the time to live ends them: entries don't outlive a gap.
+    An entry is stored by a miss; a hit doesn't renew it. So whether a request hits depends on the
+    last miss before it, a chain that can't be told from any window of fixed size. It breaks at
+    gaps of a time to live, which split a hot key into runs; each partition then walks its sorted
+    rows once, holding no more than the last miss.
     """
-    w = Window.partitionBy(key).orderBy(time, order)
-    gap = F.coalesce(F.col(time).cast("long") - F.lag(F.col(time).cast("long")).over(w) >= ttl_seconds, F.lit(True))
-    runs = requests.withColumn("_run", F.sum(gap.cast("int")).over(w))
-    one = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("long").alias("t"), F.col(order).alias("o")))).alias("s"))
-    step = lambda a, x: F.when((F.size(a) > 0) & (x["t"] - F.element_at(a, -1)["since"] < ttl_seconds), F.concat(a, F.array(F.struct(x["o"].alias("o"), F.element_at(a, -1)["since"].alias("since"), F.lit(True).alias("hit"))))).otherwise(F.concat(a, F.array(F.struct(x["o"].alias("o"), x["t"].alias("since"), F.lit(False).alias("hit")))))
+    w = Window.partitionBy("key").orderBy("t", "order")
+    rows = requests.select(F.col(key).cast("string").alias("key"), F.col(time).cast("long").alias("t"), F.col(order).alias("order")).where("key IS NOT NULL AND t IS NOT NULL")
+    gap = F.coalesce(F.col("t") - F.lag("t").over(w) >= ttl_seconds, F.lit(True))
+    runs = rows.withColumn("run", F.sum(gap.cast("int")).over(w))
+    placed = runs.repartition("key", "run").sortWithinPartitions("key", "run", "t", "order")
     kind = dict(requests.dtypes)[order]
-    walked = one.select(key, F.explode(F.aggregate("s", F.array().cast(f"array<struct<o:{kind},since:bigint,hit:boolean>>"), step)).alias("r"))
-    return walked.select(key, F.col("r.o").alias(order), "r.hit")
+    return placed.mapInPandas(_walk(ttl_seconds), f"key string, order {kind}, hit boolean").select(F.col("key").alias(key), F.col("order").alias(order), "hit")
 
 
 def dedupe(rows: DataFrame, keys: list, order: list) -> DataFrame:

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.functions import sql
 from lodestrand.functions.unicode import column, squeeze_value
 from lodestrand.operators.ordering import numbered
 from lodestrand.session import cut, spread, table
@@ -63,9 +64,12 @@ def differences(key: np.ndarray, g: np.ndarray, value: np.ndarray, row: np.ndarr
     )
 
 
-def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    low = int(pdf["run"].iloc[0]) * BLOCK
-    return differences(*(pdf[c].to_numpy() for c in ("key", "g", "value", "row", "first", "last")), low, low + BLOCK)
+def _bucket(block: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = int(pdf["run"].iloc[0]) * block
+        return differences(*(pdf[c].to_numpy() for c in ("key", "g", "value", "row", "first", "last")), low, low + block)
+
+    return run
 
 
 def changes(deliveries: DataFrame, records: DataFrame) -> DataFrame:
@@ -91,7 +95,7 @@ def changes(deliveries: DataFrame, records: DataFrame) -> DataFrame:
     carried = (F.col("g") % BLOCK == BLOCK - 1) & ~F.col("last")
     placed = placed.withColumn("run", F.explode(F.when(carried, F.array(run, run + 1)).otherwise(F.array(run))))
     placed = placed.withColumn("bucket", F.pmod("key", F.lit(KEY_BUCKETS)))
-    found = placed.groupBy("run", "bucket").applyInPandas(_bucket, "g long, kind int, old_row long, new_row long")
+    found = placed.groupBy("run", "bucket").applyInPandas(_bucket(BLOCK), "g long, kind int, old_row long, new_row long")
     found = cut(found.join(ordered.select("g", F.col("id").alias("version_id")), "g").drop("g"))
     wanted = found.select(F.col("old_row").alias("row")).unionAll(found.select(F.col("new_row").alias("row"))).where("row >= 0").distinct()
     full = records.join(wanted, "row", "left_semi").groupBy("row").agg(F.min("key").alias("key"), F.min("value").alias("value"))
@@ -114,3 +118,15 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_changes(spark: SparkSession, folder: str) -> DataFrame:
     """The changes with the values before and after."""
     return claim_changes(spark, folder).select("version_id", F.col("key").alias("claim_key"), F.col("kind").alias("change_kind"), "old_value", "new_value")
+
+
+P2_FOUND_SQL = f"""
+WITH c AS (SELECT version_id, claim_key, value FROM (SELECT *, row_number() OVER (PARTITION BY version_id, claim_key ORDER BY id DESC) AS n FROM claim WHERE version_id IS NOT NULL AND claim_key IS NOT NULL) WHERE n = 1),
+v AS (SELECT DISTINCT id, doc_source, extracted_at FROM doc_version WHERE doc_source IS NOT NULL AND id IN (SELECT version_id FROM c)),
+o AS (SELECT id, lag(id) OVER (PARTITION BY doc_source ORDER BY extracted_at NULLS FIRST, id) AS before FROM v),
+n AS (SELECT id AS version_id, claim_key, value FROM o JOIN c ON c.version_id = o.id WHERE before IS NOT NULL),
+b AS (SELECT id AS version_id, claim_key, value FROM o JOIN c ON c.version_id = o.before)
+SELECT coalesce(n.version_id, b.version_id) AS version_id, coalesce(n.claim_key, b.claim_key) AS claim_key, CASE WHEN b.version_id IS NULL THEN 'added' WHEN n.version_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM n FULL JOIN b ON n.version_id = b.version_id AND n.claim_key = b.claim_key
+WHERE n.version_id IS NULL OR b.version_id IS NULL OR {sql.squeeze_value('n.value')} IS DISTINCT FROM {sql.squeeze_value('b.value')}
+"""

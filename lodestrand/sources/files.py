@@ -104,7 +104,7 @@ def reports(spark: SparkSession, folder: str) -> DataFrame:
 
 def anchors(spark: SparkSession, folder: str) -> DataFrame:
     """page, state, path: the files that pages name as their sources in front matter; state bound, frozen or unbound."""
-    df = spark.read.option("wholetext", True).text(f"{folder}/*.md").withColumn("page", X.file_name(F.input_file_name()))
+    df = spark.read.text(f"{folder}/*.md", wholetext=True).withColumn("page", X.file_name(F.input_file_name()))
     head = F.when(F.col("value").startswith("---"), F.try_element_at(F.split("value", "(?m)^---[ \t]*$", 3), F.lit(2))).otherwise(F.lit(""))
     paths = F.regexp_extract_all(head, F.lit(r"(?m)^\s*-\s+(\S+)\s*$"), F.lit(1))
     state = F.when(head.rlike(r"(?m)^frozen:\s*true"), "frozen").when(F.size(paths) > 0, "bound").otherwise("unbound")

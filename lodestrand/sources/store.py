@@ -18,7 +18,7 @@ class Table:
         self.fs = hadoop.Path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def version(self) -> int:
-        pointer = self.path(f"{self.folder}/_version")
+        pointer = self.path(f"{self.folder}/VERSION")
         return int(self.spark.read.text(str(pointer.toString())).first()[0]) if self.fs.exists(pointer) else 0
 
     def read(self) -> DataFrame:
@@ -29,7 +29,7 @@ class Table:
         """The table is these rows from now on."""
         new = self.version() + 1
         rows.select(*self.read().columns).write.mode("overwrite").parquet(f"{self.folder}/v{new}")
-        out = self.fs.create(self.path(f"{self.folder}/_version"), True)
+        out = self.fs.create(self.path(f"{self.folder}/VERSION"), True)
         out.write(bytearray(str(new).encode()))
         out.close()
         return new

@@ -18,7 +18,7 @@ def duck(folder):
 
 
 def plain(value):
-    if value is None or value is pd.NaT or value != value:
+    if pd.isna(value):
         return "-"
     if isinstance(value, float):
         return f"{value:.6g}"
