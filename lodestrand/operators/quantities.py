@@ -1,11 +1,11 @@
 """Amounts stated in many units, brought to common units and held against what is stored.
 
 Parsing is by `lodestrand.functions.units`; it runs in Arrow batches over narrow columns and keeps
-a bounded memory of texts seen, as the same phrases recur. There is no shuffle but the one that
-drops rows delivered twice.
+a bounded memory of texts seen, as the same phrases recur. There is no shuffle but the one of the
+short results, which drops rows delivered twice.
 
-Defined results: null and empty texts state no amount. Rows with the same id count once (the least
-row). Texts of any length are read whole; text without a known unit states nothing.
+Defined results: null and empty texts state no amount. Equal rows of an id count once; an id is
+wrong if one of its rows is. Rows without an id are ignored. Texts of any length are read whole; text without a known unit states nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodestrand.functions.units import amounts, german, near, same_amounts, stored
 from lodestrand.session import spread, table
@@ -49,24 +48,17 @@ def _maintenance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["tab", "id", "said", "kept", "wrong"])
 
 
-def _once(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per id, the least of its rows."""
-    rest = [c for c in columns if c != "id"]
-    least = F.min(F.struct(*rest)).alias("r")
-    return df.where("id IS NOT NULL").groupBy("id").agg(least).select("id", *(f"r.{c}" for c in rest))
-
-
 def compared(spark: SparkSession, folder: str) -> DataFrame:
-    """tab, id, said (all amounts of the text in common units), kept (the stored field), wrong."""
-    claim = _once(table(spark, folder, "claim"), ["id", "value", "value_normalized", "predicate", "subject", "section", "qualifiers"])
-    maintenance = _once(table(spark, folder, "maintenance"), ["id", "period_text", "period_km", "item", "note"])
+    """tab, id, said (all amounts of the text in common units), kept (the stored field), wrong; rows delivered twice are there twice."""
+    claim = table(spark, folder, "claim").where("id IS NOT NULL").select("id", "value", "value_normalized", "predicate", "subject", "section", "qualifiers")
+    maintenance = table(spark, folder, "maintenance").where("id IS NOT NULL").select("id", "period_text", "period_km", "item", "note")
     return spread(claim).mapInPandas(_claims, COMMON).unionByName(spread(maintenance).mapInPandas(_maintenance, COMMON))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return compared(spark, folder).where("wrong").select("tab", "id")
+    return compared(spark, folder).where("wrong").select("tab", "id").distinct()
 
 
 def p4_amounts(spark: SparkSession, folder: str) -> DataFrame:
     """Every row whose text states amounts, with these in common units."""
-    return compared(spark, folder).where("said <> ''")
+    return compared(spark, folder).where("said <> ''").distinct()
