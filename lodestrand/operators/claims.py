@@ -81,3 +81,22 @@ def evidence_holds(evidence: Column, text: Column) -> Column:
     bare = lambda c: F.regexp_replace(c, r"\s+", "")
     own = F.substring(bare(evidence), 1, 40)
     return F.when(own != "", F.contains(bare(text), own)).otherwise(F.lit(False))
+
+
+def tolerant_json(c: Column, schema: str) -> Column:
+    """The first JSON value in a text, fenced or with words around it and commas before closing brackets; null if there is none."""
+    inner = F.regexp_extract(c, r"(?s)[\[{].*[\]}]", 0)
+    return F.from_json(F.regexp_replace(inner, r",\s*([\]}])", "$1"), schema)
+
+
+def accepted(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Extracted claims whose evidence stands in their chunk, white space aside. found: chunk_id, evidence, ...; chunks: chunk_id, text."""
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    both = found.join(chunks.select("chunk_id", F.col("text").alias("_text")), "chunk_id")
+    return both.where((bare(F.col("evidence")) != "") & F.contains(bare(F.col("_text")), bare(F.col("evidence")))).drop("_text")
+
+
+def severities(changes: DataFrame) -> DataFrame:
+    """doc_source, changes by severity, in one row per document."""
+    n = lambda s: F.count_if(F.col("severity") == s).alias(s)
+    return changes.groupBy("doc_source").agg(*map(n, SEVERITIES))

@@ -145,3 +145,20 @@ def search(documents: DataFrame, queries: DataFrame, k: int, id_column: str = "d
     ranked = out.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     best = F.max("score").over(Window.partitionBy("query_id"))
     return ranked.withColumn("best", best).where(F.col("score") >= FLOOR * F.col("best")).drop("best")
+
+
+def search_postings(stored: DataFrame, frequency: DataFrame, queries: DataFrame, k: int, query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+    """query_id, id, score, rank from a stored index: `postings` and `frequencies` as written once, without phrases.
+
+    Only the postings of the queries' terms are read; they meet the queries in a join, so this is
+    for few or short queries against a large stored index, `search` for many at once.
+    """
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokens(F.col(query_text))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    weight = F.when((F.length("token") == 1) & F.col("token").rlike(X.HAN), F.lit(SINGLE)).otherwise(F.lit(1.0))
+    asked = small(asked.join(frequency.select("token", "idf"), "token").select("query_id", "token", (F.col("times") * F.col("idf") * weight).alias("w")))
+    average = stored.select("id", "length").distinct().agg(F.avg("length").alias("average"))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
+    scored = stored.join(asked, "token").join(F.broadcast(average)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    w = Window.partitionBy("query_id")
+    ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    return ranked.withColumn("best", F.max("score").over(w)).where(F.col("score") >= FLOOR * F.col("best")).drop("best")

@@ -65,6 +65,14 @@ def fault_codes(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.trim(code).alias("code"), F.trim(what).alias("description")).where(F.col("code").rlike(r"^[PBCU][0-9A-F]{4}$") & F.col("description").isNotNull())
 
 
+def maintenance(rows: DataFrame) -> DataFrame:
+    """doc_id, item, period, km, months of the tables whose first two headers are 保养项目 and 周期."""
+    first = F.transform(F.slice("header", 1, 2), lambda h: F.regexp_replace(h, r"\s", ""))
+    own = rows.where(first == F.array(F.lit("保养项目"), F.lit("周期"))).select("doc_id", F.try_element_at("cells", F.lit(1)).alias("item"), F.try_element_at("cells", F.lit(2)).alias("period"))
+    km, months = period(F.col("period"))
+    return own.where("item <> '' AND period IS NOT NULL").select("doc_id", "item", "period", km.alias("km"), months.alias("months"))
+
+
 def period(c: Column) -> tuple[Column, Column]:
     """(km, months) that a maintenance interval states in plain form; null where it states none."""
     plain = F.regexp_replace(c, ",", "")

@@ -428,6 +428,21 @@ def claim_diff(spark: SparkSession, folder: str) -> DataFrame:
     return claims.diff_latest(table(spark, folder, "doc_version"), table(spark, folder, "claim")).drop("subject")
 
 
+@query(
+    "SELECT doc_source, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'none') AS none FROM ("
+    + SQL["claim_diff"]
+    + ") GROUP BY doc_source"
+)
+def severity_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    return claims.severities(claims.diff_latest(table(spark, folder, "doc_version"), table(spark, folder, "claim")))
+
+
+@query("SELECT coalesce(nullif(claim_type, ''), '(none)') AS claim_type, count(*) AS n, count(DISTINCT doc_source) AS n_documents, count(DISTINCT claim_key) AS n_keys FROM (SELECT DISTINCT id, claim_type, doc_source, claim_key FROM claim) GROUP BY 1")
+def claim_stats(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "claim").select("id", "claim_type", "doc_source", "claim_key").distinct()
+    return rows.groupBy(F.coalesce(F.nullif("claim_type", F.lit("")), F.lit("(none)")).alias("claim_type")).agg(F.count("*").alias("n"), F.countDistinct("doc_source").alias("n_documents"), F.countDistinct("claim_key").alias("n_keys"))
+
+
 @query(f"SELECT doc_source, id, checksum, claim_count FROM {_VERSIONS} WHERE age = 1")
 def latest_version(spark: SparkSession, folder: str) -> DataFrame:
     return claims.latest_versions(table(spark, folder, "doc_version")).select("doc_source", "id", "checksum", "claim_count")
@@ -598,6 +613,38 @@ def stream_windows(spark: SparkSession, folder: str) -> DataFrame:
     return _streamed(spark, folder, lambda e: windows.counted(e, "60 minutes"))
 
 
+_CHUNKS = "(SELECT DISTINCT chunk_id, doc_id, source, position, text FROM chunk)"
+
+
+@query(f"SELECT doc_id, string_agg(text, '' ORDER BY position, chunk_id) AS text FROM {_CHUNKS} GROUP BY doc_id")
+def document_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of each document put together; a group is one document's text."""
+    rows = table(spark, folder, "chunk").select("chunk_id", "doc_id", "position", "text").distinct()
+    listed = rows.where("text IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id", "text"))).alias("s"))
+    return listed.select("doc_id", F.array_join(F.transform("s", lambda s: s["text"]), "").alias("text"))
+
+
+@query(f"SELECT source, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_documents, sum(length(text))::BIGINT AS n_chars FROM {_CHUNKS} GROUP BY source")
+def collection_sources(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "chunk").select("chunk_id", "doc_id", "source", "position", "text").distinct()
+    return rows.groupBy("source").agg(F.count("*").alias("n_chunks"), F.countDistinct("doc_id").alias("n_documents"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents), k AS (SELECT * FROM d WHERE len(t) > 0), s AS (SELECT count(*) AS n, avg(len(t)) AS average FROM k), q AS (SELECT car_model, token, count(*) AS times FROM (SELECT car_model, unnest({sql_tokens('display_name')}) AS token FROM vehicle_model) GROUP BY ALL),
+p AS (SELECT doc_id, len, token, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS token FROM k) WHERE token IN (SELECT token FROM q) GROUP BY ALL), f AS (SELECT token, count(*) AS df FROM p GROUP BY token),
+x AS (SELECT car_model, doc_id, round(sum(times * (CASE WHEN length(token) = 1 AND regexp_matches(token, '{HAN}') THEN 0.3::DOUBLE ELSE 1 END) * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / average))), 6) AS score FROM q JOIN p USING (token) JOIN f USING (token), s GROUP BY ALL),
+z AS (SELECT *, row_number() OVER (PARTITION BY car_model ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY car_model) AS best FROM x)
+SELECT car_model, doc_id, score, rank FROM z WHERE rank <= 5 AND score >= 0.15::DOUBLE * best"""
+)
+def index_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that speak most of each vehicle's name, by a stored index."""
+    documents = table(spark, folder, "documents")
+    stored, frequency = (f(documents, "doc_id", F.col("text")) for f in (keyword_index.postings, keyword_index.frequencies))
+    found = keyword_index.search_postings(stored, frequency, table(spark, folder, "vehicle_model"), 5, "car_model", "display_name")
+    return found.select(F.col("query_id").alias("car_model"), F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def extractive_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Retrieve, then answer by the offline generator: the best passage's first sentence, cited."""

@@ -25,11 +25,20 @@ def test_keys_and_evidence(spark):
     assert [r[0] for r in q.collect()] == [["a", "b"], [], []]
 
 
+def test_extracted_claims(spark):
+    texts = ['x ```json\n[{"k": 1,}, {"k": 2}]\n``` y', "none", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(claims.tolerant_json(F.col("t"), "array<struct<k:int>>").alias("j"))
+    assert [None if r["j"] is None else [x["k"] for x in r["j"]] for r in df.collect()] == [[1, 2], None, None]
+    found = spark.createDataFrame([("c", "换 机油"), ("c", "轮胎"), ("c", ""), ("d", "x")], "chunk_id string, evidence string")
+    assert rows(claims.accepted(found, spark.createDataFrame([("c", "每次换机油。")], "chunk_id string, text string"))) == [("c", "换 机油")]
+
+
 def test_markdown_tables(spark):
     text = "x\n| 故障码 | 中文描述 |\n| --- | --- |\n| P0300 | 失火 |\n| P0300–P0399 | 区间 |\n| C1234 | 轮速 |\n\n| 保养项目 | 周期 |\n|---|---|\n| 机油 | 8,000 km 或 8 个月 |"
     found = tables.table_rows(spark.createDataFrame([("d", text), ("d", text), ("e", None), ("f", "")], "doc_id string, text string")).cache()
     assert found.count() == 4
     assert rows(tables.fault_codes(found)) == [("d", "C1234", "轮速"), ("d", "P0300", "失火")]
+    assert rows(tables.maintenance(found)) == [("d", "机油", "8,000 km 或 8 个月", 8000, 8)]
     df = spark.createDataFrame([("8,000 km 或 8 个月",), ("1.6万公里",), ("2 年",), ("免维护",), (None,)], "t string")
     assert [tuple(r) for r in df.select(*tables.period(F.col("t"))).collect()] == [(8000, 8), (16000, None), (None, 24), (None, None), (None, None)]
     models = spark.createDataFrame([("车型A",), (" 车型 A ",), ("别的",)], "m string").select(tables.car_model(F.col("m"), {"车型 A": "标准"}))
