@@ -8,7 +8,7 @@ before. Pieces are slices of the text as stored, so char_start and char_end are
 pieces of a section without their overlaps give the section again.
 
 Defined results: null, empty and short texts (at most `limit`) give no piece, as they need none.
-A text is split whole, whatever its length. Rows of the same id count once (the least text).
+A text is split whole, whatever its length. Equal rows count once; rows without an id are ignored.
 """
 
 from __future__ import annotations
@@ -117,23 +117,26 @@ def _split(limit: int, overlap: int):
 
 
 def split(rows: DataFrame, id_column: str, text_column: str, section_column: str | None = None, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """item_id, piece, section, char_start, char_end, text of all pieces of the texts over the limit."""
+    """item_id, piece, section, char_start, char_end, text of all pieces of the texts over the limit; rows delivered twice give theirs twice."""
     base = F.coalesce(F.trim(F.col(section_column)), F.lit("")) if section_column else F.lit("")
-    long = rows.select(F.col(id_column).alias("item_id"), F.col(text_column).alias("text"), base.alias("base")).where(F.length("text") > limit)
-    once = long.where("item_id IS NOT NULL").groupBy("item_id").agg(F.min(F.struct("text", "base")).alias("r")).select("item_id", "r.text", "r.base")
-    kind = dict(once.dtypes)["item_id"]
-    return spread(once).mapInPandas(_split(limit, overlap), f"item_id {kind}, piece int, section string, char_start int, char_end int, text string")
+    long = rows.select(F.col(id_column).alias("item_id"), F.col(text_column).alias("text"), base.alias("base")).where(F.col("item_id").isNotNull() & (F.length("text") > limit))
+    kind = dict(long.dtypes)["item_id"]
+    return spread(long).mapInPandas(_split(limit, overlap), f"item_id {kind}, piece int, section string, char_start int, char_end int, text string")
 
 
-def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
     documents = split(spark.read.parquet(f"{folder}/source_document.parquet"), "doc_id", "text")
     chunks = split(spark.read.parquet(f"{folder}/chunk.parquet"), "chunk_id", "text", "section")
     return documents.select(F.lit("source_document").alias("item_kind"), "*").unionByName(chunks.select(F.lit("chunk").alias("item_kind"), "*"))
 
 
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The items the operator took apart: those with a second piece."""
-    return p5_pieces(spark, folder).where("piece = 1").select("item_kind", "item_id")
+    return _pieces(spark, folder).where("piece = 1").select("item_kind", "item_id").distinct()
 
 
 P5_FOUND_SQL = """
