@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrand.functions import sql
 from lodestrand.functions.unicode import alnum
 from lodestrand.session import spread
 
@@ -119,19 +120,19 @@ def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarra
     return out, longest
 
 
-def stretches(texts: list[str]) -> Iterator[tuple[list[tuple[int, int]], str, np.ndarray]]:
-    """Texts joined into stretches of about STRETCH characters, long texts cut with SEED - 1 characters in common.
+def stretches(texts: list[str], size: int) -> Iterator[tuple[list[tuple[int, int]], str, np.ndarray]]:
+    """Texts joined into stretches of about `size` characters, long texts cut with SEED - 1 characters in common.
 
     Of each: (text, offset) of its parts, the joined string, and where the parts start in it.
     """
     parts, joined, length = [], [], 0
     for n, text in enumerate(texts):
-        for low in range(0, max(1, len(text) - SEED + 1), STRETCH):
-            part = text[low : low + STRETCH + SEED - 1]
+        for low in range(0, max(1, len(text) - SEED + 1), size):
+            part = text[low : low + size + SEED - 1]
             parts.append((n, low))
             joined.append(part)
             length += len(part) + 1
-            if length > STRETCH:
+            if length > size:
                 yield parts, APART.join(joined), np.cumsum([0] + [len(p) + 1 for p in joined[:-1]])
                 parts, joined, length = [], [], 0
     if parts:
@@ -149,14 +150,14 @@ def around(text: str, places: list[int], reach: int) -> str:
     return APART.join(text[a:b] for a, b in spans)
 
 
-def _search(seeds):
+def _search(seeds, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, owner, items, likely = seeds.value
         shift = np.uint64(64 - FILTER_BITS)
         for pdf in batches:
             norms = [alnum(t) for t in pdf["text"]]
             met: dict[tuple[int, int], list[int]] = defaultdict(list)
-            for first, text, starts in stretches(norms):
+            for first, text, starts in stretches(norms, size):
                 windows = rolling(codes(text), SEED)
                 at = np.flatnonzero(likely[windows >> shift])
                 k = np.minimum(np.searchsorted(known, windows[at]), len(known) - 1)
@@ -196,7 +197,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_column: str = "doc_id", it
         likely = np.zeros(1 << FILTER_BITS, bool)
         likely[known >> np.uint64(64 - FILTER_BITS)] = True
         seeds = spark.sparkContext.broadcast((known, [of[h] for h in known.tolist()], texts, likely))
-        found = docs.mapInPandas(_search(seeds), schema)
+        found = docs.mapInPandas(_search(seeds, STRETCH), schema)
         out = found if out is None else out.unionAll(found)
     return out.distinct() if out is not None else spark.createDataFrame([], schema)
 
@@ -218,3 +219,10 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.max("coverage"), 6).alias("most_covered"),
         F.countDistinct(F.when(F.col("coverage") >= COVERAGE, F.col("doc_id"))).alias("n_covering"),
     )
+
+
+P6_FOUND_SQL = f"""
+WITH runs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 38), lambda i: substr(t, i, 40))) AS run FROM (SELECT item_id, {sql.alnum('text')} AS t FROM eval_item WHERE item_id IS NOT NULL) WHERE length(t) >= 40),
+texts AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 38), lambda i: substr(t, i, 40))) AS run FROM (SELECT doc_id, {sql.alnum('text')} AS t FROM documents) WHERE length(t) >= 40)
+SELECT DISTINCT doc_id, item_id FROM texts JOIN runs USING (run)
+"""

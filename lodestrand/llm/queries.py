@@ -20,4 +20,8 @@ QUERIES = {
     "p8_redacted": pii.p8_redacted,
 }
 
-SQL: dict[str, str] = {"p5_found": splitting.P5_FOUND_SQL}
+SQL: dict[str, str] = {
+    "p1_found": near_duplicates.P1_FOUND_SQL,
+    "p5_found": splitting.P5_FOUND_SQL,
+    "p6_found": leaks.P6_FOUND_SQL,
+}
