@@ -8,8 +8,8 @@ blank counts wherever its window's sum passes a threshold, even inside a real se
 notices count if their window also covers most of the text, as a text that merely mentions such
 words is content.
 
-Texts are read whole, in NFKC with digits alike. There is no shuffle but the one that drops rows
-delivered twice. Defined results: null and empty fields and null elements are no residue.
+Texts are read whole, in NFKC with digits alike. There is no shuffle but that of the results,
+which drops rows delivered twice. Defined results: null and empty fields and null elements are no residue.
 """
 
 from __future__ import annotations
@@ -164,11 +164,11 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def windows(spark: SparkSession, folder: str) -> DataFrame:
-    """id, field_name, nth, kind, start, end, score, coverage of all residue of the evaluation items."""
+    """id, field_name, nth, kind, start, end, score, coverage of all residue of the evaluation items; items delivered twice give theirs twice."""
     items = spark.read.parquet(f"{folder}/multi_turn_set.parquet").where("id IS NOT NULL")
     one = items.select("id", F.lit("ground_truth").alias("field_name"), F.lit(0).alias("nth"), F.col("ground_truth").alias("text"))
     many = items.select("id", F.lit("expected_snippets").alias("field_name"), F.posexplode("expected_snippets").alias("nth", "text"))
-    texts = one.unionByName(many).where("text IS NOT NULL AND text <> ''").distinct()
+    texts = one.unionByName(many).where("text IS NOT NULL AND text <> ''")
     return spread(texts).mapInPandas(_judged, "id string, field_name string, nth int, kind string, start int, end int, score double, coverage double")
 
 
@@ -178,7 +178,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Where the residue stands, in the normalised texts."""
-    return windows(spark, folder).select("id", "field_name", "nth", "kind", "start", "end", F.round("score", 3).alias("score"), F.round("coverage", 4).alias("coverage"))
+    return windows(spark, folder).select("id", "field_name", "nth", "kind", "start", "end", F.round("score", 3).alias("score"), F.round("coverage", 4).alias("coverage")).distinct()
 
 
 def p3_kept(spark: SparkSession, folder: str) -> DataFrame:
