@@ -4,8 +4,8 @@ Documents are counted in tokens of a public tokenizer. The documents of each sou
 hash of their id, into BLOCKS blocks in a random order; block sizes are all that goes to the
 driver, at most sources x BLOCKS rows. The mix is as large as the scarcest source allows: the
 total T for which no source need be repeated more than its cap. A source's quota, its share of T,
-is made of whole passes over its blocks and of one last pass in a fresh random order that stops
-within a block, at the last document that fits.
+is made of whole passes over its blocks and of one last pass in a fresh random order of the blocks
+that still fit; what then is left is filled from the smallest other block, document by document.
 
 Block quotas are dealt to the output shards by a splitting tree: at each node the left half of
 the shards gets a multivariate hypergeometric draw of the node's blocks by source, so each shard
@@ -35,6 +35,8 @@ from lodestrand.session import cut, spread
 BLOCKS = 1024
 SHARD_TOKENS, MOST_SHARDS = 5_000_000, 4096
 MOST_SOURCES = 1_000
+#: The share of a quota that may stay open before documents of the last pass are drawn once more.
+SLACK = 0.005
 SEED = 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -97,12 +99,18 @@ def plan(blocks: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]
         passes = min(targets[s][1], quota // tokens[s])
         own = [(b, c, None) for c in range(passes) for b in blocks[s]]
         rest = quota - passes * tokens[s]
-        for b in r.permutation(sorted(blocks[s])).tolist() if passes < targets[s][1] else ():
-            if blocks[s][b] > rest:
-                own.append((b, passes, rest))
-                break
-            own.append((b, passes, None))
-            rest -= blocks[s][b]
+        at, over = passes, []
+        while at < targets[s][1] and rest > (quota * SLACK if over else 0):  # a further pass only if large blocks left much open
+            over = []
+            for b in r.permutation(sorted(blocks[s])).tolist():
+                if blocks[s][b] > rest:
+                    over.append(b)
+                else:
+                    own.append((b, at, None))
+                    rest -= blocks[s][b]
+            at += 1
+        if over:
+            own.append((min(over, key=lambda b: blocks[s][b]), at - 1, rest))
         draws[s] = [own[k] for k in r.permutation(len(own))]
     count = shards or min(MOST_SHARDS, max(1, math.ceil(total / SHARD_TOKENS)))
     dealt = split(np.array([len(draws[s]) for s in live], np.int64), count, r)
