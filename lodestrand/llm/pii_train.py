@@ -19,6 +19,7 @@ from lodestrand.llm.tagger import Tagger, fit, tags_of
 SAMPLE_DOCS, SAMPLE_PLAIN, SWAPS = 10_000, 60_000, 4
 #: Segments without a span that occur so often are learnt five times over.
 OFTEN = 30
+DAMAGED = 12_000
 LEAST_SEEN = 2
 
 
@@ -78,7 +79,10 @@ def main(source: str, out: str = pii.MODEL) -> None:
             pool.setdefault((kind, k[a:b].isascii()), []).append(k[a:b])
     with_spans += [swapped(k, v, pool, r) for k, v in with_spans for _ in range(SWAPS)]
     loud = [(up, v) for k, v in with_spans if (up := shouted(k, v)) != k]
-    data = [w for k, v in with_spans + loud + [(k, []) for k in without] for w in windows_of(k, v)]
+    # damaged copies of what holds nothing: in capitals, and cut anywhere
+    some = [without[k] for k in r.integers(0, len(without), DAMAGED)]
+    damaged = [k.upper() for k in some[::2] if k.upper() != k] + [k[a:] for k in some[1::2] if len(k) > 12 for a in (int(r.integers(1, len(k) - 8)),)]
+    data = [w for k, v in with_spans + loud + [(k, []) for k in without + damaged] for w in windows_of(k, v)]
     seen: dict[str, int] = {}
     for k in train:
         for c in set(k):
@@ -93,7 +97,7 @@ def main(source: str, out: str = pii.MODEL) -> None:
     parts = list(train)
     wrong = [k for k, spans in zip(parts, pii.decode(parts, tagger)) if sorted(spans) != sorted(map(tuple, train[k]))]
     print(len(wrong), "segments of the sample wrong", flush=True)
-    data = [w for k, v in with_spans + loud + [(k, []) for k in without[: SAMPLE_PLAIN // 2] + without[SAMPLE_PLAIN:]] + [(k, train[k]) for k in wrong] * 5 for w in windows_of(k, v)]
+    data = [w for k, v in with_spans + loud + [(k, []) for k in without[: SAMPLE_PLAIN // 2] + without[SAMPLE_PLAIN:] + damaged] + [(k, train[k]) for k in wrong] * 5 for w in windows_of(k, v)]
     fit(tagger, data, 4, rate=2e-3, say=say)
     tagger.save(out)
     tagger = Tagger.load(out)
