@@ -69,11 +69,16 @@ def reuse_plan(chunks: DataFrame, known: DataFrame) -> DataFrame:
 
 def impact(versions: DataFrame, claims: DataFrame, word: str) -> DataFrame:
     """doc_source, n: how many claims of each document's latest version hold a word in subject, predicate or value."""
+    return listing(versions, claims, word).groupBy("doc_source").agg(F.count("*").alias("n"))
+
+
+def listing(versions: DataFrame, claims: DataFrame, word: str) -> DataFrame:
+    """The claims of each document's latest version that hold a word in subject, predicate or value."""
     newest = latest_versions(versions).select(F.col("id").alias("version_id"))
     held = F.lit(False)
     for c in ("subject", "predicate", "value"):
         held = held | F.coalesce(F.col(c).ilike(f"%{word}%"), F.lit(False))
-    return claims.dropDuplicates(["id"]).where(held).join(newest, "version_id", "left_semi").groupBy("doc_source").agg(F.count("*").alias("n"))
+    return claims.dropDuplicates(["id"]).where(held).join(newest, "version_id", "left_semi")
 
 
 def evidence_holds(evidence: Column, text: Column) -> Column:

@@ -86,3 +86,10 @@ def cache_replay(requests: DataFrame, key: str, time: str, order: str, ttl_secon
 def dedupe(rows: DataFrame, keys: list, order: list) -> DataFrame:
     """The first row of each key."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def evicted(turns: DataFrame, cap: int = 512, session: str = "session_id", order: str = "id") -> DataFrame:
+    """The sessions that a store of at most `cap` sessions has dropped, the earliest begun first: all but a top-k."""
+    begun = turns.where(F.col(session).isNotNull()).groupBy(session).agg(F.min(order).alias("begun"))
+    kept = begun.orderBy(F.desc("begun"), F.desc(session)).limit(cap)
+    return begun.join(kept.select(session), session, "left_anti")

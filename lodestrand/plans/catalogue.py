@@ -321,6 +321,12 @@ def refusal_paths(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.distribution(_judged(spark, folder), M.refusal_path(F.col("none"), F.col("declared"), F.col("substantive")), "path")
 
 
+@query(f"SELECT id, category FROM {_ITEMS} WHERE NOT coalesce(must_refuse, false) AND {_SQL_DECLARED}")
+def review_queue(spark: SparkSession, folder: str) -> DataFrame:
+    """Items to be answered whose reference declares that there is no evidence."""
+    return _judged(spark, folder).where("NOT must AND declared").select("id", "category")
+
+
 @query(
     f"""SELECT CASE WHEN coalesce(must_refuse, false) AND {_SQL_REFUSED} THEN 'ok' WHEN coalesce(must_refuse, false) THEN 'missed_refusal' WHEN {_SQL_REFUSED} AND {_SQL_SUBSTANTIVE} THEN 'wrong_refusal'
     WHEN {_SQL_REFUSED} AND len(coalesce(expected_sources, [])) > 0 THEN 'evidence_miss' WHEN {_SQL_REFUSED} THEN 'wrong_refusal'
@@ -459,6 +465,11 @@ def impact_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return claims.impact(table(spark, folder, "doc_version"), table(spark, folder, "claim"), "Nm")
 
 
+@query(f"SELECT DISTINCT id, doc_source, subject, predicate, value FROM claim WHERE (subject ILIKE '%bar%' OR predicate ILIKE '%bar%' OR value ILIKE '%bar%') AND version_id IN (SELECT id FROM {_VERSIONS} WHERE age = 1)")
+def claim_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return claims.listing(table(spark, folder, "doc_version"), table(spark, folder, "claim"), "bar").select("id", "doc_source", "subject", "predicate", "value")
+
+
 @query(
     """WITH q AS (SELECT unnest(['ke-01', 'VELOR', 'zzz', 'OM-03']) AS word), e AS (SELECT car_model, display_name, word, 'code' AS how FROM vehicle_model JOIN q ON upper(car_model) = upper(word)), r AS (SELECT word FROM q WHERE word NOT IN (SELECT word FROM e))
 SELECT * FROM e UNION ALL SELECT car_model, display_name, word, 'keyword' FROM vehicle_model JOIN r ON contains(lower(concat_ws(chr(10), car_model, display_name)), lower(word))"""
@@ -504,6 +515,14 @@ def session_window(spark: SparkSession, folder: str) -> DataFrame:
     return serving.last_turns(rows).select("session_id", "id", "turn", F.col("back").cast("long").alias("back"), "in_context")
 
 
+@query(
+    "WITH s AS (SELECT session_id, min(id) AS begun FROM multi_turn_set WHERE session_id IS NOT NULL GROUP BY session_id) SELECT session_id, begun FROM (SELECT *, row_number() OVER (ORDER BY begun DESC, session_id DESC) AS n FROM s) WHERE n > 20"
+)
+def evicted_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """What a store of the 20 sessions begun last no longer has."""
+    return serving.evicted(table(spark, folder, "multi_turn_set"), 20)
+
+
 _RANK = "list_extract(list_sort(list(value)), (round_even({p} * (count(value) - 1), 0) + 1)::BIGINT)"
 
 

@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodestrand.operators import ingest
-from lodestrand.sources import files
+from lodestrand.sources import files, report
 from lodestrand.sources.store import Table
 from lodestrand.streaming import windows
 from tests.conftest import rows
@@ -37,6 +37,13 @@ def test_evaluation_set_and_anchors(spark, tmp_path):
     assert files.registry(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_reports(spark, tmp_path):
+    summary = spark.createDataFrame([("a", 1), (None, 2)], "label string, n int")
+    assert report.save(spark, str(tmp_path), "set", {"labels": summary, "none": summary.limit(0)}, "r1") == "r1"
+    assert [r["run"] for r in files.reports(spark, str(tmp_path)).collect()] == ["r1"]
+    assert "| a | 1 |\n|  | 2 |" in (tmp_path / "report_r1.md").read_text()
+
+
 def test_table(spark, tmp_path):
     t = Table(spark, str(tmp_path / "t"), "k int, v string")
     rows_of = lambda *x: spark.createDataFrame(list(x), "k int, v string")
