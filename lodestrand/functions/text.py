@@ -41,9 +41,18 @@ def normalize(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+# Fixed value: where sentences end.
+SENTENCE_END = r"(?<=[。！？!?；;])|(?<=\.)\s+"
+# The marks of Markdown, in the order in which they go.
+MARKS = (
+    (r"(?s)```.*?```", ""), (r"`([^`]*)`", "$1"), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^\s{0,3}#{1,6}\s*", ""),
+    (r"(?m)^\s{0,3}>\s?", ""), (r"\*\*([^*]*)\*\*", "$1"), (r"(?<!\*)\*([^*]*)\*(?!\*)", "$1"), (r"(?m)^\s*[-*+]\s+", ""),
+)
+
+
 def sentences(c: Column) -> Column:
     """Sentences with their marks, trimmed; the whole text if there is none."""
-    parts = F.filter(F.transform(F.split(c, r"(?<=[。！？!?；;])|(?<=\.)\s+"), strip), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(c, SENTENCE_END), strip), lambda s: s != "")
     return F.when((F.size(parts) == 0) & (c != ""), F.array(c)).otherwise(parts)
 
 
@@ -79,10 +88,7 @@ def strip_rules(c: Column) -> Column:
 
 def strip_markdown(c: Column) -> Column:
     """The text without the marks of Markdown."""
-    for pattern, by in (
-        (r"(?s)```.*?```", ""), (r"`([^`]*)`", "$1"), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^\s{0,3}#{1,6}\s*", ""),
-        (r"(?m)^\s{0,3}>\s?", ""), (r"\*\*([^*]*)\*\*", "$1"), (r"(?<!\*)\*([^*]*)\*(?!\*)", "$1"), (r"(?m)^\s*[-*+]\s+", ""),
-    ):
+    for pattern, by in MARKS:
         c = F.regexp_replace(c, pattern, by)
     return normalize(c)
 
