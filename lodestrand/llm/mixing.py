@@ -2,7 +2,7 @@
 
 Documents are counted in tokens of a public tokenizer. The documents of each source fall, by a
 hash of their id, into BLOCKS blocks in a random order; block sizes are all that goes to the
-driver, at most sources x BLOCKS rows. The mix is as large as the scarcest source allows: the
+driver, at most sources x BLOCKS rows, and the plan that comes back is at most MOST_DRAWS rows. The mix is as large as the scarcest source allows: the
 total T for which no source need be repeated more than its cap. A source's quota, its share of T,
 is made of whole passes over its blocks and of one last pass in a fresh random order of the blocks
 that still fit; what then is left is filled from the smallest other block, document by document.
@@ -34,7 +34,7 @@ from lodestrand.session import cut, spread
 
 BLOCKS = 1024
 SHARD_TOKENS, MOST_SHARDS = 5_000_000, 4096
-MOST_SOURCES = 1_000
+MOST_SOURCES, MOST_DRAWS = 1_000, 1_000_000
 #: The share of a quota that may stay open before documents of the last pass are drawn once more.
 SLACK = 0.005
 SEED = 20
@@ -84,18 +84,35 @@ def split(counts: np.ndarray, shards: int, r: np.random.Generator) -> np.ndarray
     return np.vstack([split(drawn, left, r), split(counts - drawn, shards - left, r)])
 
 
+def quotas(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, int]:
+    """The tokens that each source gives to the largest mix that the caps allow."""
+    live = sorted(s for s, (share, most) in targets.items() if share > 0 and most > 0 and tokens.get(s))
+    whole = sum(targets[s][0] for s in live)
+    total = min((targets[s][1] * tokens[s] * whole / targets[s][0] for s in live), default=0)
+    return {s: math.floor(total * targets[s][0] / whole + 1e-6) for s in live}
+
+
+def folded(blocks: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]]) -> int:
+    """How many blocks per source to deal in, so that all passes together make at most MOST_DRAWS draws."""
+    tokens = {s: sum(b.values()) for s, b in blocks.items()}
+    passes = sum(min(targets[s][1], q // tokens[s] + 1) for s, q in quotas(tokens, targets).items())
+    count = BLOCKS
+    while count > 1 and count * passes > MOST_DRAWS:
+        count //= 2
+    return count
+
+
 def plan(blocks: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]], shards: int | None = None, seed: int = SEED) -> list[tuple[str, int, int, int, int | None]]:
     """(source, block, copy, shard, budget) of every draw of a block; budget bounds the tokens of a last, partial one."""
     r = np.random.default_rng(seed)
-    tokens = {s: sum(blocks.get(s, {}).values()) for s in targets}
-    live = sorted(s for s, (share, most) in targets.items() if share > 0 and most > 0 and tokens[s])
+    tokens = {s: sum(b.values()) for s, b in blocks.items()}
+    due = quotas(tokens, targets)
+    live = list(due)
     if not live:
         return []
-    whole = sum(targets[s][0] for s in live)
-    total = min(targets[s][1] * tokens[s] * whole / targets[s][0] for s in live)
     draws: dict[str, list] = {}
     for s in live:
-        quota = math.floor(total * targets[s][0] / whole + 1e-6)
+        quota = due[s]
         passes = min(targets[s][1], quota // tokens[s])
         own = [(b, c, None) for c in range(passes) for b in blocks[s]]
         rest = quota - passes * tokens[s]
@@ -112,7 +129,7 @@ def plan(blocks: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]
         if over:
             own.append((min(over, key=lambda b: blocks[s][b]), at - 1, rest))
         draws[s] = [own[k] for k in r.permutation(len(own))]
-    count = shards or min(MOST_SHARDS, max(1, math.ceil(total / SHARD_TOKENS)))
+    count = shards or min(MOST_SHARDS, max(1, math.ceil(sum(due.values()) / SHARD_TOKENS)))
     dealt = split(np.array([len(draws[s]) for s in live], np.int64), count, r)
     out, at = [], dict.fromkeys(live, 0)
     for shard, row in enumerate(dealt.tolist()):
@@ -135,6 +152,10 @@ def mix(documents: DataFrame, targets: DataFrame, shards: int | None = None) ->
     by: dict[str, dict[int, int]] = {}
     for row in known.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():
         by.setdefault(row["source"], {})[row["block"]] = row["n"]
+    count = folded(by, wanted)
+    if count < BLOCKS:
+        known = known.withColumn("block", F.col("block") % count)
+        by = {s: {b: sum(n for k, n in own.items() if k % count == b) for b in {k % count for k in own}} for s, own in by.items()}
     schema = "source string, block int, copy int, shard int, budget long"
     draws = F.broadcast(spark.createDataFrame(plan(by, wanted, shards), schema))
     drawn = known.join(draws, ["source", "block"])

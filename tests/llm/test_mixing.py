@@ -28,6 +28,15 @@ def test_plan_reaches_quotas():
     assert mixing.plan({}, {"a": (1.0, 1)}) == []
 
 
+def test_plans_stay_small(monkeypatch):
+    blocks, targets = {"tiny": {b: 1 for b in range(8)}, "big": {b: 900 for b in range(8)}}, {"tiny": (0.5, 10_000), "big": (0.5, 1)}
+    monkeypatch.setattr(mixing, "BLOCKS", 8)
+    monkeypatch.setattr(mixing, "MOST_DRAWS", 2_000)
+    assert mixing.quotas({"tiny": 8, "big": 7200}, targets) == {"big": 7200, "tiny": 7200}
+    assert mixing.folded(blocks, targets) == 2
+    assert sum(d[0] == "tiny" for d in mixing.plan(blocks, targets)) == 7200
+
+
 def test_mix(tables, spark):
     given = [(k, "更换机油 word " * (1 + k % 5), ["Hot", " hot ", "cold", None, "other"][min(k % 7, 4)], 1, 2) for k in range(600)]
     given += given[:50] + [(1000, None, "hot", 1, 2), (1001, "", "hot", 1, 2), (None, "x", "hot", 1, 2), (1002, "wort " * 30_000, "cold", 1, 2)]
