@@ -44,11 +44,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes per core below which a shuffled result counts as small.
+SMALL = 64 << 20
+
+
 def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """`df` in at least `per_core` partitions per core, for stages whose cost is CPU and not data.
 
-    Scans of a few small files give fewer partitions than the cluster has cores; large inputs
-    already have more and pass through without a shuffle.
+    Scans of a few small files, and small results of a shuffle that adaptive execution puts
+    together, give fewer partitions than the cluster has cores. Large inputs have more already and
+    pass through without a shuffle. Nothing runs to find that out: a scan's partitions are planned,
+    and the size of what comes after a shuffle is the optimizer's estimate.
     """
     want = df.sparkSession.sparkContext.defaultParallelism * per_core
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    execution = df._jdf.queryExecution()
+    if "Exchange" in execution.executedPlan().toString():
+        few = int(str(execution.optimizedPlan().stats().sizeInBytes())) < want * SMALL
+    else:
+        few = df.rdd.getNumPartitions() < want
+    return df.repartition(want) if few else df
