@@ -23,7 +23,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     def __init__(self, alphabet: str, weights: dict[str, np.ndarray]):
         self.alphabet, self.w = alphabet, weights
-        self.code = {c: k + 1 for k, c in enumerate(alphabet)}
+        self.table = np.zeros(0x20000, np.int32)
+        for k, c in enumerate(alphabet):
+            self.table[min(ord(c), 0x1FFFF)] = k + 1
+        self.table[-1] = 0
         self.tables: dict[str, np.ndarray] | None = None
 
     @classmethod
@@ -47,8 +50,8 @@ class Tagger:
 
     def codes(self, texts: list[str]) -> np.ndarray:
         """The codes of texts of one length, unknown characters being 0."""
-        get = self.code.get
-        return np.array([[get(c, 0) for c in t] for t in texts], np.int32)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), -1)
+        return self.table[np.minimum(points, 0x1FFFF)]
 
     def _states(self, d: str, x: np.ndarray) -> np.ndarray:
         """Hidden states (time, batch, hidden) of one direction over codes (time, batch)."""
