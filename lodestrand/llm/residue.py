@@ -74,19 +74,39 @@ class Model:
             tables.append((keys, counts.astype(np.int32), contexts, uses.astype(np.int32), different.astype(np.int32)))
         return cls(tables)
 
-    def log(self, g: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The logarithm of each character's probability, by Witten-Bell interpolation."""
 
-        def at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-            k = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[k] == wanted, values[k], 0)
+class Together:
+    """Several models over one table of runs and one of contexts per order, so that each run is looked up once for all."""
 
-        p = np.full(g.shape[1], 1 / ALPHABET, np.float64)
+    def __init__(self, models: dict[str, Model]):
+        self.kinds = list(models)
+        self.tables = []
+        for k in range(ORDER):
+            own = [m.tables[k] for m in models.values()]
+            keys, contexts = (np.unique(np.concatenate([t[i] for t in own])) for i in (0, 2))
+            counts, uses, different = (np.zeros((len(own), len(x)), np.int32) for x in (keys, contexts, contexts))
+            for row, t in enumerate(own):
+                counts[row, np.searchsorted(keys, t[0])] = t[1]
+                at = np.searchsorted(contexts, t[2])
+                uses[row, at], different[row, at] = t[3], t[4]
+            self.tables.append((keys, counts, contexts, uses, different))
+
+    def logs(self, g: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
+        """The logarithm of each character's probability in each model, by Witten-Bell interpolation."""
+
+        def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return at, keys[at] == wanted
+
+        p = np.full((len(self.kinds), g.shape[1]), 1 / ALPHABET, np.float64)
         for k, (keys, counts, contexts, uses, different) in enumerate(self.tables):
-            used, kinds = at(contexts, uses, c[k]), at(contexts, different, c[k])
-            total = used + kinds
-            p = np.where(total > 0, (at(keys, counts, g[k + 1]) + kinds * p) / np.maximum(total, 1), p)
-        return np.log(p)
+            at, there = find(contexts, c[k])
+            run, known = find(keys, g[k + 1])
+            for row in range(len(p)):
+                used, kinds = uses[row][at] * there, different[row][at] * there
+                total = used + kinds
+                p[row] = np.where(total > 0, (counts[row][run] * known + kinds * p[row]) / np.maximum(total, 1), p[row])
+        return dict(zip(self.kinds, np.log(p)))
 
 
 PARTS = ("keys", "counts", "contexts", "uses", "different")
@@ -96,9 +116,9 @@ def save(models: dict[str, Model], path: str) -> None:
     np.savez_compressed(path, **{f"{kind}_{k}_{part}": x for kind, m in models.items() for k, t in enumerate(m.tables) for part, x in zip(PARTS, t)})
 
 
-def load(path: str = MODEL) -> dict[str, Model]:
+def load(path: str = MODEL) -> Together:
     with np.load(path) as z:
-        return {kind: Model([tuple(z[f"{kind}_{k}_{part}"] for part in PARTS) for k in range(ORDER)]) for kind in ("prose", *KINDS)}
+        return Together({kind: Model([tuple(z[f"{kind}_{k}_{part}"] for part in PARTS) for k in range(ORDER)]) for kind in ("prose", *KINDS)})
 
 
 def window(ratio: np.ndarray) -> tuple[int, int, float]:
@@ -111,13 +131,13 @@ def window(ratio: np.ndarray) -> tuple[int, int, float]:
     return start, end + 1, float(gain[end])
 
 
-def examine(texts: list[str], models: dict[str, Model]) -> list[list[tuple[str, int, int, float, float]]]:
+def examine(texts: list[str], models: Together) -> list[list[tuple[str, int, int, float, float]]]:
     """(kind, start, end, sum, coverage) of the best window of each kind over each normalised text."""
     texts = [normal(t) for t in texts]
     both = [runs(t) for t in texts]
     g, c = (np.concatenate([b[k] for b in both], axis=1) for k in (0, 1))
-    prose = models["prose"].log(g, c)
-    ratios = {kind: np.clip(models[kind].log(g, c) - prose, -CLIP, CLIP) for kind in KINDS}
+    logs = models.logs(g, c)
+    ratios = {kind: np.clip(logs[kind] - logs["prose"], -CLIP, CLIP) for kind in KINDS}
     out, at = [], 0
     for text in texts:
         own = []
