@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,8 @@ from lodestrand.session import spread
 
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
 WINDOW, OVERLAP = 128, 48
+#: Pieces of more characters than this are joined, not decoded again together.
+WIDEST = 1024
 MEMORY = 400_000
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
@@ -104,19 +107,37 @@ def reconcile(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 
 def decode(parts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
-    """The reconciled spans of each segment."""
-    place, cut = [], []
-    for k, part in enumerate(parts):
-        for a, b in windows(len(part)):
-            place.append((k, a, b == len(part)))
-            cut.append(part[a:b])
+    """The reconciled spans of each segment.
+
+    What touches an inner edge of a window may be a piece of a longer span that no window sees
+    whole. It is decoded again with OVERLAP characters around it, wider each time, until it touches no
+    inner edge; pieces that make up more than WIDEST characters are joined as they are.
+    """
     found: list[list] = [[] for _ in parts]
-    for (k, a, last), spans, window in zip(place, tagger.decode(cut), cut):
-        for s, e, kind in spans:
-            # a span cut by a window's edge is left to the neighbour that sees it whole
-            if (a and s == 0) or (not last and e == len(window)):
-                continue
-            found[k].append((a + s, a + e, kind))
+    todo = [(k, a, b, 0, len(part)) for k, part in enumerate(parts) for a, b in windows(len(part))]
+    while todo:
+        pieces: dict[int, list] = defaultdict(list)
+        for (k, a, b, low, high), spans in zip(todo, tagger.decode([parts[k][a:b] for k, a, b, _, _ in todo])):
+            for s, e, kind in ((a + s, a + e, kind) for s, e, kind in spans if a + s < high and a + e > low):
+                if (a and s == a) or (b < len(parts[k]) and e == b):
+                    # together with what it was sought for, so that the next window is wider
+                    own = (min(s, low), max(e, high)) if (low, high) != (0, len(parts[k])) else (s, e)
+                    pieces[k].append((*own, (s, e, kind)))
+                else:
+                    found[k].append((s, e, kind))
+        todo = []
+        for k, own in pieces.items():
+            groups: list[tuple[int, int, list]] = []
+            for s, e, piece in sorted(own):
+                if groups and s < groups[-1][1]:
+                    groups[-1] = (groups[-1][0], max(e, groups[-1][1]), [*groups[-1][2], piece])
+                else:
+                    groups.append((s, e, [piece]))
+            for s, e, some in groups:
+                if e - s > WIDEST:
+                    found[k] += some
+                else:
+                    todo.append((k, max(0, s - OVERLAP), min(len(parts[k]), e + OVERLAP), s, e))
     return [reconcile(f) for f in found]
 
 

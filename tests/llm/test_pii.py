@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -44,6 +46,24 @@ def test_reconcile():
     assert pii.reconcile([(0, 5, "name"), (3, 8, "name"), (7, 9, "phone"), (20, 22, "phone")]) == [(0, 8, "name"), (20, 22, "phone")]
 
 
+class Runs:
+    """Tags each run of X as an address and sees no further than its window."""
+
+    def decode(self, texts):
+        return [[(m.start(), m.end(), "address") for m in re.finditer("X+", t)] for t in texts]
+
+
+@pytest.mark.parametrize("length", [1, 47, 48, 49, 60, 70, 79, 80, 81, 120, 128, 129, 400, 1024, 1025, 3000])
+def test_no_span_is_lost_between_windows(length):
+    parts = ["o" * at + "X" * length + "o" * (4000 - at - length) for at in range(0, 401 if length < 1024 else 81)]
+    assert pii.decode(parts, Runs()) == [[(at, at + length, "address")] for at in range(len(parts))]
+
+
+def test_neighbouring_spans_stay_apart():
+    parts = ["o" * at + "X" * 60 + "o" + "X" * 55 + "o" * 200 for at in range(160)]
+    assert pii.decode(parts, Runs()) == [[(at, at + 60, "address"), (at + 61, at + 116, "address")] for at in range(160)]
+
+
 def test_queries(tables, spark):
     long = "更换鼓风机用时约6分钟。" * 20_000 + "客户冯棠桐来电反映胎面偏磨。"
     given = [(1, "回访电话不详。客户冯棠桐来电反映胎面偏磨，回访电话13800000924。客户冯棠桐来电反映胎面偏磨，回访电话13800000924。", "k", 1, 1), (2, None, "k", 1, 1), (3, "", "k", 1, 1), (4, long, "k", 1, 1), (5, "x" * 5000, "k", 1, 1)]
