@@ -1,11 +1,11 @@
 """Personal data in free text, found by a character tagger and replaced by typed placeholders.
 
-A text is mapped character by character to half-width forms with all digits alike, cut into
-segments at sentence and clause ends, short numbers within them are shortened to one digit, and
-long segments are cut into overlapping windows of WINDOW characters. The tagger (bidirectional LSTM with CRF, `lodestrand.llm.tagger`) decodes each
-distinct segment once per worker: texts repeat phrases, and equal input has equal output. The
-spans of all windows of a text are then reconciled together: of overlapping spans the union stands
-if they are of one kind, else the longer one. An exact check of form follows: an e-mail address
+A text is mapped character by character to half-width forms with all digits alike, short numbers
+are shortened to one digit, and the whole text is read in overlapping windows of WINDOW characters,
+across the ends of clauses, sentences and lines. The tagger (bidirectional LSTM with CRF,
+`lodestrand.llm.tagger`) decodes each window; what a window's edge cuts is decoded again in a wider
+one. The spans of all windows of a text are then reconciled together: of overlapping spans the union
+stands if they are of one kind, else the longer one. An exact check of form follows: an e-mail address
 must have its @, a phone number 7 to 21 digits with its extension, an identity number 8 letters or digits at least, an
 address a house number, a name no digit.
 
@@ -31,20 +31,18 @@ MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
 WINDOW, OVERLAP = 128, 48
 #: Pieces of more characters than this are joined, not decoded again together.
 WIDEST = 1024
-MEMORY = 400_000
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 HALF = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if chr(c) not in "，；：！？"} | {0x3000: 32, 0xA0: 32, 13: 10, 0x2007: 32, 0x202F: 32}
 SHAPE = HALF | {ord(c): "0" for c in "0123456789"} | {c: "0" for c in range(0xFF10, 0xFF1A)}
 CODE = re.compile(r"[A-Z]+(?=-?0)|(?<=0)[A-Z]+")
 NUMBER = re.compile(r"(?<![\w.+(/@-])(?<!0 )0{1,3}(?:\.0{1,2})?(?![\w./@-]| ?[0(])|(?<=[一-鿿])0{1,3}(?:\.0{1,2})?(?=[^0A-Za-z ./@-]|[KNVm%LMΩk])")
-BREAK = re.compile(r"[。！？；，]+|; |, (?=[a-zäöü])|\n+|\t|(?<=[^\s.]{3}[.!?])(?<!Mrs\.)(?<!gez\.) +(?=[A-ZÄÖÜ])|(?m:^(?:[A-Z][a-z]{3,8}: |[一-鿿]{2}：))")
-MAIL = re.compile(r"[A-Za-z0-9_.+-]+(?: ?@ ?| ?[(\[{] ?at ?[)\]}] ?| at )[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]+)+", re.I)
+MAIL = re.compile(r"[A-Za-z0-9_.+-]+(?:\s?@\s?|\s?[(\[{] ?at ?[)\]}]\s?|\sat\s)[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]+)+", re.I)
 EXTENSION = re.compile(r"ext|[x转]", re.I)
 EDGE = re.compile(r"[^\w+(]+")
 TITLE = re.compile(r"(?:[^\w]*(?:gez\.|Herrn?|Frau|Mrs?\.?|Ms\.?)? *)")
 
-_state: dict = {"tagger": None, "known": {}}
+_state: dict = {"tagger": None}
 
 
 def plain(text: str) -> str:
@@ -57,33 +55,22 @@ def shape(text: str) -> str:
     return CODE.sub(lambda m: "A" * len(m[0]), text.translate(SHAPE))
 
 
-def shorten(segment: str) -> str:
-    """The segment with each short number as the digit 1; this is what is decoded and remembered."""
-    return NUMBER.sub("1", segment)
+def shorten(shaped: str) -> str:
+    """The text with each short number as the digit 1; this is what is decoded."""
+    return NUMBER.sub("1", shaped)
 
 
-def places(segment: str) -> list[int]:
-    """For each place in the shortened segment, and its end, the place in the segment."""
+def places(shaped: str) -> list[int]:
+    """For each place in the shortened text, and its end, the place in the text."""
     out, at = [], 0
-    for m in NUMBER.finditer(segment):
+    for m in NUMBER.finditer(shaped):
         out += range(at, m.start() + 1)
         at = m.end()
-    return [*out, *range(at, len(segment) + 1)]
-
-
-def segments(shaped: str) -> list[tuple[int, int]]:
-    out, start = [], 0
-    for m in BREAK.finditer(shaped):
-        if m.end() > start:
-            out.append((start, m.end()))
-            start = m.end()
-    if start < len(shaped):
-        out.append((start, len(shaped)))
-    return out
+    return [*out, *range(at, len(shaped) + 1)]
 
 
 def windows(length: int) -> list[tuple[int, int]]:
-    """Overlapping windows over a segment."""
+    """Overlapping windows over a text."""
     out, start = [], 0
     while length - start > WINDOW:
         out.append((start, start + WINDOW))
@@ -107,7 +94,7 @@ def reconcile(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 
 def decode(parts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
-    """The reconciled spans of each segment.
+    """The reconciled spans of each text.
 
     What touches an inner edge of a window may be a piece of a longer span that no window sees
     whole. It is decoded again with OVERLAP characters around it, wider each time, until it touches no
@@ -166,27 +153,16 @@ def find(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """(start, end, kind) of the personal data of each text, in order."""
     if _state["tagger"] is None:
         _state["tagger"] = Tagger.load(MODEL)
-    known = _state["known"]
-    if len(known) > MEMORY:
-        known.clear()
-    cut = []
-    for text in texts:
-        shaped = shape(text) if text else ""
-        cut.append([(a, shorten(own), own) for a, b in segments(shaped) for own in (shaped[a:b],)])
-    new = list({part for parts in cut for _, part, _ in parts if part not in known})
-    for start in range(0, len(new), 20_000):
-        some = new[start : start + 20_000]
-        known.update(zip(some, decode(some, _state["tagger"])))
+    shaped = [shape(text) if text else "" for text in texts]
+    read = [shorten(own) for own in shaped]
+    new = list(dict.fromkeys(read))
+    known = dict(zip(new, decode(new, _state["tagger"])))
     out = []
-    for text, parts in zip(texts, cut):
+    for text, own, part in zip(texts, shaped, read):
         spans = []
-        for at, part, own in parts:
-            if found := known[part]:
-                back = places(own)
-                spans += [(at + back[a], at + back[b], kind) for a, b, kind in found]
-        if spans:
-            flat = plain(text)
-            spans = reconcile([(s, e, kind) for a, b, kind in spans for s, e in confirm(flat, a, b, kind)])
+        if found := known[part]:
+            back, flat = places(own), plain(text)
+            spans = reconcile([(s, e, kind) for a, b, kind in found for s, e in confirm(flat, back[a], back[b], kind)])
         out.append(spans)
     return out
 

@@ -1,11 +1,15 @@
 """Training of the tagger: python -m lodestrand.llm.pii_train DOCUMENTS [OUT]
 
-The sample is bounded: at most SAMPLE_DOCS documents, of which every distinct segment with a
-labelled span and at most SAMPLE_PLAIN without one are used. One document in ten is held out.
+The sample is bounded: at most SAMPLE_DOCS documents, of which every window with a labelled span and
+at most SAMPLE_PLAIN without one are used; of the distinct clauses, those with a span and SHORT without
+are examples of short texts. One document in ten is held out. Training goes on from the stored
+weights, if there are any.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import sys
 import time
 from bisect import bisect_left
@@ -16,11 +20,26 @@ import pandas as pd
 from lodestrand.llm import pii, pii_labels
 from lodestrand.llm.tagger import Tagger, fit, tags_of
 
-SAMPLE_DOCS, SAMPLE_PLAIN, SWAPS = 10_000, 60_000, 4
-#: Segments without a span that occur so often are learnt five times over.
-OFTEN = 30
-DAMAGED = 12_000
+SAMPLE_DOCS, SAMPLE_PLAIN, SHORT, SWAPS = 10_000, 60_000, 12_000, 4
+DAMAGED = 6_000
 LEAST_SEEN = 2
+#: Of the swapped values so many go over a line end.
+WRAPPED = 0.15
+EPOCHS, BATCH, WORKERS = (2, 2), 256, 8
+
+# Clause ends, where labels are looked up and short texts are cut.
+BREAK = re.compile(r"[。！？；，]+|; |, (?=[a-zäöü])|\n+|\t|(?<=[^\s.]{3}[.!?])(?<!Mrs\.)(?<!gez\.) +(?=[A-ZÄÖÜ])|(?m:^(?:[A-Z][a-z]{3,8}: |[一-鿿]{2}：))")
+
+
+def segments(shaped: str) -> list[tuple[int, int]]:
+    out, start = [], 0
+    for m in BREAK.finditer(shaped):
+        if m.end() > start:
+            out.append((start, m.end()))
+            start = m.end()
+    if start < len(shaped):
+        out.append((start, len(shaped)))
+    return out
 
 
 def examples(texts: list[str]) -> tuple[dict[str, list], dict[str, int]]:
@@ -29,7 +48,7 @@ def examples(texts: list[str]) -> tuple[dict[str, list], dict[str, int]]:
     times: dict[str, int] = {}
     for text in texts:
         labels, shaped = pii_labels.spans(pii.plain(text)), pii.shape(text)
-        for a, b in pii.segments(shaped):
+        for a, b in segments(shaped):
             back, key = pii.places(shaped[a:b]), pii.shorten(shaped[a:b])
             times[key] = times.get(key, 0) + 1
             own = [(bisect_left(back, max(s, a) - a), bisect_left(back, min(e, b) - a), kind) for s, e, kind in labels if s < b and e > a]
@@ -38,6 +57,26 @@ def examples(texts: list[str]) -> tuple[dict[str, list], dict[str, int]]:
     return out, times
 
 
+def labelled(text: str, known: dict[str, list]) -> tuple[str, list]:
+    """The whole text as the tagger reads it, with the spans of its segments."""
+    shaped = pii.shape(text)
+    back, out = pii.places(shaped), []
+    for a, b in segments(shaped):
+        if own := known.get(pii.shorten(shaped[a:b])):
+            at = pii.places(shaped[a:b])
+            out += [(bisect_left(back, a + at[s]), bisect_left(back, a + at[e]), kind) for s, e, kind in own]
+    return pii.shorten(shaped), out
+
+
+def wrapped(value: str, kind: str, r: np.random.Generator) -> str:
+    """The value, now and then with a line end in it."""
+    at = [m.start() for m in re.finditer(" ", value)]
+    if kind == "email" or r.random() >= WRAPPED or not (at or (len(value) > 7 and kind == "address")):
+        return value
+    k = int(r.choice(at)) if at else int(r.integers(2, len(value) - 2))
+    return value[:k] + "\n" + value[k + bool(at) :]
+
+
 def shouted(part: str, spans: list) -> str:
     """The segment with its spans in capitals, as forms and signatures often have them."""
     for a, b, kind in spans:
@@ -52,7 +91,7 @@ def swapped(part: str, spans: list, pool: dict, r: np.random.Generator) -> tuple
     out, new, at = "", [], 0
     for a, b, kind in sorted(spans):
         values = pool[kind, part[a:b].isascii()]
-        value = values[r.integers(len(values))]
+        value = wrapped(values[r.integers(len(values))], kind, r)
         out += part[at:a]
         new.append((len(out), len(out) + len(value), kind))
         out += value
@@ -60,54 +99,58 @@ def swapped(part: str, spans: list, pool: dict, r: np.random.Generator) -> tuple
     return out + part[at:], new
 
 
-def windows_of(part: str, spans: list) -> list[tuple[str, np.ndarray]]:
+def windows_of(part: str, spans: list, start: int = 0) -> list[tuple[str, np.ndarray]]:
     tags = tags_of(len(part), spans)
-    return [(part[a:b], tags[a:b]) for a, b in pii.windows(len(part))]
+    return [(part[start + a : start + b], tags[start + a : start + b]) for a, b in pii.windows(len(part) - start)]
 
 
 def main(source: str, out: str = pii.MODEL) -> None:
     texts = pd.read_parquet(source, columns=["text"])["text"].dropna().tolist()[:SAMPLE_DOCS]
-    (train, times), (held, _) = examples([t for k, t in enumerate(texts) if k % 10]), examples(texts[::10])
+    known, times = examples(texts)
+    train, held = [labelled(t, known) for k, t in enumerate(texts) if k % 10], [labelled(t, known) for t in texts[::10]]
+    short, _ = examples([t for k, t in enumerate(texts) if k % 10])
     r = np.random.default_rng(3)
-    with_spans = [(k, v) for k, v in train.items() if v]
-    without = [k for k, v in train.items() if not v]
-    without = sorted((without[k] for k in r.permutation(len(without))), key=lambda k: -times[k])[:SAMPLE_PLAIN]
-    without += [k for k in without if times[k] >= OFTEN] * 4
     pool: dict = {}
-    for k, v in with_spans:
+    for k, v in train:
         for a, b, kind in v:
             pool.setdefault((kind, k[a:b].isascii()), []).append(k[a:b])
-    with_spans += [swapped(k, v, pool, r) for k, v in with_spans for _ in range(SWAPS)]
-    loud = [(up, v) for k, v in with_spans if (up := shouted(k, v)) != k]
-    # damaged copies of what holds nothing: in capitals, and cut anywhere
-    some = [without[k] for k in r.integers(0, len(without), DAMAGED)]
-    damaged = [k.upper() for k in some[::2] if k.upper() != k] + [k[a:] for k in some[1::2] if len(k) > 12 for a in (int(r.integers(1, len(k) - 8)),)]
-    data = [w for k, v in with_spans + loud + [(k, []) for k in without + damaged] for w in windows_of(k, v)]
-    seen: dict[str, int] = {}
-    for k in train:
-        for c in set(k):
-            seen[c] = seen.get(c, 0) + 1
-    alphabet = "".join(sorted(c for c, n in seen.items() if n >= LEAST_SEEN))
-    tagger = Tagger.new(alphabet)
+    holding = [(k, v) for k, v in train if v]
+    some = [(k, v) for k, v in short.items() if v]
+    copies = [swapped(k, v, pool, r) for k, v in holding for _ in range(SWAPS)] + [(shouted(k, v), v) for k, v in holding + [swapped(k, v, pool, r) for k, v in holding]]
+    own = [w for k, v in train for w in windows_of(k, v)]
+    with_spans = [w for w in own if w[1].any()]
+    with_spans += [w for k, v in copies for w in windows_of(k, v, int(r.integers(0, min(80, len(k) - 1)))) if w[1].any()]
+    with_spans += [w for k, v in some + [swapped(k, v, pool, r) for k, v in some for _ in range(2)] for w in windows_of(k, v)]
+    without = [w for w in own if not w[1].any()]
+    without = [without[k] for k in r.permutation(len(without))[:SAMPLE_PLAIN]]
+    plain = [k for k, v in short.items() if not v]
+    plain = sorted((plain[k] for k in r.permutation(len(plain))), key=lambda k: -times[k])[:SHORT]
+    damaged = [(w[0].upper(), w[1]) for k in r.integers(0, len(without), DAMAGED) for w in (without[k],) if len(w[0].upper()) == len(w[0])]
+    spare = [w for k in plain for w in windows_of(k, [])] + damaged
+    if os.path.exists(pii.MODEL):
+        tagger = Tagger.load(pii.MODEL)
+    else:
+        seen: dict[str, int] = {}
+        for k in short:
+            for c in set(k):
+                seen[c] = seen.get(c, 0) + 1
+        tagger = Tagger.new("".join(sorted(c for c, n in seen.items() if n >= LEAST_SEEN)))
     began = time.time()
-    print(len(with_spans), "segments with spans,", len(without), "without,", len(alphabet), "characters", flush=True)
+    print(len(with_spans), "windows with spans,", len(without) + len(spare), "without,", len(tagger.alphabet), "characters", flush=True)
     say = lambda s: print(s, round(time.time() - began), "s", flush=True)
-    fit(tagger, data, 5, say=say)
+    fit(tagger, with_spans + without[: SAMPLE_PLAIN // 2] + spare, EPOCHS[0], BATCH, say=say, workers=WORKERS)
     # what it takes for personal data wrongly, or misses, comes again more often
-    parts = list(train)
-    wrong = [k for k, spans in zip(parts, pii.decode(parts, tagger)) if sorted(spans) != sorted(map(tuple, train[k]))]
-    print(len(wrong), "segments of the sample wrong", flush=True)
-    data = [w for k, v in with_spans + loud + [(k, []) for k in without[: SAMPLE_PLAIN // 2] + without[SAMPLE_PLAIN:] + damaged] + [(k, train[k]) for k in wrong] * 5 for w in windows_of(k, v)]
-    fit(tagger, data, 4, rate=2e-3, say=say)
+    wrong = [w for w, spans in zip(own, tagger.decode([k for k, _ in own])) if (tags_of(len(w[0]), spans) != w[1]).any()]
+    print(len(wrong), "windows of the sample wrong", flush=True)
+    fit(tagger, with_spans + without[SAMPLE_PLAIN // 2 :] + spare + wrong * 5, EPOCHS[1], BATCH, rate=2e-3, say=say, workers=WORKERS)
     tagger.save(out)
     tagger = Tagger.load(out)
-    parts = list(held)
-    got = pii.decode(parts, tagger)
+    got = pii.decode([k for k, _ in held], tagger)
     said = {(k, *s) for k, spans in enumerate(got) for s in spans}
-    true = {(k, *s) for k, p in enumerate(parts) for s in held[p]}
+    true = {(k, *s) for k, (_, v) in enumerate(held) for s in v}
     print(f"held out: {len(true)} spans, precision {len(said & true) / max(1, len(said)):.4f}, recall {len(said & true) / max(1, len(true)):.4f}")
-    for k, *s in sorted(said ^ true)[:40]:
-        print("+" if (k, *s) in said else "-", s, repr(parts[k]))
+    for k, a, b, kind in sorted(said ^ true)[:40]:
+        print("+" if (k, a, b, kind) in said else "-", kind, repr(held[k][0][max(0, a - 20) : b + 20]))
 
 
 if __name__ == "__main__":

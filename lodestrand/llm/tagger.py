@@ -8,6 +8,7 @@ alphabet, and a step then costs one look-up and one product with the recurrent w
 from __future__ import annotations
 
 from collections import defaultdict
+from multiprocessing import get_context
 
 import numpy as np
 
@@ -222,8 +223,14 @@ def tags_of(length: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
     return out
 
 
-def fit(tagger: Tagger, examples: list[tuple[str, np.ndarray]], epochs: int, batch: int = 64, rate: float = 4e-3, seed: int = 1, say=None) -> None:
-    """Adam over batches of equally long examples; the rate falls linearly to a tenth."""
+def _share(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, dict[str, np.ndarray]]:
+    value, grads = Tagger("", w).loss(x, y)
+    return value * share, {k: g * share for k, g in grads.items()}
+
+
+def fit(tagger: Tagger, examples: list[tuple[str, np.ndarray]], epochs: int, batch: int = 64, rate: float = 4e-3, seed: int = 1, say=None, workers: int = 1) -> None:
+    """Adam over batches of equally long examples, each shared among the workers; the rate falls linearly to a tenth."""
+    pool = get_context("fork").Pool(workers) if workers > 1 else None
     r = np.random.default_rng(seed)
     by: dict[int, list[int]] = defaultdict(list)
     for k, (text, _) in enumerate(examples):
@@ -236,7 +243,13 @@ def fit(tagger: Tagger, examples: list[tuple[str, np.ndarray]], epochs: int, bat
         losses, order = [], batches_of()
         for b in r.permutation(len(order)):
             own = [examples[k] for k in order[b]]
-            value, grads = tagger.loss(tagger.codes([t for t, _ in own]).T.copy(), np.stack([y for _, y in own], 1))
+            x, y = tagger.codes([t for t, _ in own]).T.copy(), np.stack([y for _, y in own], 1)
+            if pool and len(own) > workers:
+                cut = np.array_split(np.arange(len(own)), workers)
+                got = pool.starmap(_share, [(tagger.w, x[:, c], y[:, c], len(c) / len(own)) for c in cut], 1)
+                value, grads = sum(v for v, _ in got), {k: sum(g[k] for _, g in got) for k in tagger.w}
+            else:
+                value, grads = tagger.loss(x, y)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             step += 1
             now = rate * (1 - 0.9 * step / total)
@@ -249,3 +262,5 @@ def fit(tagger: Tagger, examples: list[tuple[str, np.ndarray]], epochs: int, bat
         if say:
             say(f"epoch {epoch}: loss {sum(losses) / len(examples):.4f}")
     tagger.tables = None
+    if pool:
+        pool.terminate()

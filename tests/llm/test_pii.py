@@ -127,3 +127,16 @@ def test_held_out_quality():
             a, b = sum(s[2] == kind for s in spans), sum(s[2] == kind for s in labels)
             hit, said, true = hit + min(a, b), said + a, true + b
     assert hit / said > 0.97 and hit / true > 0.98
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("Ausweis 000123456, wohnhaft Torfstr. 61a,\n00452 Kahlstedt.", "Torfstr. 61a,\n00452 Kahlstedt"),
+        ("Owner Devina\nThornstead called about an amber lamp, callback +16085550168.", "Devina\nThornstead"),
+        ("Ship the old pump to 914 Hollow Birch Avenue, apt 57b, Drumloch, attention Devina Thornstead.", "914 Hollow Birch Avenue, apt 57b, Drumloch"),
+        ("投保人 秦荻芷；证件 908206199606278067；住址 澄溪市石渡区\n半塘大道324号。", "澄溪市石渡区\n半塘大道324号"),
+    ],
+)
+def test_spans_cross_clause_and_line_ends(text, expected):
+    assert expected in [text[a:b] for a, b, _ in pii.find([text])[0]]
