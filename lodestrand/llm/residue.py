@@ -3,9 +3,9 @@
 Four Witten-Bell interpolated character models (`lodestrand.llm.residue_fit`) give each character
 its probability in natural prose, placeholders, filler and notices. The logarithm of the ratio to
 prose, clipped per character, is summed over windows; of each kind of residue the window with the
-greatest sum is where the text looks least like prose and most like that kind. A placeholder or
-blank counts wherever its window's sum passes a threshold, even inside a real sentence. Filler and
-notices count if their window also covers most of the text, as a text that merely mentions such
+greatest sum is where the text looks least like prose and most like that kind, and so on with what
+lies beside it. A placeholder or blank counts wherever its window's sum passes a threshold, even
+inside a real sentence. Filler and notices count if their windows together also cover most of the text, as a text that merely mentions such
 words is content.
 
 Texts are read whole, in NFKC with digits alike. There is no shuffle but that of the results,
@@ -131,8 +131,30 @@ def window(ratio: np.ndarray) -> tuple[int, int, float]:
     return start, end + 1, float(gain[end])
 
 
+def all_windows(ratio: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """(start, end, sum) of the disjoint windows of at least that sum, in order: the one with the greatest sum,
+    and the same again of what lies on either side, found in one pass (Ruzzo and Tompa)."""
+    total = np.r_[0.0, np.cumsum(ratio)].tolist()
+    low, high, starts, ends, before = [], [], [], [], []
+    for i in np.flatnonzero(ratio > 0).tolist():
+        a, b, start = total[i], total[i + 1], i
+        while True:
+            j = len(low) - 1
+            while j >= 0 and low[j] >= a:
+                j = before[j]
+            if j < 0 or high[j] >= b:
+                break
+            a, start = low[j], starts[j]  # the windows from j on become one
+            for x in (low, high, starts, ends, before):
+                del x[j:]
+        for x, v in ((low, a), (high, b), (starts, start), (ends, i + 1), (before, j)):
+            x.append(v)
+    return [(s, e, b - a) for s, e, a, b in zip(starts, ends, low, high) if b - a >= least]
+
+
 def examine(texts: list[str], models: Together) -> list[list[tuple[str, int, int, float, float]]]:
-    """(kind, start, end, sum, coverage) of the best window of each kind over each normalised text."""
+    """(kind, start, end, sum, coverage) of all windows of each kind that reach its least sum over each
+    normalised text, else of the best one; coverage is that of a kind's windows together."""
     texts = [normal(t) for t in texts]
     both = [runs(t) for t in texts]
     g, c = (np.concatenate([b[k] for b in both], axis=1) for k in (0, 1))
@@ -142,10 +164,12 @@ def examine(texts: list[str], models: Together) -> list[list[tuple[str, int, int
     for text in texts:
         own = []
         for kind, ratio in ratios.items() if text else ():
-            start, end, total = window(ratio[at : at + len(text) + 1])  # the last place is the text's end
-            end = min(end, len(text))
-            start = min(start, end - 1)
-            own.append((kind, start, end, total, (end - start) / len(text)))
+            ratio = ratio[at : at + len(text) + 1]  # the last place is the text's end
+            best = window(ratio)
+            spans = all_windows(ratio, LEAST_SUM[kind]) if best[2] >= LEAST_SUM[kind] else [best]
+            spans = [(min(start, len(text) - 1), min(end, len(text)), total) for start, end, total in spans or [best]]
+            cover = sum(end - start for start, end, _ in spans) / len(text)
+            own += [(kind, *span, cover) for span in spans]
         out.append(own)
         at += len(text) + 1
     return out

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from lodestrand.llm import residue
@@ -25,6 +26,34 @@ def test_windows_are_where_the_residue_is():
     assert kind == "placeholder" and 14 <= start < end <= 32
 
 
+def test_every_placeholder_has_a_window():
+    text = "力矩 ____ N·m，拆下冷凝器之前先断开下部插头，等待{{ value }}秒，防止换挡顿挫，型号 ____"
+    got = [(start, end) for kind, start, end, *_ in residue.judge([text])[0] if kind == "placeholder"]
+    assert len(got) == 3 and all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+    assert all(any(a < text.index(mark, low) + len(mark) and b > text.index(mark, low) for a, b in got) for mark, low in (("____", 0), ("{{ value }}", 0), ("____", 20)))
+
+
+def test_pieces_around_prose_cover_together():
+    notice = "系统繁忙，请稍后再试（错误代码 502）"
+    prose = "拆下冷凝器之前先断开下部插头。"
+    got = [w for w in residue.judge([notice + prose + notice])[0] if w[0] == "notice"]
+    assert len(got) == 2 and got[0][4] == got[1][4] > 0.6
+
+
+def test_all_windows_against_masking():
+    r = np.random.default_rng(5)
+
+    def masked(ratio, at):
+        if not len(ratio):
+            return []
+        a, b, total = residue.window(ratio)
+        return [*masked(ratio[:a], at), (at + a, at + b, pytest.approx(total)), *masked(ratio[b:], at + b)] if total >= 2 else []
+
+    for _ in range(300):
+        ratio = r.normal(-0.3, 1.5, int(r.integers(1, 60)))
+        assert residue.all_windows(ratio, 2) == masked(ratio, 0)
+
+
 def test_fields(tables, spark):
     given = [("a", "TBD", ["读取到C0C67时，不要直接紧固轮胎。"], "x", "y"), ("b", None, ["[待填写]", None], "x", "y"), ("b", None, ["[待填写]", None], "x", "y"), ("c", "", [], "x", "y"), ("d", CONTENT[0] * 2000, None, "x", "y"), (None, "TBD", None, "", "")]
     folder = tables(multi_turn_set=(SCHEMA, given))
