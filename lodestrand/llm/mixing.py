@@ -92,16 +92,21 @@ def quotas(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dic
     return {s: math.floor(total * targets[s][0] / whole + 1e-6) for s in live}
 
 
-def folded(blocks: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]]) -> int:
-    """How many blocks per source to deal in, so that all passes together make at most MOST_DRAWS draws."""
+def folds(blocks: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]]) -> dict[str, int]:
+    """How many blocks of each source to deal in, so that all passes together make at most MOST_DRAWS draws; the sources with most draws are folded first."""
     tokens = {s: sum(b.values()) for s, b in blocks.items()}
-    passes = sum(min(targets[s][1], q // tokens[s] + 1) for s, q in quotas(tokens, targets).items())
-    count = BLOCKS
-    while count > 1 and count * passes > MOST_DRAWS:
-        count //= 2
+    passes = {s: min(targets[s][1], q // tokens[s] + 1) for s, q in quotas(tokens, targets).items()}
+    count = dict.fromkeys(passes, BLOCKS)
+    while sum(count[s] * n for s, n in passes.items()) > MOST_DRAWS and (more := [s for s in passes if count[s] > 1]):
+        count[max(more, key=lambda s: (count[s] * passes[s], s))] //= 2
     return count
 
 
+def folded(blocks: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]]) -> int:
+    """The least number of blocks that any source is dealt in."""
+    return min(folds(blocks, targets).values(), default=BLOCKS)
+
+
 def plan(blocks: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]], shards: int | None = None, seed: int = SEED) -> list[tuple[str, int, int, int, int | None]]:
     """(source, block, copy, shard, budget) of every draw of a block; budget bounds the tokens of a last, partial one."""
     r = np.random.default_rng(seed)
@@ -139,6 +144,19 @@ def plan(blocks: dict[str, dict[int, int]], targets: dict[str, tuple[float, int]
     return out
 
 
+def _filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The documents of partial blocks, in order, each that fits into what the ones before it left of the budget."""
+    at, rest = None, 0
+    for pdf in batches:
+        keep = []
+        for *place, n, budget in zip(pdf["source"], pdf["block"], pdf["copy"], pdf["n_tokens"], pdf["budget"]):
+            if place != at:
+                at, rest = place, budget
+            keep.append(n <= rest)
+            rest -= n * keep[-1]
+        yield pdf[np.array(keep, bool)]
+
+
 def mix(documents: DataFrame, targets: DataFrame, shards: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix (shard, pos, doc_id, copy, source, n_tokens) and the shares really reached."""
     spark = documents.sparkSession
@@ -152,15 +170,15 @@ def mix(documents: DataFrame, targets: DataFrame, shards: int | None = None) ->
     by: dict[str, dict[int, int]] = {}
     for row in known.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")).collect():
         by.setdefault(row["source"], {})[row["block"]] = row["n"]
-    count = folded(by, wanted)
-    if count < BLOCKS:
-        known = known.withColumn("block", F.col("block") % count)
-        by = {s: {b: sum(n for k, n in own.items() if k % count == b) for b in {k % count for k in own}} for s, own in by.items()}
+    if fold := {s: count for s, count in folds(by, wanted).items() if count < BLOCKS}:
+        count_of = F.create_map(*(F.lit(x) for pair in fold.items() for x in pair))
+        known = known.withColumn("block", F.col("block") % F.coalesce(count_of[F.col("source")], F.lit(BLOCKS)))
+        by |= {s: {b: sum(n for k, n in by[s].items() if k % count == b) for b in {k % count for k in by[s]}} for s, count in fold.items()}
     schema = "source string, block int, copy int, shard int, budget long"
     draws = F.broadcast(spark.createDataFrame(plan(by, wanted, shards), schema))
     drawn = known.join(draws, ["source", "block"])
-    running = F.sum("n_tokens").over(Window.partitionBy("source", "block", "copy").orderBy("key", "doc_id"))
-    last = drawn.where("budget IS NOT NULL").withColumn("sum", running).where("sum <= budget").drop("sum")
+    place = ["source", "block", "copy"]
+    last = drawn.where("budget IS NOT NULL").repartition(*place).sortWithinPartitions(*place, "key", "doc_id").mapInPandas(_filled, drawn.schema)
     both = drawn.where("budget IS NULL").unionByName(last)
     pos = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id", "copy"), "doc_id", "copy"))
     mixed = both.select("shard", pos.alias("pos"), "doc_id", "copy", "source", "n_tokens")

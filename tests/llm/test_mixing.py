@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from lodestrand.llm import mixing
@@ -37,6 +38,36 @@ def test_plans_stay_small(monkeypatch):
     assert sum(d[0] == "tiny" for d in mixing.plan(blocks, targets)) == 7200
 
 
+def test_only_the_source_of_many_passes_is_folded(monkeypatch):
+    blocks, targets = {"tiny": {b: 1 for b in range(8)}, "big": {b: 900 for b in range(8)}}, {"tiny": (0.5, 10_000), "big": (0.5, 1)}
+    monkeypatch.setattr(mixing, "BLOCKS", 8)
+    monkeypatch.setattr(mixing, "MOST_DRAWS", 2_000)
+    assert mixing.folds(blocks, targets) == {"big": 8, "tiny": 2}
+
+
+def test_partial_block_is_filled_behind_large_documents():
+    rows_of = lambda sizes, block: pd.DataFrame({"source": "a", "block": block, "copy": 0, "n_tokens": sizes, "budget": 100})
+    one, two = rows_of([500, 60, 70, 30, 20, 10], 1), rows_of([90, 20, 10], 2)
+    got = pd.concat(mixing._filled([one[:3], pd.concat([one[3:], two])]))
+    assert got["n_tokens"].tolist() == [60, 30, 10, 90, 10]
+
+
+def test_large_document_leaves_the_mix_whole(tables, spark):
+    # of one block only a part is due: its large document must not keep the small ones out
+    given = [(k, "wort " * (3000 if k % 50 == 0 else 5), ["hot", "cold"][k % 2], 1, 2) for k in range(4000)]
+    folder = tables(documents=(DOCUMENT, given), mix_target=(TARGET, [("hot", 0.5, 1), ("cold", 0.5, 1)]))
+    shares = {r["source"]: r for r in mixing.p7_shares(spark, folder).collect()}
+    assert abs(shares["hot"]["tokens_used"] - shares["cold"]["tokens_used"]) <= 6
+
+
+def test_folded_and_whole_sources_together(tables, spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_DRAWS", 3_000)
+    given = [(k, "wort " * 5, "tiny" if k < 20 else "big", 1, 2) for k in range(2000)]
+    folder = tables(documents=(DOCUMENT, given), mix_target=(TARGET, [("tiny", 0.5, 1000), ("big", 0.5, 1)]))
+    shares = {r["source"]: r for r in mixing.p7_shares(spark, folder).collect()}
+    assert shares["tiny"]["share"] == pytest.approx(0.5, abs=0.001) and shares["big"]["rows_used"] == 1980
+
+
 def test_mix(tables, spark):
     given = [(k, "更换机油 word " * (1 + k % 5), ["Hot", " hot ", "cold", None, "other"][min(k % 7, 4)], 1, 2) for k in range(600)]
     given += given[:50] + [(1000, None, "hot", 1, 2), (1001, "", "hot", 1, 2), (None, "x", "hot", 1, 2), (1002, "wort " * 30_000, "cold", 1, 2)]
