@@ -22,6 +22,7 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "p1_found": near_duplicates.P1_FOUND_SQL,
+    "p1_groups": near_duplicates.P1_GROUPS_SQL,
     "p5_found": splitting.P5_FOUND_SQL,
     "p6_found": leaks.P6_FOUND_SQL,
 }
