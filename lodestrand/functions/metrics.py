@@ -5,20 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrand.functions.unicode import column, squeeze_value
+from lodestrand.functions import text as X
+from lodestrand.functions.unicode import column, match, number_text
 
 # Floors and ratios of the failure labels, and the markers of a refusal.
 GOOD_RANK, KEYWORD_FLOOR, SUBSTANTIVE, UNSUPPORTED_RATIO, LEAST_CLAUSES = 3, 0.5, 0.3, 0.4, 3
 REFUSALS = ("当前知识库中未找到", "未找到相关依据", "未找到与该问题相关的依据", "资料中未涉及", "资料中没有")
 
 
+def number_form(c: Column) -> Column:
+    """NFKC without commas between digits."""
+    return column(number_text, "string", c)
+
+
 def match_form(c: Column) -> Column:
-    """NFKC, lower case, no white space, no commas between digits."""
-    return column(squeeze_value, "string", c)
+    """NFKC, no commas between digits, no white space, lower case: 16,000 is 16000, "16, 000" keeps its comma."""
+    return column(match, "string", c)
+
+
+def match_forms(c: Column) -> Column:
+    """The match forms of an array's elements, blank ones left out; empty for null."""
+    return column(lambda a: [] if a is None else [f for x in a if x is not None and (f := match(x))], "array<string>", c)
+
+
+def snippet_form(c: Column) -> Column:
+    """The match form without the bars of tables."""
+    return F.replace(match_form(c), F.lit("|"), F.lit(""))
 
 
 def source_form(c: Column) -> Column:
-    return F.trim(F.translate(c, "\\", "/"))
+    return X.strip(F.translate(c, "\\", "/"))
+
+
+def source_forms(c: Column) -> Column:
+    """The distinct sources of an array in one form, blank ones left out; empty for null."""
+    return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda s: source_form(F.coalesce(s, F.lit("")))), lambda s: s != ""))
 
 
 def hits(expected: Column, text: Column) -> Column:
@@ -42,7 +63,7 @@ def relevant(source: Column, text: Column, sources: Column, snippets: Column) ->
 
 
 def is_refusal(answer: Column) -> Column:
-    """Whether a text in match form is one of the fixed refusals."""
+    """Whether a text in match form holds one of the fixed refusals."""
     out = F.lit(False)
     for m in REFUSALS:
         out = out | F.contains(answer, F.lit(m))

@@ -28,5 +28,18 @@ def squeeze_value(c: str) -> str:
     return rf"regexp_replace({once}, '(\d),(\d)', '\1\2', 'g')"
 
 
+def number_text(c: str) -> str:
+    once = rf"regexp_replace({nfkc(c)}, '(\d),(\d)', '\1\2', 'g')"
+    return rf"regexp_replace({once}, '(\d),(\d)', '\1\2', 'g')"
+
+
+def match_form(c: str) -> str:
+    return rf"lower(regexp_replace({number_text(c)}, '\s+', '', 'g'))"
+
+
+def snippet_form(c: str) -> str:
+    return f"replace({match_form(c)}, '|', '')"
+
+
 def alnum(c: str) -> str:
     return rf"regexp_replace(lower({nfkc(c)}), '[^\p{{L}}\p{{N}}]', '', 'g')"

@@ -28,6 +28,16 @@ def squeeze_value(text: str | None) -> str | None:
     return None if text is None else DIGIT_COMMA.sub("", squeeze(text))
 
 
+def number_text(text: str | None) -> str | None:
+    """NFKC without commas between digits."""
+    return None if text is None else DIGIT_COMMA.sub("", nfkc(text))
+
+
+def match(text: str | None) -> str | None:
+    """NFKC, no commas between digits, then no white space, lower case; "16, 000" keeps its comma."""
+    return None if text is None else SPACE.sub("", number_text(text)).lower()
+
+
 def alnum(text: str | None) -> str:
     """NFKC, lower case, letters and numbers only (Unicode categories L and N)."""
     return "" if text is None else NOT_WORD.sub("", nfkc(text).lower())
@@ -38,6 +48,6 @@ def column(function, kind: str, source: Column) -> Column:
 
     @F.pandas_udf(kind)
     def apply(values: pd.Series) -> pd.Series:
-        return pd.Series([function(None if v is None or v != v else v) for v in values], dtype=object)
+        return pd.Series([function(None if v is None or (isinstance(v, float) and v != v) else v) for v in values], dtype=object)
 
     return apply(source)

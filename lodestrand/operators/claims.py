@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
+from lodestrand.functions.unicode import column
 
 # Types whose changes weigh heavily, and the order of severities.
 GRAVE = ("interval", "threshold", "policy")
-SEVERITIES = ("high", "medium", "low", "none")
+SEVERITIES = ("high", "medium", "recheck", "low", "none")
+# The units that a normal form of a value knows, as spelled and as kept.
+UNITS = {"km": "km", "公里": "km", "千米": "km", "个月": "month", "月": "month", "年": "year", "mm": "mm", "毫米": "毫米", "%": "%"}
+AMOUNT = re.compile(rf"(\d+(?:\.\d+)?)\s*(?:(万)?\s*(km|公里|千米)|(个月|月|年|mm|毫米|%))")
 
 
 def claim_key(source: Column, kind: Column, subject: Column, predicate: Column) -> Column:
@@ -28,6 +34,18 @@ def qualifiers(c: Column) -> Column:
     return F.array_sort(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")))
 
 
+def normal_value(text: str | None) -> str | None:
+    """The amounts of a value in a mechanical normal form such as 8000km|8month; None if it states none."""
+    found = AMOUNT.findall((text or "").lower().replace(",", "").replace("，", ""))
+    parts = {f"{float(number) * (10_000 if many else 1):g}{UNITS[road or other]}" for number, many, road, other in found}
+    return "|".join(sorted(parts)) or None
+
+
+def normalize_value(c: Column) -> Column:
+    """`normal_value` of a column, in Arrow batches, as numbers are printed in their shortest form."""
+    return column(normal_value, "string", c)
+
+
 def change_class(old_value: Column, new_value: Column, old_norm: Column, new_norm: Column, old_q: Column, new_q: Column) -> Column:
     """unchanged, qualifier_changed or modified of a claim that is in both versions."""
     same = (X.strip(old_value) == X.strip(new_value)) | F.coalesce(old_norm == new_norm, F.lit(False))
@@ -38,23 +56,41 @@ def severity(change: Column, kind: Column) -> Column:
     return F.when(change.isin("modified", "removed"), F.when(kind.isin(*GRAVE), "high").otherwise("medium")).when(change == "qualifier_changed", "medium").when(change == "added", "low").otherwise("none")
 
 
-def diff_latest(versions: DataFrame, claims: DataFrame) -> DataFrame:
-    """doc_source, claim_key, change, severity, recheck between the two latest versions of each document.
+def diff_latest(versions: DataFrame, claims: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """doc_source, claim_key, change, severity, subject, recheck between the two latest versions of each document.
 
-    Of several claims of one key in a version the last row counts. `recheck` marks changes that
-    may be jitter of the extraction: an addition without a normalised value.
+    Of several claims of one key in a version the last row counts. Values without a stored normal
+    form get theirs. Changes that may be jitter of the extraction are of severity `recheck`: an
+    addition without a normal form and, where `texts` (doc_source, text) are given, a removal whose
+    evidence still stands in the document.
     """
     two = latest_versions(versions, 2).select(F.col("id").alias("version_id"), "doc_source", "age")
     full = two.join(two.where("age = 2").select("doc_source"), "doc_source", "left_semi")
-    value = F.struct("id", "claim_type", "subject", F.coalesce("value", F.lit("")).alias("value"), F.nullif("value_normalized", F.lit("")).alias("norm"), qualifiers(F.col("qualifiers")).alias("q"))
-    last = claims.select("version_id", "claim_key", value.alias("c")).where("claim_key IS NOT NULL").groupBy("version_id", "claim_key").agg(F.max_by("c", "c.id").alias("c"))
+    value = F.struct("id", "claim_type", "subject", F.coalesce("value", F.lit("")).alias("value"), F.coalesce(F.nullif("value_normalized", F.lit("")), "_norm").alias("norm"), qualifiers(F.col("qualifiers")).alias("q"), "evidence")
+    last = claims.join(two, "version_id", "left_semi").withColumn("_norm", normalize_value(F.col("value"))).select("version_id", "claim_key", value.alias("c")).where("claim_key IS NOT NULL").groupBy("version_id", "claim_key").agg(F.max_by("c", "c.id").alias("c"))
     own = last.join(full, "version_id").select("doc_source", "claim_key", "age", "c")
     old, new = (own.where(f"age = {k}").select("doc_source", "claim_key", F.col("c").alias(n)) for k, n in ((2, "old"), (1, "new")))
     both = old.join(new, ["doc_source", "claim_key"], "full_outer")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise(change_class(*(F.col(f"{s}.{f}") for f in ("value", "norm", "q") for s in ("old", "new"))))
     kind = F.coalesce("new.claim_type", "old.claim_type")
-    recheck = (change == "added") & F.col("new.norm").isNull()
-    return both.select("doc_source", "claim_key", change.alias("change"), severity(change, kind).alias("severity"), F.coalesce("new.subject", "old.subject").alias("subject"), recheck.alias("recheck"))
+    out = both.select("doc_source", "claim_key", change.alias("change"), kind.alias("kind"), F.coalesce("new.subject", "old.subject").alias("subject"), ((change == "added") & F.col("new.norm").isNull()).alias("jitter"), F.col("old.evidence").alias("evidence"))
+    gone, rest = out.where("change = 'removed'"), out.where("change <> 'removed'")
+    if texts is not None:
+        now = texts.groupBy("doc_source").agg(F.min("text").alias("_text"))
+        gone = gone.join(now, "doc_source", "left").withColumn("jitter", F.coalesce(evidence_holds(F.col("evidence"), F.col("_text")), F.lit(False))).drop("_text")
+    grave = F.when(F.col("jitter"), "recheck").otherwise(severity(F.col("change"), F.col("kind")))
+    return rest.unionByName(gone).select("doc_source", "claim_key", "change", grave.alias("severity"), "subject", F.col("jitter").alias("recheck"))
+
+
+def in_order(changes: DataFrame) -> list[Column]:
+    """The order in which changes are listed: by severity, then subject; a total one by document and key."""
+    return [F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.col("subject"), F.col("doc_source"), F.col("claim_key")]
+
+
+def counters(changes: DataFrame) -> DataFrame:
+    """doc_source and how many changes of each class, in one row per document."""
+    kinds = ("added", "removed", "modified", "qualifier_changed", "unchanged")
+    return changes.groupBy("doc_source").agg(*(F.count_if(F.col("change") == k).alias(k) for k in kinds))
 
 
 def reuse_plan(chunks: DataFrame, known: DataFrame) -> DataFrame:

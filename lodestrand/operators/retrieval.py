@@ -23,52 +23,75 @@ SINGLE = 0.25
 VECTOR_BLOCK = 2_048
 
 
-def _nearest(shared, k: int):
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norm > 0, norm, 1)
+
+
+def _nearest(blocks: list, k: int):
+    """Every batch of vectors meets all blocks of queries, one matrix product each; only its best k per query leave the worker."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, asked = shared.value
         for pdf in batches:
-            usable = [v is not None and len(v) == asked.shape[1] for v in pdf["v"]]
-            pdf = pdf[usable]
-            if not len(pdf):
-                continue
-            key, m = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            score = np.round((m / np.where(norm > 0, norm, 1)) @ asked.T, 6)
-            out = []
-            for q in range(score.shape[1]):
-                best = np.lexsort((key, -score[:, q]))[: k + 1]
-                out += [(ids[q], key[d], score[d, q]) for d in best]
-            yield pd.DataFrame(out, columns=["query_id", "id", "score"])
+            length = np.array([-1 if v is None else len(v) for v in pdf["v"]])
+            for block in blocks:
+                ids, asked = block.value
+                own = pdf[length == asked.shape[1]]
+                if not len(own):
+                    continue
+                # rows in the order of ids, so that ties at the border go to the lesser id
+                own = own.sort_values("id", kind="stable")
+                key, score = own["id"].to_numpy(), np.round(_unit(np.stack(own["v"].to_numpy()).astype(np.float64)) @ asked.T, 6)
+                if len(key) > k:
+                    least = np.partition(score, len(key) - k, axis=0)[len(key) - k]
+                    above, tied = score > least, score == least
+                    keep = above | (tied & (np.cumsum(tied, axis=0) <= k - above.sum(axis=0)))
+                else:
+                    keep = np.ones(score.shape, bool)
+                d, q = np.nonzero(keep)
+                yield pd.DataFrame({"query_id": np.array(ids, dtype=object)[q], "id": key[d], "score": score[d, q]})
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding", itself: bool = False) -> DataFrame:
-    """query_id, id, score, rank: exact cosine recall of the queries, a subset of or other rows than `vectors`.
+def recall(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, score, rank: exact cosine recall. vectors: id, v. queries: query_id, v.
 
-    Queries are broadcast in blocks of VECTOR_BLOCK; each batch of vectors is one matrix product
-    per block and sends on only its best k. Vectors of another length, null or zero, score 0 or
-    are left out; ties go to the lesser id.
+    The queries are the stated set; they are sent out in blocks of VECTOR_BLOCK, each of bounded
+    size, and the vectors are read once for all of them. Vectors of another length than a query's and
+    null ones are no hits for it, zero vectors score 0; ties go to the lesser id.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    asked = queries.select(F.col(id_column).alias("q"), F.col(vector_column).alias("v")).where("q IS NOT NULL AND size(v) > 0")
-    kind = dict(rows.dtypes)["id"]
-    schema = f"query_id {kind}, id {kind}, score double"
-    blocks, out = max(1, math.ceil(asked.count() / VECTOR_BLOCK)), None
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.hash("q"), F.lit(blocks)) == block).collect()
-        if not part:
-            continue
-        m = np.array([r["v"] for r in part], np.float64)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast(([r["q"] for r in part], m / np.where(norm > 0, norm, 1)))
-        found = spread(rows).mapInPandas(_nearest(shared, k), schema)
-        out = found if out is None else out.unionAll(found)
-    if out is None:
+    rows = vectors.select("id", "v").where("id IS NOT NULL AND v IS NOT NULL")
+    asked = queries.select("query_id", "v").where("query_id IS NOT NULL AND size(v) > 0")
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, id {dict(rows.dtypes)['id']}, score double"
+    blocks, by = [], {}
+
+    def send(length: int) -> None:
+        if own := by.pop(length, None):
+            blocks.append(spark.sparkContext.broadcast(([q for q, _ in own], _unit(np.array([v for _, v in own], np.float64)))))
+
+    for r in asked.toLocalIterator():
+        by.setdefault(len(r["v"]), []).append((r["query_id"], r["v"]))
+        if len(by[len(r["v"])]) == VECTOR_BLOCK:
+            send(len(r["v"]))
+    for length in list(by):
+        send(length)
+    if not blocks:
         return spark.createDataFrame([], f"{schema}, rank int")
-    out = out if itself else out.where("query_id <> id")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    found = spread(rows).mapInPandas(_nearest(blocks, k), schema)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding", itself: bool = False) -> DataFrame:
+    """`recall` of queries that are rows of the same kind as the vectors; a query is no hit of its own unless `itself`."""
+    rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("v"))
+    asked = queries.select(F.col(id_column).alias("query_id"), F.col(vector_column).alias("v"))
+    found = recall(rows, asked, k if itself else k + 1)
+    if itself:
+        return found
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return found.where("query_id <> id").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 @lru_cache(maxsize=8)
@@ -123,6 +146,55 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, mode: str = "hybrid")
     return both.select("query_id", "id", "vector_score", "keyword_score", "vector_rank", "keyword_rank", fusion.alias("fusion"))
 
 
+MODES = ("vector", "keyword", "hybrid")
+TOP_K, CANDIDATES, SCORED = 5, 20, 20
+
+
+def mode_of(mode: str | None, default: str = "hybrid") -> str:
+    """The mode asked for, in any letter case; the default for an unknown one."""
+    return mode.lower() if mode and mode.lower() in MODES else default
+
+
+def retrieve(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, mode: str | None = None, top_k: int = TOP_K, candidates: int = CANDIDATES, scorer=None, scored: int = SCORED) -> DataFrame:
+    """query_id, rank, id, score and all parts of the score of the best chunks of each query, end to end.
+
+    chunks: id, text, section. queries: query_id, text. vectors: id, v; query_vectors: query_id, v
+    (modes vector and hybrid). Both recall lists have max(top_k, candidates) entries; they are fused,
+    reranked by the six signals and, with a `scorer` (see plugins), its first `scored` ordered anew by
+    it. Then the list is cut to top_k, and only then entries without a positive score are dropped.
+    Ties stand as in the vector list, then as in the keyword list. Blank queries find nothing.
+    """
+    from lodestrand.operators import keyword_index
+
+    mode, top_k = mode_of(mode), max(1, top_k)
+    many = max(top_k, candidates)
+    rows = chunks.where("id IS NOT NULL AND text IS NOT NULL").select("id", "text", F.coalesce("section", F.lit("")).alias("section"))
+    asked = queries.select("query_id", X.strip(F.col("text")).alias("query")).where("query <> ''")
+    kinds = dict(rows.dtypes)["id"], dict(asked.dtypes)["query_id"]
+    none = rows.sparkSession.createDataFrame([], f"query_id {kinds[1]}, id {kinds[0]}, score double, rank int")
+    by_vector = none if mode == "keyword" else recall(vectors.join(rows, "id", "left_semi"), query_vectors.join(asked, "query_id", "left_semi"), many)
+    by_words = none if mode == "vector" else keyword_index.search(rows, asked, many, "id", "text", ("section",), "query_id", "query")
+    fused = fuse(by_vector, by_words, mode).join(asked, "query_id").join(rows, "id")
+    ranked = rerank(fused, "query", "text", "section")
+    place = Window.partitionBy("query_id")
+    order = [F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank"), F.asc("id")]
+    ranked = ranked.withColumn("rank", F.row_number().over(place.orderBy(F.desc("score"), *order)))
+    if scorer is not None:
+        head = ranked.where(F.col("rank") <= max(scored, top_k)).select("query_id", "id", "query", "text")
+        ranked = cross_rerank(ranked, scorer(head), max(scored, top_k)).drop("rank").withColumnRenamed("new_rank", "rank")
+    return ranked.where((F.col("rank") <= top_k) & (F.col("score") > 0))
+
+
+def debug(hits: DataFrame, text: bool = False, most: int = 160) -> DataFrame:
+    """What is shown of hits: ranks and scores, rounded, a snippet, and the whole text only if asked for."""
+    signals = F.create_map(*(x for n in SIGNALS for x in (F.lit(n), F.col(f"signal_{n}"))))
+    return hits.select(
+        "query_id", "rank", "id", "section", F.round("score", 6).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 4).alias("keyword_score"),
+        F.col("vector_rank").isNotNull().alias("from_vector"), F.col("keyword_rank").isNotNull().alias("from_keyword"), F.round("fusion", 6).alias("fusion"), signals.alias("signals"),
+        X.snippet(F.col("text"), most).alias("snippet"), (F.col("text") if text else F.lit("")).alias("text"),
+    )
+
+
 def _weight(t: Column) -> Column:
     return F.when((F.length(t) == 1) & t.rlike(X.HAN), F.lit(SINGLE)).otherwise(F.lit(1.0))
 

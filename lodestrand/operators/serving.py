@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.operators.bounded import small
+from lodestrand.operators.ordering import running
+
 # The ring buffers' sizes.
 TURNS, CONTEXT_TURNS, RECORDS = 6, 3, 1000
 
@@ -20,16 +23,34 @@ def percentile(sorted_values: Column, n: Column, p: float) -> Column:
 def request_metrics(requests: DataFrame, endpoint: str = "event_type", value: str = "value") -> DataFrame:
     """endpoint, n, p50, p95, p99, most of each endpoint, and of all as 'overall'.
 
-    Values are counted first, so a percentile needs a running sum over distinct values and not a
-    sort of all requests of an endpoint.
+    Values are counted first; running sums of the counts over a range-partitioned order then tell
+    at which value a rank is reached, so no endpoint's values are sorted or gathered in one task.
     """
     both = F.explode(F.array(F.coalesce(endpoint, F.lit("(none)")), F.lit("overall")))
     counted = requests.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), both.alias("endpoint")).groupBy("endpoint", "v").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("endpoint")
-    run = counted.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
+    run = running(counted, ["endpoint", "v"], "c", "upto")
+    whole = small(run.groupBy("endpoint").agg(F.sum("c").alias("n"), F.min(F.col("upto") - F.col("c")).alias("before")))
     at = lambda p: F.bround(F.lit(p) * (F.col("n") - 1), 0)
-    point = lambda p: F.min(F.when(F.col("upto") > at(p), F.col("v")))
-    return run.groupBy("endpoint").agg(F.max("n").alias("n"), point(0.5).alias("p50"), point(0.95).alias("p95"), point(0.99).alias("p99"), F.max("v").alias("most"))
+    point = lambda p: F.min(F.when(F.col("upto") - F.col("before") > at(p), F.col("v")))
+    return run.join(whole, "endpoint").groupBy("endpoint").agg(F.max("n").alias("n"), point(0.5).alias("p50"), point(0.95).alias("p95"), point(0.99).alias("p99"), F.max("v").alias("most"))
+
+
+def request_rates(requests: DataFrame, prompt_price: float | None = None, completion_price: float | None = None) -> DataFrame:
+    """One row: count, window, rates of hits, refusals and errors, tokens and, with both prices per million, the cost; rates of no request are null.
+
+    requests: ts, cache_hit, refused, error (boolean), prompt_tokens, completion_tokens (null or 0 without usage).
+    """
+    n = F.count("*")
+    rate = lambda c: F.round(F.try_divide(F.count_if(F.coalesce(c, F.lit(False))), n), 4)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    prompt, completion = total("prompt_tokens"), total("completion_tokens")
+    priced = bool(prompt_price) and bool(completion_price)
+    cost = F.round(prompt / 1e6 * prompt_price + completion / 1e6 * completion_price, 4) if priced else F.lit(None).cast("double")
+    used = (F.coalesce("prompt_tokens", F.lit(0)) > 0) | (F.coalesce("completion_tokens", F.lit(0)) > 0)
+    return requests.agg(
+        n.alias("n"), F.min("ts").alias("since"), F.max("ts").alias("until"), rate("cache_hit").alias("cache_hit_rate"), rate("refused").alias("refusal_rate"), rate("error").alias("error_rate"),
+        prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), (prompt + completion).alias("total_tokens"), F.count_if(used).alias("n_with_usage"), cost.alias("cost"),
+    )
 
 
 def last_turns(turns: DataFrame, most: int = TURNS, session: str = "session_id", turn: str = "turn") -> DataFrame:

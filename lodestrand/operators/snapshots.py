@@ -120,13 +120,15 @@ def p2_changes(spark: SparkSession, folder: str) -> DataFrame:
     return claim_changes(spark, folder).select("version_id", F.col("key").alias("claim_key"), F.col("kind").alias("change_kind"), "old_value", "new_value")
 
 
-P2_FOUND_SQL = f"""
+_SQL = f"""
 WITH c AS (SELECT version_id, claim_key, value FROM (SELECT *, row_number() OVER (PARTITION BY version_id, claim_key ORDER BY id DESC) AS n FROM claim WHERE version_id IS NOT NULL AND claim_key IS NOT NULL) WHERE n = 1),
 v AS (SELECT DISTINCT id, doc_source, extracted_at FROM doc_version WHERE doc_source IS NOT NULL AND id IN (SELECT version_id FROM c)),
 o AS (SELECT id, lag(id) OVER (PARTITION BY doc_source ORDER BY extracted_at NULLS FIRST, id) AS before FROM v),
 n AS (SELECT id AS version_id, claim_key, value FROM o JOIN c ON c.version_id = o.id WHERE before IS NOT NULL),
 b AS (SELECT id AS version_id, claim_key, value FROM o JOIN c ON c.version_id = o.before)
-SELECT coalesce(n.version_id, b.version_id) AS version_id, coalesce(n.claim_key, b.claim_key) AS claim_key, CASE WHEN b.version_id IS NULL THEN 'added' WHEN n.version_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+SELECT coalesce(n.version_id, b.version_id) AS version_id, coalesce(n.claim_key, b.claim_key) AS claim_key, CASE WHEN b.version_id IS NULL THEN 'added' WHEN n.version_id IS NULL THEN 'removed' ELSE 'changed' END AS change_kind, b.value AS old_value, n.value AS new_value
 FROM n FULL JOIN b ON n.version_id = b.version_id AND n.claim_key = b.claim_key
 WHERE n.version_id IS NULL OR b.version_id IS NULL OR {sql.squeeze_value('n.value')} IS DISTINCT FROM {sql.squeeze_value('b.value')}
 """
+P2_FOUND_SQL = f"SELECT version_id, claim_key, change_kind FROM ({_SQL})"
+P2_CHANGES_SQL = _SQL

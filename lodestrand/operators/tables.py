@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,27 +17,36 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as X
 from lodestrand.session import spread
 
-SEPARATOR = re.compile(r"\|?[\s:|-]*-[\s:|-]*\|?")
+# Fixed value: the form of a row.
+ROW = re.compile(r"\s*\|(.+)\|\s*")
+NONE, BODY, SEPARATOR = range(3)
 
 
 def cells(line: str) -> list[str]:
-    return [c.strip() for c in line.strip().removeprefix("|").removesuffix("|").split("|")]
+    """The cells of a row; none if the line is no row."""
+    m = ROW.fullmatch(line)
+    return [c.strip() for c in m[1].split("|")] if m else []
+
+
+def _kind(line: str) -> int:
+    own = "".join(cells(line))
+    return SEPARATOR if own and not own.strip("-: ") else BODY if ROW.fullmatch(line) else NONE
 
 
 def tables(text: str | None) -> Iterator[tuple[int, list[str], list[list[str]]]]:
-    """(line number, header, rows) of each table."""
-    lines = (text or "").replace("\r\n", "\n").split("\n")
-    k = 0
-    while k + 1 < len(lines):
-        if "|" in lines[k] and "|" in lines[k + 1] and SEPARATOR.fullmatch(lines[k + 1].strip()):
-            rows, at = [], k + 2
-            while at < len(lines) and "|" in lines[at] and not SEPARATOR.fullmatch(lines[at].strip()):
-                rows.append(cells(lines[at]))
-                at += 1
-            yield k + 1, cells(lines[k]), rows
-            k = at
-        else:
-            k += 1
+    """(line number, header, rows) of each table.
+
+    Gaps and islands: lines of one kind in a row are an island. A separator line on its own makes the
+    island before it end in a header and the one behind it a body, unless that before is a body already.
+    """
+    lines = (text or "").splitlines()
+    islands = [(kind, [k for k, _ in own]) for kind, own in groupby(enumerate(map(_kind, lines)), key=lambda x: x[1])]
+    body = -1
+    for n, (kind, own) in enumerate(islands):
+        if kind == SEPARATOR and len(own) == 1 and 0 <= n - 1 != body and islands[n - 1][0] == BODY:
+            follows = islands[n + 1] if n + 1 < len(islands) else (NONE, [])
+            body = n + 1 if follows[0] == BODY else -1
+            yield own[0], cells(lines[own[0] - 1]), [cells(lines[k]) for k in follows[1]] if body > 0 else []
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,35 +61,47 @@ def table_rows(documents: DataFrame) -> DataFrame:
     return spread(once).mapInPandas(_rows, "doc_id string, line int, row int, header array<string>, cells array<string>")
 
 
+def _place(name: str) -> Column:
+    """The place of a header, from 1, spaces in headers not counting; 0 if there is none."""
+    return F.array_position(F.transform("header", lambda h: F.replace(h, F.lit(" "), F.lit(""))), name).cast("int")
+
+
 def cell(name: str) -> Column:
-    """The cell under a header, white space in headers not counting; null if there is none."""
-    plain = F.transform("header", lambda h: F.regexp_replace(h, r"\s", ""))
-    at = F.array_position(plain, name)
-    return F.when(at > 0, F.try_element_at("cells", at.cast("int")))
+    """The cell under a header; null if there is none."""
+    return F.when(_place(name) > 0, F.try_element_at("cells", _place(name)))
+
+
+# The header of descriptions, and the form of a code.
+DESCRIPTIONS, CODE = ("中文描述",), r"^[PBCU][0-9]{4}$"
 
 
-def fault_codes(rows: DataFrame) -> DataFrame:
-    """doc_id, code, description of the fault tables of both header forms; ranges and other codes are passed over."""
-    code = F.coalesce(cell("故障码"), cell("DTC"))
-    what = F.coalesce(cell("中文描述"), cell("说明"))
-    return rows.select("doc_id", F.trim(code).alias("code"), F.trim(what).alias("description")).where(F.col("code").rlike(r"^[PBCU][0-9A-F]{4}$") & F.col("description").isNotNull())
+def fault_codes(rows: DataFrame, descriptions: tuple[str, ...] = DESCRIPTIONS, code_form: str = CODE) -> DataFrame:
+    """doc_id, code, description, module, ftb of the fault tables of both header forms; ranges and other codes are passed over."""
+    plain = _place("故障码") > 0
+    code = F.coalesce(cell("故障码"), F.when(~plain, cell("DTC")))
+    extra = lambda name: F.when(plain, F.lit("")).otherwise(F.coalesce(cell(name), F.lit("")))
+    out = rows.select("doc_id", code.alias("code"), F.coalesce(*map(cell, descriptions)).alias("description"), extra("所属模块").alias("module"), extra("FTB").alias("ftb"))
+    return out.where(F.col("code").rlike(code_form) & F.col("description").isNotNull())
 
 
 def maintenance(rows: DataFrame) -> DataFrame:
     """doc_id, item, period, km, months of the tables whose first two headers are 保养项目 and 周期."""
-    first = F.transform(F.slice("header", 1, 2), lambda h: F.regexp_replace(h, r"\s", ""))
+    first = F.transform(F.slice("header", 1, 2), lambda h: F.replace(h, F.lit(" "), F.lit("")))
     own = rows.where(first == F.array(F.lit("保养项目"), F.lit("周期"))).select("doc_id", F.try_element_at("cells", F.lit(1)).alias("item"), F.try_element_at("cells", F.lit(2)).alias("period"))
     km, months = period(F.col("period"))
-    return own.where("item <> '' AND period IS NOT NULL").select("doc_id", "item", "period", km.alias("km"), months.alias("months"))
+    return own.where("item <> '' AND period <> ''").select("doc_id", "item", "period", km.alias("km"), months.alias("months"))
+
+
+# How distances, months and years are written in intervals.
+KM, MONTH, YEAR = r"(\d+(?:\.\d+)?)[\s\p{Z}]*(万?)[\s\p{Z}]*(?:km|公里|千米)", r"(\d+(?:\.\d+)?)[\s\p{Z}]*个月", r"(\d+(?:\.\d+)?)[\s\p{Z}]*年"
 
 
 def period(c: Column) -> tuple[Column, Column]:
-    """(km, months) that a maintenance interval states in plain form; null where it states none."""
-    plain = F.regexp_replace(c, ",", "")
+    """(km, months) that a maintenance interval states in plain form, in narrow or wide digits; null where it states none."""
+    plain = F.translate(c, "０１２３４５６７８９,，", "0123456789")
     number = lambda pattern: F.regexp_extract(plain, pattern, 1).try_cast("double")
-    km = F.coalesce(number(r"(\d+(?:\.\d+)?)\s*万\s*(?:km|公里)") * 10_000, number(r"(\d+(?:\.\d+)?)\s*(?:km|公里)"))
-    months = F.coalesce(number(r"(\d+)\s*个?月"), number(r"(\d+)\s*年") * 12)
-    return km.cast("int"), months.cast("int")
+    km = number(KM) * F.when(F.regexp_extract(plain, KM, 2) == "万", 10_000).otherwise(1)
+    return km.cast("int"), F.coalesce(number(MONTH), number(YEAR) * 12).cast("int")
 
 
 def keyword_search(rows: DataFrame, word: str, *columns: str) -> DataFrame:

@@ -11,4 +11,4 @@ QUERIES: dict = {
     "p4_found": quantities.p4_found,
     "p4_amounts": quantities.p4_amounts,
 } | catalogue.QUERIES
-SQL: dict[str, str] = {"p2_found": snapshots.P2_FOUND_SQL} | catalogue.SQL
+SQL: dict[str, str] = {"p2_found": snapshots.P2_FOUND_SQL, "p2_changes": snapshots.P2_CHANGES_SQL} | catalogue.SQL

@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build(app: str = "lodestrand", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with adaptive execution and Arrow on; clusters bring their own session."""
-    return (
+def build(app: str = "lodestrand", cores: int | str = "*", shuffle_partitions: int = 8, checkpoints: str | None = None) -> SparkSession:
+    """A local session with adaptive execution and Arrow on; clusters bring their own session. What is no longer used of `checkpoints` is deleted."""
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,8 +19,12 @@ def build(app: str = "lodestrand", cores: int | str = "*", shuffle_partitions: i
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    if checkpoints:
+        spark.sparkContext.setCheckpointDir(checkpoints)
+    return spark
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,19 +32,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def has_shared_folder(spark: SparkSession) -> bool:
-    return bool(spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir())
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for what jobs write in between: the cluster's spark.checkpoint.dir, or the one set on the session.
 
+    A session on one machine (master local) that has none gets a temporary one. A cluster without one is
+    an error, as files on one machine's disk are lost with it and others can't read them.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrand-"))
+        folder = context.getCheckpointDir()
+    return folder
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read again from there.
 
-    The folder is the cluster's spark.checkpoint.dir. Only where a session has none (tests on one
-    machine) is a temporary folder set. Files in a shared folder survive the loss of executors.
-    """
-    spark = df.sparkSession
-    if not has_shared_folder(spark):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrand-"))
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again from there, so it survives the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

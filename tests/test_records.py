@@ -37,10 +37,10 @@ def test_markdown_tables(spark):
     text = "x\n| 故障码 | 中文描述 |\n| --- | --- |\n| P0300 | 失火 |\n| P0300–P0399 | 区间 |\n| C1234 | 轮速 |\n\n| 保养项目 | 周期 |\n|---|---|\n| 机油 | 8,000 km 或 8 个月 |"
     found = tables.table_rows(spark.createDataFrame([("d", text), ("d", text), ("e", None), ("f", "")], "doc_id string, text string")).cache()
     assert found.count() == 4
-    assert rows(tables.fault_codes(found)) == [("d", "C1234", "轮速"), ("d", "P0300", "失火")]
+    assert rows(tables.fault_codes(found)) == [("d", "C1234", "轮速", "", ""), ("d", "P0300", "失火", "", "")]
     assert rows(tables.maintenance(found)) == [("d", "机油", "8,000 km 或 8 个月", 8000, 8)]
-    df = spark.createDataFrame([("8,000 km 或 8 个月",), ("1.6万公里",), ("2 年",), ("免维护",), (None,)], "t string")
-    assert [tuple(r) for r in df.select(*tables.period(F.col("t"))).collect()] == [(8000, 8), (16000, None), (None, 24), (None, None), (None, None)]
+    df = spark.createDataFrame([("8,000 km 或 8 个月",), ("1.6万公里",), ("2 年",), ("免维护",), (None,), ("1.5 年",), ("0.5年",), ("1.5 个月",), ("16，000 千米",), ("3 月",)], "t string")
+    assert [tuple(r) for r in df.select(*tables.period(F.col("t"))).collect()] == [(8000, 8), (16000, None), (None, 24), (None, None), (None, None), (None, 18), (None, 6), (None, 1), (16000, None), (None, None)]
     models = spark.createDataFrame([("车型A",), (" 车型 A ",), ("别的",)], "m string").select(tables.car_model(F.col("m"), {"车型 A": "标准"}))
     assert [r[0] for r in models.collect()] == ["标准", "标准", "别的"]
 
@@ -76,7 +76,7 @@ def test_cache_and_sessions(spark):
 def test_ranking(spark):
     hits = spark.createDataFrame([(1, 1, True), (1, 2, False), (1, 3, False), (2, 1, False), (2, 2, False), (2, 3, True), (3, 1, False)], "query_id int, rank int, flag boolean")
     got = {r["query_id"]: (r["rr"], r["ndcg"], r["precision"]) for r in evaluation.rank_metrics(hits, 5).collect()}
-    assert got == {1: (1.0, 1.0, 0.3333), 2: (0.3333, 0.5, 0.3333), 3: (0.0, None, 0.0)}
+    assert got == {1: (1.0, 1.0, 0.3333), 2: (0.3333, 0.5, 0.3333), 3: (0.0, 0.0, 0.0)}
     f1 = evaluation.token_f1(spark.createDataFrame([(1, "机油 oil", "机油 oil"), (2, "aa", "bb"), (3, "aa", None)], "k int, a string, b string"), "k", "a", "b")
     assert rows(f1) == [(1, 1.0), (2, 0.0), (3, None)] if all(r[1] is not None for r in rows(f1)[:2]) else False
 
@@ -99,12 +99,83 @@ def test_relevance(spark):
     assert [r[0] for r in df.select(M.relevant(*(F.col(c) for c in "sten"))).collect()] == [True, False, True, False]
     form = spark.createDataFrame([("１,０００ Km",), (None,)], "t string").select(M.match_form(F.col("t")))
     assert [r[0] for r in form.collect()] == ["1000km", None]
+    commas = spark.createDataFrame([("16, 000",), ("16,000",), ("| 1,000 |",)], "t string").select(M.match_form(F.col("t")), M.snippet_form(F.col("t"))).collect()
+    assert [tuple(r) for r in commas] == [("16,000", "16,000"), ("16000", "16000"), ("|1000|", "1000")]
+
+
+def test_consecutive_tables():
+    row, rule = "| a | b |", "|---|---|"
+    assert [(n, len(body)) for n, _, body in tables.tables("\n".join([row, rule, row, row, rule, row]))] == [(1, 2)]
+    assert [n for n, _, _ in tables.tables("\n".join([rule, row]))] == [] and [len(b) for _, _, b in tables.tables("\n".join([row, rule]))] == [0]
+    assert list(tables.tables(None)) == []
+
+
+def test_excused_against_windows():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        marks = np.array(sorted((a, a + int(r.integers(1, 30))) for a in r.integers(0, 400, int(r.integers(0, 6))).tolist()), np.int64).reshape(-1, 2)
+        hits = np.array([(a, a + 3) for a in r.integers(0, 400, 5).tolist()], np.int64)
+        assert audit.excused(hits, marks, 20).tolist() == [any(s >= a - 20 and e <= b + 20 for s, e in marks) for a, b in hits.tolist()]
+
+
+def test_normal_values_and_recheck(spark):
+    given = ["每 8,000 km 或每 8 个月（以先到者为准）", "每 2 年", "1.5 万公里", "3 mm 20%", "没有", None, "16， 000km"]
+    assert [claims.normal_value(v) for v in given] == ["8000km|8month", "2year", "15000km", "20%|3mm", None, None, "0km"]
+    versions = spark.createDataFrame([(1, "d"), (2, "d")], "id long, doc_source string")
+    own = [(1, 1, "a", "spec", "s", "x", None, "[]", "油 每年换"), (2, 1, "b", "policy", "s", "5 km", None, "[]", "已删"), (3, 1, "e", "spec", "s", "8,000 km", None, "[]", ""), (4, 2, "e", "spec", "s", "8000km", None, "[]", ""), (5, 2, "n", "spec", "s", "词", None, "[]", ""), (6, 2, "m", "spec", "s", "5 km", None, "[]", "")]
+    found = spark.createDataFrame(own, "id long, version_id long, claim_key string, claim_type string, subject string, value string, value_normalized string, qualifiers string, evidence string")
+    texts = spark.createDataFrame([("d", "机油每年 换一次")], "doc_source string, text string")
+    got = {r["claim_key"]: (r["change"], r["severity"]) for r in claims.diff_latest(versions, found, texts).collect()}
+    assert got == {"a": ("removed", "recheck"), "b": ("removed", "high"), "e": ("unchanged", "none"), "n": ("added", "recheck"), "m": ("added", "low")}
+
+
+def test_gates_and_histories(spark):
+    from lodestrand.operators import answering as A
+
+    hits = spark.createDataFrame([("a", 0.5, 0.9), ("b", 0.001, 0.9), ("c", 0.5, 0.01)], "query_id string, score double, vector_score double")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "query_id string")
+    assert [r["reason"] for r in A.gate(asked, hits, "vector").orderBy("query_id").collect()] == [None, "low_evidence", "low_similarity", "empty"]
+    assert [r["reason"] for r in A.gate(asked, hits, "hybrid", 0).orderBy("query_id").collect()] == [None, None, None, "empty"]
+    df = spark.createDataFrame([(5, 2, 0.4), (5, 2, 0.5), (1, 1, 0.1), (4, 1, 0.1), (4, 4, 0.0), (None, None, 0.5)], "t int, u int, r double")
+    assert [df.where(F.col("r") == r["r"]).select(A.invented(F.col("t"), F.col("u"), r["r"])).first()[0] for r in df.limit(2).collect()] == [True, False]
+    judged = spark.createDataFrame([("x", 0, [1, 9]), ("x", 1, [])], "answer_id string, clause int, cited array<int>")
+    cites = spark.createDataFrame([("x", 1, "s", "t", 3)], "answer_id string, index int, source string, section string, position int")
+    assert rows(A.clause_sources(judged, cites).select("clause", "index", "source", "position", "invalid")) == [(0, 1, "s", 3, False), (0, 9, "", 0, True)]
+    turns = spark.createDataFrame([("s", 1, "q1", "a" * 300, False), ("s", 2, "q2", "", True), ("s", 3, "", "x", False), ("s", 4, "q4", "b", None)], "session_id string, back int, question string, answer string, refused boolean")
+    block = A.history_block(turns).first()["block"]
+    assert block.split("\n")[:3] == ["问：q4", "答：b", "问：q2（上轮未回答）"] and block.endswith("a" * 200 + "…") and "q4" not in A.rewrite_block(turns).first()["block"]
+    keys = spark.createDataFrame([(None, False, 1, None, 5, " q "), ("s", False, 2, "hybrid", 5, "q"), ("", True, 2, "hybrid", 5, None)], "s string, d boolean, v int, m string, k int, q string")
+    assert [tuple(r) for r in keys.select(A.cacheable(F.col("s"), F.col("d")), A.cache_key(*map(F.col, "vmkq"))).collect()] == [(True, "v1|auto|k5|q"), (False, "v2|hybrid|k5|q"), (False, "v2|hybrid|k5|")]
+    report = spark.createDataFrame([(5, 0, 0.5), (3, 0, 0.1), (3, 1, 0.9)], "total int, unsupported int, score double")
+    assert [r[0] for r in report.select(A.reflection(report, F.lit(0))).collect()] == ["retry", "pass", "retry"] and report.select(A.reflection(report, F.lit(1))).first()[0] == "pass"
+
+
+def test_request_rates(spark):
+    given = [(dt.datetime(2024, 1, 1), True, False, False, None, None), (dt.datetime(2024, 1, 2), False, True, False, 1_000_000, 500_000), (dt.datetime(2024, 1, 3), False, False, None, 0, 0), (dt.datetime(2024, 1, 3), False, False, True, 1, None)]
+    df = spark.createDataFrame(given, "ts timestamp, cache_hit boolean, refused boolean, error boolean, prompt_tokens long, completion_tokens long")
+    got = serving.request_rates(df, 2.0, 8.0).first()
+    assert (got["n"], got["cache_hit_rate"], got["refusal_rate"], got["error_rate"], got["total_tokens"], got["n_with_usage"], got["cost"]) == (4, 0.25, 0.25, 0.25, 1_500_001, 2, 6.0)
+    assert serving.request_rates(df.limit(0)).first()["n"] == 0 and serving.request_rates(df).first()["cost"] is None
+
+
+def test_running_sums(spark):
+    from lodestrand.operators.ordering import running
+
+    given = [("a" if k % 3 else "b", k, k % 5) for k in range(500)]
+    got = sorted(tuple(r) for r in running(spark.createDataFrame(given, "g string, v int, c long"), ["g", "v"], "c", "upto", 7).collect())
+    total = 0
+    for (g, v, c), row in zip(sorted(given), got):
+        total += c
+        assert row == (g, v, c, total)
 
 
 def test_audits(spark):
     df = spark.createDataFrame([(1, "key sk-abcdefghij0123456789"), (2, "x"), (3, None), (4, "厂家内部资料"), (5, "本文为虚构，不含厂家内部资料"), (6, "丰田"), (7, "gov.cn 丰田")], "doc_id int, text string")
     assert [r["doc_id"] for r in audit.secrets(df, "doc_id", "text").collect()] == [1]
-    assert rows(audit.risks(df, "doc_id", "text").select("id", "level")) == [(4, "high"), (6, "medium")]
+    makers = (*audit.RISKS, ("丰田", "中"))
+    assert rows(audit.risks(df, "doc_id", "text", makers).select("id", "level")) == [(4, "高"), (6, "中")]
     impact = audit.anchor_impact(spark.createDataFrame([("p1", "a"), ("p2", "b")], "page string, path string"), spark.createDataFrame([("a", False), ("b", True), ("c", False)], "path string, deleted boolean"))
     assert rows(impact.na.fill("-")) == [("a", "p1", "affected"), ("b", "p2", "broken"), ("c", "-", "uncovered")]
 

@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from pyspark.sql import functions as F
@@ -80,3 +81,15 @@ def test_batch_windows(spark, folder):
     events = spark.read.parquet(f"{folder}/events.parquet")
     assert windows.unique(events.unionByName(events), ["event_id"]).count() == events.select("event_id").distinct().count()
     assert windows.counted(events, "1 hour").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_clusters_need_a_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from lodestrand import session
+
+    conf = SimpleNamespace(get=lambda key: None)
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://x:7077"))
+    with pytest.raises(RuntimeError):
+        session.shared_folder(cluster)
+    assert session.shared_folder(spark)
