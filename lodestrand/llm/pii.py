@@ -28,7 +28,7 @@ from lodestrand.llm.tagger import KINDS, Tagger
 from lodestrand.session import spread
 
 MODEL = os.path.join(os.path.dirname(__file__), "pii_model.npz")
-WINDOW, OVERLAP = 128, 48
+WINDOW, OVERLAP = 512, 48
 #: Pieces of more characters than this are joined, not decoded again together.
 WIDEST = 1024
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
@@ -38,6 +38,7 @@ SHAPE = HALF | {ord(c): "0" for c in "0123456789"} | {c: "0" for c in range(0xFF
 CODE = re.compile(r"[A-Z]+(?=-?0)|(?<=0)[A-Z]+")
 NUMBER = re.compile(r"(?<![\w.+(/@-])(?<!0 )0{1,3}(?:\.0{1,2})?(?![\w./@-]| ?[0(])|(?<=[一-鿿])0{1,3}(?:\.0{1,2})?(?=[^0A-Za-z ./@-]|[KNVm%LMΩk])")
 MAIL = re.compile(r"[A-Za-z0-9_.+-]+(?:\s?@\s?|\s?[(\[{] ?at ?[)\]}]\s?|\sat\s)[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]+)+", re.I)
+MAIL_SIGN = re.compile(r"[A-Za-z0-9_.+@-]")
 EXTENSION = re.compile(r"ext|[x转]", re.I)
 EDGE = re.compile(r"[^\w+(]+")
 TITLE = re.compile(r"(?:[^\w]*(?:gez\.|Herrn?|Frau|Mrs?\.?|Ms\.?)? *)")
@@ -69,12 +70,12 @@ def places(shaped: str) -> list[int]:
     return [*out, *range(at, len(shaped) + 1)]
 
 
-def windows(length: int) -> list[tuple[int, int]]:
+def windows(length: int, width: int = WINDOW) -> list[tuple[int, int]]:
     """Overlapping windows over a text."""
     out, start = [], 0
-    while length - start > WINDOW:
-        out.append((start, start + WINDOW))
-        start += WINDOW - OVERLAP
+    while length - start > width:
+        out.append((start, start + width))
+        start += width - OVERLAP
     return [*out, (start, length)]
 
 
@@ -131,8 +132,15 @@ def decode(parts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]
 def confirm(text: str, a: int, b: int, kind: str) -> list[tuple[int, int]]:
     """The span's exact extent in a plain text, nothing if its form can't be of that kind."""
     if kind == "email":
-        low = max(0, a - 40)
-        return [(low + m.start(), low + m.end()) for m in MAIL.finditer(text[low : b + 40]) if low + m.start() < b and low + m.end() > a]
+        while a and MAIL_SIGN.match(text[a - 1]) and MAIL_SIGN.match(text[a]):
+            a -= 1
+        while b < len(text) and MAIL_SIGN.match(text[b]) and MAIL_SIGN.match(text[b - 1]):
+            b += 1
+        while b > a and not text[b - 1].isalnum():
+            b -= 1
+        while a < b and not text[a].isalnum():
+            a += 1
+        return [(a, b)] if MAIL.search(text[a:b]) else []
     if m := (TITLE if kind == "name" else EDGE).match(text[a:b]):
         a += m.end()
     while b > a and not (text[b - 1].isalnum() or text[b - 1] == ")"):

@@ -2,13 +2,16 @@
 
 The sample is bounded: at most SAMPLE_DOCS documents, of which every window with a labelled span and
 at most SAMPLE_PLAIN without one are used; of the distinct clauses, those with a span and SHORT without
-are examples of short texts. One document in ten is held out. Training goes on from the stored
-weights, if there are any.
+are examples of short texts. Beside them stand MADE texts of `pii_examples`, whose wordings and values
+aren't the sample's. One document in ten is held out. Training goes on from the stored weights, if there
+are any of this size.
 """
 
 from __future__ import annotations
 
 import os
+
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # the workers share the cores already; set before numpy is loaded
 import re
 import sys
 import time
@@ -17,15 +20,17 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 
-from lodestrand.llm import pii, pii_labels
+from lodestrand.llm import pii, pii_examples, pii_labels
 from lodestrand.llm.tagger import Tagger, fit, tags_of
 
 SAMPLE_DOCS, SAMPLE_PLAIN, SHORT, SWAPS = 10_000, 60_000, 12_000, 4
-DAMAGED = 6_000
+DAMAGED, MADE = 6_000, 40_000
+#: Windows of examples, and the tagger's size.
+TRAINED, WIDTH, HIDDEN = 128, 20, 24
 LEAST_SEEN = 2
 #: Of the swapped values so many go over a line end.
 WRAPPED = 0.15
-EPOCHS, BATCH, WORKERS = (2, 2), 256, 8
+EPOCHS, BATCH, WORKERS = (2, 4), 256, 8
 
 # Clause ends, where labels are looked up and short texts are cut.
 BREAK = re.compile(r"[。！？；，]+|; |, (?=[a-zäöü])|\n+|\t|(?<=[^\s.]{3}[.!?])(?<!Mrs\.)(?<!gez\.) +(?=[A-ZÄÖÜ])|(?m:^(?:[A-Z][a-z]{3,8}: |[一-鿿]{2}：))")
@@ -101,7 +106,14 @@ def swapped(part: str, spans: list, pool: dict, r: np.random.Generator) -> tuple
 
 def windows_of(part: str, spans: list, start: int = 0) -> list[tuple[str, np.ndarray]]:
     tags = tags_of(len(part), spans)
-    return [(part[start + a : start + b], tags[start + a : start + b]) for a, b in pii.windows(len(part) - start)]
+    return [(part[start + a : start + b], tags[start + a : start + b]) for a, b in pii.windows(len(part) - start, TRAINED)]
+
+
+def as_read(text: str, spans: list) -> tuple[str, list]:
+    """A text as the tagger reads it, with its spans."""
+    shaped = pii.shape(pii.plain(text))
+    back = pii.places(shaped)
+    return pii.shorten(shaped), [(bisect_left(back, a), bisect_left(back, b), kind) for a, b, kind in spans]
 
 
 def main(source: str, out: str = pii.MODEL) -> None:
@@ -127,22 +139,26 @@ def main(source: str, out: str = pii.MODEL) -> None:
     plain = sorted((plain[k] for k in r.permutation(len(plain))), key=lambda k: -times[k])[:SHORT]
     damaged = [(w[0].upper(), w[1]) for k in r.integers(0, len(without), DAMAGED) for w in (without[k],) if len(w[0].upper()) == len(w[0])]
     spare = [w for k in plain for w in windows_of(k, [])] + damaged
-    if os.path.exists(pii.MODEL):
-        tagger = Tagger.load(pii.MODEL)
-    else:
-        seen: dict[str, int] = {}
-        for k in short:
-            for c in set(k):
-                seen[c] = seen.get(c, 0) + 1
-        tagger = Tagger.new("".join(sorted(c for c, n in seen.items() if n >= LEAST_SEEN)))
+    bare = [pii.plain(t)[a:b].strip() for k, t in enumerate(texts[:3000]) if k % 10 for a, b in segments(pii.plain(t))]
+    bare = [t for t in dict.fromkeys(bare) if 12 < len(t) < 90 and not pii_labels.spans(t) and not known.get(pii.shorten(pii.shape(t)))][:20_000]
+    extra = [as_read(*x) for x in pii_examples.made(MADE, r, bare)]
+    made = [w for k, v in extra for w in windows_of(k, v)]
+    seen: dict[str, int] = {}
+    for k in [*short, *(k for k, _ in extra)]:
+        for c in set(k):
+            seen[c] = seen.get(c, 0) + 1
+    alphabet = "".join(sorted(c for c, n in seen.items() if n >= LEAST_SEEN))
+    tagger = Tagger.load(pii.MODEL).widened(alphabet) if os.path.exists(pii.MODEL) else None
+    if tagger is None or tagger.w["fU"].shape[0] != HIDDEN:
+        tagger = Tagger.new(alphabet, WIDTH, HIDDEN)
     began = time.time()
-    print(len(with_spans), "windows with spans,", len(without) + len(spare), "without,", len(tagger.alphabet), "characters", flush=True)
+    print(len(with_spans), "windows with spans,", len(without) + len(spare), "without,", len(made), "made,", len(tagger.alphabet), "characters", flush=True)
     say = lambda s: print(s, round(time.time() - began), "s", flush=True)
-    fit(tagger, with_spans + without[: SAMPLE_PLAIN // 2] + spare, EPOCHS[0], BATCH, say=say, workers=WORKERS)
+    fit(tagger, with_spans + without[: SAMPLE_PLAIN // 2] + spare + made, EPOCHS[0], BATCH, say=say, workers=WORKERS)
     # what it takes for personal data wrongly, or misses, comes again more often
     wrong = [w for w, spans in zip(own, tagger.decode([k for k, _ in own])) if (tags_of(len(w[0]), spans) != w[1]).any()]
     print(len(wrong), "windows of the sample wrong", flush=True)
-    fit(tagger, with_spans + without[SAMPLE_PLAIN // 2 :] + spare + wrong * 5, EPOCHS[1], BATCH, rate=2e-3, say=say, workers=WORKERS)
+    fit(tagger, with_spans * 2 + without[SAMPLE_PLAIN // 2 :] + spare + made + wrong * 5, EPOCHS[1], BATCH, rate=2e-3, say=say, workers=WORKERS)
     tagger.save(out)
     tagger = Tagger.load(out)
     got = pii.decode([k for k, _ in held], tagger)

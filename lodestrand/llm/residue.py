@@ -5,7 +5,8 @@ its probability in natural prose, placeholders, filler and notices. The logarith
 prose, clipped per character, is summed over windows; of each kind of residue the window with the
 greatest sum is where the text looks least like prose and most like that kind, and so on with what
 lies beside it. A placeholder or blank counts wherever its window's sum passes a threshold, even
-inside a real sentence. Filler and notices count if their windows together also cover most of the text, as a text that merely mentions such
+inside a real sentence, and holds a sign that ordinary sentences don't have, as letters alone, however
+rare, are only words that the models don't know. Filler and notices count if their windows together also cover most of the text, as a text that merely mentions such
 words is content.
 
 Texts are read whole, in NFKC with digits alike. There is no shuffle but that of the results,
@@ -32,7 +33,10 @@ CLIP = 4.0
 #: The least sum of a window of each kind, and the least share of the text that it must cover.
 LEAST_SUM = {"placeholder": 7.8, "filler": 4.5, "notice": 12.0}
 LEAST_COVER = {"placeholder": 0.0, "filler": 0.6, "notice": 0.6}
-MEMORY = 200_000
+#: A placeholder's least length, and the signs of ordinary sentences, which mark none.
+LEAST_LENGTH, SENTENCE = 2, ".,;:!?。、'\"-~·/°+±×="
+#: Bytes, about, that the remembered texts of a worker may take.
+MEMORY = 64 << 20
 
 
 def normal(text: str) -> str:
@@ -75,12 +79,29 @@ class Model:
         return cls(tables)
 
 
+class Places:
+    """Where sorted hashes are: the first of each stretch of the upper bits is looked up, then at most the longest stretch walked."""
+
+    def __init__(self, keys: np.ndarray):
+        self.shift = np.uint32(32 - max(1, min(24, int(len(keys)).bit_length() + 1)))
+        starts = np.searchsorted(keys >> self.shift, np.arange((1 << (32 - int(self.shift))) + 1))
+        self.first, self.longest = starts[:-1].astype(np.int32), int(np.diff(starts).max(initial=1))
+        self.keys = np.append(keys, np.uint32(0xFFFFFFFF))
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each hash, the number of keys if it isn't there."""
+        at = self.first[wanted >> self.shift]
+        for _ in range(self.longest):
+            at += self.keys[at] < wanted
+        return np.where(self.keys[at] == wanted, at, len(self.keys) - 1)
+
+
 class Together:
     """Several models over one table of runs and one of contexts per order, so that each run is looked up once for all."""
 
     def __init__(self, models: dict[str, Model]):
         self.kinds = list(models)
-        self.tables = []
+        self.rates = []
         for k in range(ORDER):
             own = [m.tables[k] for m in models.values()]
             keys, contexts = (np.unique(np.concatenate([t[i] for t in own])) for i in (0, 2))
@@ -89,24 +110,20 @@ class Together:
                 counts[row, np.searchsorted(keys, t[0])] = t[1]
                 at = np.searchsorted(contexts, t[2])
                 uses[row, at], different[row, at] = t[3], t[4]
-            self.tables.append((keys, counts, contexts, uses, different))
+            every = (uses + different).astype(np.float32)
+            seen = np.maximum(every, 1)
+            beside = lambda x, last: np.ascontiguousarray(np.vstack([x.T, np.full((1, len(own)), last)]).astype(np.float32))
+            self.rates.append((Places(keys), beside(counts, 0), Places(contexts), beside(np.where(every > 0, 1 / seen, 0), 0), beside(np.where(every > 0, different / seen, 1), 1)))
 
     def logs(self, g: np.ndarray, c: np.ndarray) -> dict[str, np.ndarray]:
         """The logarithm of each character's probability in each model, by Witten-Bell interpolation."""
-
-        def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return at, keys[at] == wanted
-
-        p = np.full((len(self.kinds), g.shape[1]), 1 / ALPHABET, np.float64)
-        for k, (keys, counts, contexts, uses, different) in enumerate(self.tables):
-            at, there = find(contexts, c[k])
-            run, known = find(keys, g[k + 1])
-            for row in range(len(p)):
-                used, kinds = uses[row][at] * there, different[row][at] * there
-                total = used + kinds
-                p[row] = np.where(total > 0, (counts[row][run] * known + kinds * p[row]) / np.maximum(total, 1), p[row])
-        return dict(zip(self.kinds, np.log(p)))
+        p = np.full((g.shape[1], len(self.kinds)), 1 / ALPHABET, np.float32)
+        for k, (runs_of, counts, contexts, total, kept) in enumerate(self.rates):
+            at, run = contexts.find(c[k]), runs_of.find(g[k + 1])
+            # the last row of each table stands for what isn't there: nothing counted, all of the shorter run's probability kept
+            p *= kept[at]
+            p += counts[run] * total[at]
+        return dict(zip(self.kinds, np.log(p).T))
 
 
 PARTS = ("keys", "counts", "contexts", "uses", "different")
@@ -175,28 +192,38 @@ def examine(texts: list[str], models: Together) -> list[list[tuple[str, int, int
     return out
 
 
-def residue(found: list[tuple[str, int, int, float, float]]) -> list[tuple[str, int, int, float, float]]:
-    """The windows that pass the thresholds of their kind."""
-    return [f for f in found if f[3] >= LEAST_SUM[f[0]] and f[4] >= LEAST_COVER[f[0]]]
+def marked(text: str, start: int, end: int) -> bool:
+    """Whether a window or the characters beside it hold a sign that isn't of sentences: what is open is marked as such."""
+    return any(unicodedata.category(c)[0] in "PS" and c not in SENTENCE for c in text[max(0, start - 1) : end + 1])
+
+
+def residue(text: str, found: list[tuple[str, int, int, float, float]]) -> list[tuple[str, int, int, float, float]]:
+    """The windows that pass the thresholds of their kind over a normalised text; placeholders must be marked and not tiny."""
+    own = [f for f in found if f[3] >= LEAST_SUM[f[0]] and f[4] >= LEAST_COVER[f[0]]]
+    return [f for f in own if f[0] != "placeholder" or (f[2] - f[1] >= LEAST_LENGTH and marked(text, f[1], f[2]))]
 
 
-_state: dict = {"models": None, "known": {}}
+_state: dict = {"models": None, "known": {}, "bytes": 0}
 
 
 def judge(texts: list[str]) -> list[list[tuple[str, int, int, float, float]]]:
     """The residue of each text; equal texts are examined once per worker."""
     if _state["models"] is None:
         _state["models"] = load()
-    known = _state["known"]
-    if len(known) > MEMORY:
-        known.clear()
-    new = list({t for t in texts if t not in known})
+    if _state["bytes"] > MEMORY:
+        _state["known"], _state["bytes"] = {}, 0
+    known = dict.fromkeys(texts)
+    known.update((t, _state["known"][t]) for t in known if t in _state["known"])
+    new = [t for t, found in known.items() if found is None]
+    _state["bytes"] += sum(4 * len(t) + 200 for t in new)
     start, size = 0, 0
     for k, t in enumerate(new):
         size += len(t)
         if size > 200_000 or k + 1 == len(new):
-            known.update(zip(new[start : k + 1], map(residue, examine(new[start : k + 1], _state["models"]))))
+            own = new[start : k + 1]
+            known.update(zip(own, map(residue, map(normal, own), examine(own, _state["models"]))))
             start, size = k + 1, 0
+    _state["known"].update((t, known[t]) for t in new)
     return [known[t] for t in texts]
 
 

@@ -1,7 +1,8 @@
 """A character-level bidirectional LSTM with a CRF on top, in numpy: decoding and training.
 
-Sequences of one length are handled together, so nothing is padded or masked. For decoding the
-products of the character vectors with the input weights are taken once per character of the
+In training, sequences of one length are handled together. For decoding they are packed: a batch is in
+the order of falling lengths, and a step works on those that are long enough, the first n of them, so
+nothing is padded or masked and a text's tags don't depend on its neighbours. The products of the character vectors with the input weights are taken once per character of the
 alphabet, and a step then costs one look-up and one product with the recurrent weights.
 """
 
@@ -14,7 +15,7 @@ import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-BATCH = 512
+BATCH = 384
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -41,6 +42,12 @@ class Tagger:
         w |= {"O": r.normal(0, 0.2, (2 * hidden, len(TAGS))), "Ob": np.zeros(len(TAGS)), "T": np.zeros((len(TAGS), len(TAGS))), "S": np.zeros(len(TAGS)), "F": np.zeros(len(TAGS))}
         return cls(alphabet, {k: v.astype(np.float32) for k, v in w.items()})
 
+    def widened(self, characters: str, seed: int = 9) -> Tagger:
+        """This tagger with further characters in its alphabet, each beginning near the unknown one."""
+        new = "".join(c for c in dict.fromkeys(characters) if c not in self.alphabet)
+        rows = self.w["E"][:1] + np.random.default_rng(seed).normal(0, 0.1, (len(new), self.w["E"].shape[1]))
+        return Tagger(self.alphabet + new, self.w | {"E": np.vstack([self.w["E"], rows]).astype(np.float32)})
+
     @classmethod
     def load(cls, path: str) -> Tagger:
         with np.load(path) as z:
@@ -54,8 +61,16 @@ class Tagger:
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(texts), -1)
         return self.table[np.minimum(points, 0x1FFFF)]
 
-    def _states(self, d: str, x: np.ndarray) -> np.ndarray:
-        """Hidden states (time, batch, hidden) of one direction over codes (time, batch)."""
+    def _packed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (time, batch) of texts in the order of falling lengths, and how many of them reach each time."""
+        lengths = np.array([len(t) for t in texts])
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        x = np.zeros((len(texts), lengths[0]), np.int32)
+        x[np.arange(lengths[0]) < lengths[:, None]] = self.table[np.minimum(points, 0x1FFFF)]
+        return x.T.copy(), (lengths[:, None] > np.arange(lengths[0])).sum(axis=0)
+
+    def _states(self, d: str, x: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Hidden states (time, batch, hidden) of one direction over packed codes (time, batch)."""
         if self.tables is None:
             # half of a sigmoid gate's input, as sigmoid(x) = (1 + tanh(x / 2)) / 2; one tanh then does all gates
             n = self.w["fU"].shape[0]
@@ -64,12 +79,14 @@ class Tagger:
             self.tables |= {f"{k}U": np.ascontiguousarray(self.w[f"{k}U"] * half) for k in "fb"}
         table, u = self.tables[d], self.tables[f"{d}U"]
         n = u.shape[0]
-        h, c, s = (np.zeros((x.shape[1], n), np.float32) for _ in "hcs")
-        z = np.empty((x.shape[1], 4 * n), np.float32)
-        out = np.empty((len(x), x.shape[1], n), np.float32)
+        h_all, c_all, s_all = (np.zeros((x.shape[1], n), np.float32) for _ in "hcs")
+        z_all = np.empty((x.shape[1], 4 * n), np.float32)
+        out = np.zeros((len(x), x.shape[1], n), np.float32)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+            k = active[t]
+            h, c, s, z = h_all[:k], c_all[:k], s_all[:k], z_all[:k]
             np.matmul(h, u, out=z)
-            z += table[x[t]]
+            z += table[x[t, :k]]
             np.tanh(z, out=z)
             z[:, : 3 * n] += 1
             np.multiply(z[:, :n], z[:, 3 * n :], out=s)
@@ -78,40 +95,40 @@ class Tagger:
             c *= 0.5
             np.tanh(c, out=s)
             s *= z[:, 2 * n : 3 * n]
-            h = np.multiply(s, 0.5, out=out[t])
+            np.multiply(s, 0.5, out=h)
+            out[t, :k] = h
         return out
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """The spans (start, end, kind) of each text on the best path."""
         out: list = [[] for _ in texts]
-        by: dict[int, list[int]] = defaultdict(list)
-        for k, t in enumerate(texts):
-            if t:
-                by[len(t)].append(k)
-        for ids in by.values():
-            for start in range(0, len(ids), BATCH):
-                own = ids[start : start + BATCH]
-                x = self.codes([texts[k] for k in own]).T.copy()
-                s = np.concatenate([self._states("f", x), self._states("b", x)], 2) @ self.w["O"] + self.w["Ob"]
-                best = self._best(s)
-                for k in np.flatnonzero(best.any(axis=0)):
-                    out[own[k]] = _spans(best[:, k])
+        ids = sorted((k for k, t in enumerate(texts) if t), key=lambda k: -len(texts[k]))
+        for start in range(0, len(ids), BATCH):
+            own = ids[start : start + BATCH]
+            x, active = self._packed([texts[k] for k in own])
+            s = np.concatenate([self._states(d, x, active) for d in "fb"], 2) @ self.w["O"] + self.w["Ob"]
+            best = self._best(s, active)
+            for k in np.flatnonzero(best.any(axis=0)):
+                out[own[k]] = _spans(best[: len(texts[own[k]]), k])
         return out
 
-    def _best(self, s: np.ndarray) -> np.ndarray:
-        """Tags (time, batch) of the best paths."""
+    def _best(self, s: np.ndarray, active: np.ndarray | None = None) -> np.ndarray:
+        """Tags (time, batch) of the best paths over packed scores (time, batch, tags); 0 behind a sequence's end."""
+        active = np.full(len(s), s.shape[1]) if active is None else active
         s = np.ascontiguousarray(s.transpose(0, 2, 1))
         trans = self.w["T"]
-        v = np.empty_like(s)
+        v = np.zeros_like(s)
         v[0] = s[0] + self.w["S"][:, None]
         for t in range(1, len(s)):
-            np.add((v[t - 1][:, None] + trans[:, :, None]).max(0), s[t], out=v[t])
-        out = np.empty((len(s), s.shape[2]), np.int8)
-        tag = (v[-1] + self.w["F"][:, None]).argmax(0)
+            k = active[t]
+            np.add((v[t - 1][:, None, :k] + trans[:, :, None]).max(0), s[t][:, :k], out=v[t][:, :k])
+        out, tag, k = np.zeros((len(s), s.shape[2]), np.int8), np.zeros(s.shape[2], np.int64), 0
         for t in range(len(s) - 1, -1, -1):
-            out[t] = tag
-            if t:  # the best way to this tag is found again, so no pointers are kept
-                tag = (v[t - 1] + trans[:, tag]).argmax(0)
+            # the best way to the tags behind is found again, so no pointers are kept; sequences that end here join
+            tag[:k] = (v[t][:, :k] + trans[:, tag[:k]]).argmax(0)
+            tag[k : active[t]] = (v[t][:, k : active[t]] + self.w["F"][:, None]).argmax(0)
+            k = active[t]
+            out[t, :k] = tag[:k]
         return out
 
     # Training

@@ -39,7 +39,8 @@ def test_shapes_keep_places():
     own = pii.shape("在 12 到 345 之间 or 7")
     back = pii.places(own)
     assert len(back) == len(pii.shorten(own)) + 1 and back[0] == 0 and back[-1] == len(own)
-    assert [(a, b) for a, b in pii.windows(300)] == [(0, 128), (80, 208), (160, 288), (240, 300)]
+    assert [(a, b) for a, b in pii.windows(300)] == [(0, 300)]
+    assert pii.windows(300, 128) == [(0, 128), (80, 208), (160, 288), (240, 300)] and pii.windows(1000) == [(0, 512), (464, 976), (928, 1000)]
 
 
 def test_reconcile():
@@ -97,6 +98,21 @@ def test_gradients_and_learning():
     assert len(TAGS) == 2 * len(KINDS) + 1
 
 
+def test_neighbours_do_not_matter():
+    t = Tagger.new("abcdefgh0 ", 6, 8)
+    r = np.random.default_rng(4)
+    t.w |= {"O": r.normal(size=t.w["O"].shape).astype(np.float32) * 3, "T": r.normal(size=(11, 11)).astype(np.float32)}
+    texts = ["".join(r.choice(list("abcdefgh0 "), int(n))) for n in r.integers(0, 60, 80)]
+    alone = [t.decode([x])[0] for x in texts]
+    assert t.decode(texts) == alone and any(alone)
+
+
+def test_long_mail_addresses():
+    mail = "a" * 60 + "@" + "b" * 70 + ".example.org"
+    text = f"an {mail}."
+    assert pii.confirm(text, 10, 40, "email") == [(3, 3 + len(mail))] and pii.confirm("nichts hier", 0, 6, "email") == []
+
+
 def test_best_path_against_brute_force():
     from itertools import product
 
@@ -140,3 +156,14 @@ def test_held_out_quality():
 )
 def test_spans_cross_clause_and_line_ends(text, expected):
     assert expected in [text[a:b] for a, b, _ in pii.find([text])[0]]
+
+
+@pytest.mark.parametrize("language", ["en", "de", "zh"])
+def test_sentences_of_other_wordings(language):
+    """200 sentences whose wordings and values the tagger never saw; the figures stand in the README."""
+    from tests.llm import heldout
+
+    given = heldout.sentences(language)
+    texts = [t for t, _ in given]
+    precision, recall, _ = heldout.scores(pii.find(texts), [s for _, s in given], texts)
+    assert precision >= 0.85 and recall >= 0.82

@@ -62,6 +62,33 @@ def test_fields(tables, spark):
     assert rows(residue.p3_found(spark, tables(multi_turn_set=(SCHEMA, [])))) == []
 
 
+# Texts written apart from the labels' wordings and the made examples.
+CLEAN = (
+    "The weather in Lisbon was mild, and the harbour stayed open all winter.", "Please keep the receipt; the dealer will refund the deposit within five days.", "My grandmother baked bread every Sunday morning.", "The choir sings in the old hall on Thursday.", "Two goats slept under the apple tree.", "If the page shows an error, reload the navigation unit and tell the dealer.", "The library lends books for three weeks.", "She paid the rent in cash and asked for a receipt.",
+    "Der Zug nach Hamburg hatte heute eine halbe Stunde Verspätung.", "Die Kinder spielten im Garten, bis es dunkel wurde.", "Wenn die Anzeige einen Fehler meldet, starten Sie das Radio neu.", "Der Chor singt am Donnerstag in der alten Halle.", "Zwei Ziegen schliefen unter dem Apfelbaum.", "Die Bücherei verleiht Bücher für drei Wochen.", "Sie zahlte die Miete bar und bat um eine Quittung.", "Das Brot war noch warm, als wir kamen.",
+    "图书馆周末开放到晚上九点，学生可以免费借书。", "她每天早上骑自行车上班，大约需要二十分钟。", "奶奶每个星期天早上烤面包。", "合唱团星期四在老礼堂唱歌。", "两只山羊睡在苹果树下。", "他用现金付了房租，并要了收据。", "我们到的时候面包还是热的。", "天气转凉以后，院子里的花都谢了。",
+)
+OPEN = (
+    "The interval is [INSERT VALUE HERE] km", "Torque: <enter torque> Nm", "Ask for {{ customer_name }} at the desk.", "Signed on ______ by the owner.", "The pump holds ${volume} litres.", "[ADD SOURCE] says so.", "Sorry, something went wrong. Please try again later.", "ERR_CONNECTION_REFUSED", "Enable JavaScript in your browser to see this article.", "lorem ipsum dolor sit amet",
+    "Das Intervall beträgt [Wert eintragen] km.", "Drehmoment: <Zahl einfügen> Nm", "Unterschrift: ________", "Der Name lautet {{ kunde_name }}.", "Die Seite konnte nicht geladen werden.", "Bitte aktivieren Sie JavaScript, um diesen Artikel zu lesen.", "Der Server antwortet nicht. Bitte laden Sie die Seite neu.",
+    "间隔为【请输入数值】公里", "扭矩：<输入扭矩>", "请联系{{ customer }}办理。", "签字：________", "页面加载失败，请检查网络", "服务器没有响应，请稍后重试", "请先启用JavaScript再阅读本文。",
+)
+
+
+def test_texts_of_other_wordings():
+    clean, found = [bool(x) for x in residue.judge(list(CLEAN))], [bool(x) for x in residue.judge(list(OPEN))]
+    assert sum(found) / (sum(found) + sum(clean)) >= 0.9 and sum(found) / len(OPEN) >= 0.9
+
+
+def test_hashes_are_found():
+    r = np.random.default_rng(7)
+    keys = np.unique(np.r_[r.integers(0, 1 << 32, 5000), r.integers(7, 40, 20), [0, (1 << 32) - 1]].astype(np.uint32))
+    places = residue.Places(keys)
+    wanted = np.r_[keys, r.integers(0, 1 << 32, 5000).astype(np.uint32), np.arange(50, dtype=np.uint32)]
+    there = dict(zip(keys.tolist(), range(len(keys))))
+    assert places.find(wanted).tolist() == [there.get(int(w), len(keys)) for w in wanted]
+
+
 def test_held_out_quality():
     """On the check tables' rows, which the models never saw, the labelled residue is found."""
     from lodestrand.llm import residue_fit, residue_labels
