@@ -9,7 +9,7 @@ Karp-Rabin giving the matches, so reordered passages count like connected ones.
 
 The items are the stated query set. They are taken in blocks of at most about BLOCK_CHARS
 characters, each block's seeds being broadcast, so what is broadcast has a bound whatever the
-number of items. The documents are read once per block, with no shuffle.
+number of items. The documents are read once for PASS blocks, with no shuffle.
 
 Defined results: null and empty texts hold nothing and leak nothing. Items of fewer than LEAST
 letters and digits can't leak. Documents or items delivered twice give one row.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from lodestrand.session import spread
 
 LEAST = 40
 SEED, STEP = 20, 21
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS, PASS = 4_000_000, 4
 #: An item counts as leaked by a document if so much of it is covered or a tile is so long.
 COVERAGE = 0.2
 APART = ""
@@ -90,6 +91,35 @@ def tiles(item: str, text: str, least: int = LEAST) -> list[tuple[int, int, int]
                 width = max(least, width // 2)
 
 
+def _ends(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first, last) of the progressions in which each hash recurs at one distance of at most `width`.
+
+    Text of a short period gives such a progression. Of two of them only matches that begin or end
+    together can be the longest or reach beyond them, so the places between need not be paired.
+    """
+    by = np.lexsort((at, h))
+    h, at = h[by], at[by]
+    gap = np.diff(at)
+    close = (h[1:] == h[:-1]) & (gap <= width)
+    on = close.copy()
+    on[1:] &= ~close[:-1] | (gap[1:] == gap[:-1])
+    first = np.flatnonzero(np.r_[True, ~on]) if len(h) else np.empty(0, np.int64)
+    last = np.r_[first[1:], len(h)] - 1 if len(h) else first
+    return h[first], at[first], at[last]
+
+
+def _run(a: np.ndarray, b: np.ndarray) -> int:
+    """How many places a and b agree from the start; in growing steps, so a long rest isn't compared for a short run."""
+    room, done, step = min(len(a), len(b)), 0, 64
+    while done < room:
+        stop = min(room, done + step)
+        equal = a[done:stop] == b[done:stop]
+        if not equal.all():
+            return done + int(equal.argmin())
+        done, step = stop, step * 4
+    return done
+
+
 def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, width: int) -> tuple[list[tuple[int, int, int]], int]:
     """Maximal common runs of at least `width` unmarked codes, and the length of the longest."""
 
@@ -99,24 +129,26 @@ def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarra
         at = np.flatnonzero(taken[width:] == taken[: len(h)]) if len(h) else np.empty(0, np.int64)
         return h[at], at
 
-    (ha, at_a), (hb, at_b) = open_windows(a, free_a), open_windows(b, free_b)
-    by = np.argsort(hb, kind="stable")
-    hb, at_b = hb[by], at_b[by]
+    (ha, *ends_a), (hb, *ends_b) = (_ends(*open_windows(x, free), width) for x, free in ((a, free_a), (b, free_b)))
     low, high = np.searchsorted(hb, ha, "left"), np.searchsorted(hb, ha, "right")
-    out, longest, seen = [], 0, set()
-    for k in np.flatnonzero(high > low):
-        for j in at_b[low[k] : high[k]]:
-            i, j = int(at_a[k]), int(j)
-            if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1] and (i - 1, j - 1) in seen:
-                seen.add((i, j))  # within a run already measured
-                continue
-            room = min(len(a) - i, len(b) - j)
-            equal = (a[i : i + room] == b[j : j + room]) & free_a[i : i + room] & free_b[j : j + room]
-            n = room if equal.all() else int(np.argmin(equal))
-            if n >= width:
-                seen.add((i, j))
-                out.append((n, i, j))
-                longest = max(longest, n)
+    many = high - low
+    k = np.repeat(np.arange(len(ha)), many)
+    m = np.repeat(low - np.cumsum(many) + many, many) + np.arange(len(k))
+    pairs = np.unique(np.concatenate([np.stack([x[k], y[m]], 1) for x, y in zip(ends_a, ends_b)]), axis=0)
+    pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 0] - pairs[:, 1]))]
+    # marked places differ from everything, so a run ends at them
+    x, y = np.where(free_a, a, np.uint64(1)), np.where(free_b, b, np.uint64(2))
+    back_x, back_y = x[::-1], y[::-1]
+    out, longest, diagonal, reach = [], 0, None, -1
+    for i, j in pairs.tolist():
+        if i - j == diagonal and i < reach:  # within the run before
+            continue
+        before = _run(back_x[len(x) - i :], back_y[len(y) - j :])
+        n = before + _run(x[i:], y[j:])
+        diagonal, reach = i - j, i - before + n
+        if n >= width:
+            out.append((n, i - before, j - before))
+            longest = max(longest, n)
     return out, longest
 
 
@@ -150,25 +182,26 @@ def around(text: str, places: list[int], reach: int) -> str:
     return APART.join(text[a:b] for a, b in spans)
 
 
-def _search(seeds, size: int):
+def _search(blocks: list, size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, owner, items, likely = seeds.value
         shift = np.uint64(64 - FILTER_BITS)
         for pdf in batches:
             norms = [alnum(t) for t in pdf["text"]]
-            met: dict[tuple[int, int], list[int]] = defaultdict(list)
+            met: dict[tuple[int, int, int], list[int]] = defaultdict(list)
             for first, text, starts in stretches(norms, size):
                 windows = rolling(codes(text), SEED)
-                at = np.flatnonzero(likely[windows >> shift])
-                k = np.minimum(np.searchsorted(known, windows[at]), len(known) - 1)
-                at, k = at[known[k] == windows[at]], k[known[k] == windows[at]]
-                doc = np.searchsorted(starts, at, "right") - 1
-                for d, place, seed in zip(doc.tolist(), (at - starts[doc]).tolist(), k.tolist()):
-                    for item in owner[seed]:
-                        met[first[d][0], item].append(place + first[d][1])
+                for n, block in enumerate(blocks):
+                    known, owner, _, likely = block.value
+                    at = np.flatnonzero(likely[windows >> shift])
+                    k = np.minimum(np.searchsorted(known, windows[at]), len(known) - 1)
+                    at, k = at[known[k] == windows[at]], k[known[k] == windows[at]]
+                    doc = np.searchsorted(starts, at, "right") - 1
+                    for d, place, seed in zip(doc.tolist(), (at - starts[doc]).tolist(), k.tolist()):
+                        for item in owner[seed]:
+                            met[first[d][0], n, item].append(place + first[d][1])
             rows = []
-            for (doc, item), places in met.items():
-                key, text = items[item]
+            for (doc, n, item), places in met.items():
+                key, text = blocks[n].value[2][item]
                 if found := tiles(text, around(norms[doc], places, len(text))):
                     rows.append((pdf["doc_id"].iloc[doc], key, len(found), max(n for _, _, n in found), sum(n for _, _, n in found) / len(text)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_tiles", "longest", "coverage"])
@@ -183,9 +216,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_column: str = "doc_id", it
     tests = items.select(F.col(item_column).alias("item_id"), F.col(text_column).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").groupBy("item_id").agg(F.min("text").alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, item_id {dict(tests.dtypes)['item_id']}, n_tiles int, longest int, coverage double"
     chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, out = max(1, math.ceil(chars / BLOCK_CHARS)), None
-    for block in range(blocks):
-        part = tests.where(F.pmod(F.hash("item_id"), F.lit(blocks)) == block).collect()
+    count, blocks = max(1, math.ceil(chars / BLOCK_CHARS)), []
+    for n in range(count):
+        part = tests.where(F.pmod(F.hash("item_id"), F.lit(count)) == n).collect()
         texts = [(r["item_id"], norm) for r in part if len(norm := alnum(r["text"])) >= LEAST]
         of = defaultdict(list)
         for k, (_, text) in enumerate(texts):
@@ -196,10 +229,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_column: str = "doc_id", it
         known = np.array(sorted(of), np.uint64)
         likely = np.zeros(1 << FILTER_BITS, bool)
         likely[known >> np.uint64(64 - FILTER_BITS)] = True
-        seeds = spark.sparkContext.broadcast((known, [of[h] for h in known.tolist()], texts, likely))
-        found = docs.mapInPandas(_search(seeds, STRETCH), schema)
-        out = found if out is None else out.unionAll(found)
-    return out.distinct() if out is not None else spark.createDataFrame([], schema)
+        blocks.append(spark.sparkContext.broadcast((known, [of[h] for h in known.tolist()], texts, likely)))
+    found = [docs.mapInPandas(_search(blocks[k : k + PASS], STRETCH), schema) for k in range(0, len(blocks), PASS)]
+    return reduce(DataFrame.unionAll, found).distinct() if found else spark.createDataFrame([], schema)
 
 
 def _tables(spark: SparkSession, folder: str) -> DataFrame:

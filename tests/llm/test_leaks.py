@@ -51,3 +51,30 @@ def test_empty_tables(tables, spark):
     assert rows(leaks.p6_found(spark, tables(documents=(DOCUMENT, []), eval_item=(ITEM, [(1, "x" * 50, "")])))) == []
     assert rows(leaks.p6_found(spark, tables(documents=(DOCUMENT, [(1, "x" * 50, 1)]), eval_item=(ITEM, [])))) == []
     assert rows(leaks.p6_report(spark, tables(documents=(DOCUMENT, []), eval_item=(ITEM, [])))) == []
+
+
+def test_tiles_are_the_longest_common_runs():
+    r = random.Random(8)
+    for trial in range(300):
+        letters = "ab" if trial % 2 else "abcd"
+        a, b = ("".join(r.choices(letters, k=r.randrange(0, 60))) for _ in "ab")
+        a, b = (x * r.choice([1, 1, 3]) for x in (a, b))
+        found = leaks.tiles(a, b, 5)
+        used_a, used_b = set(), set()
+        for i, j, n in found:
+            assert n >= 5 and a[i : i + n] == b[j : j + n] and not used_a & set(range(i, i + n)) and not used_b & set(range(j, j + n))
+            used_a |= set(range(i, i + n))
+            used_b |= set(range(j, j + n))
+        longest = max((n for n in range(5, len(a) + 1) if any(a[k : k + n] in b for k in range(len(a) - n + 1))), default=0)
+        assert max((n for _, _, n in found), default=0) == longest
+        rest_a, rest_b = "".join(c if k not in used_a else "\x00" for k, c in enumerate(a)), "".join(c if k not in used_b else "\x01" for k, c in enumerate(b))
+        assert not any(rest_a[k : k + 5] in rest_b for k in range(len(rest_a) - 4))
+
+
+def test_repetitive_texts_are_tiled_fast():
+    import time
+
+    began = time.time()
+    assert sum(n for _, _, n in leaks.tiles("a" * 20_000, "a" * 40_000)) == 20_000
+    assert sum(n for _, _, n in leaks.tiles("abc" * 5_000, "abc" * 9_000)) == 15_000
+    assert time.time() - began < 5

@@ -34,15 +34,32 @@ def test_plans_stay_small(monkeypatch):
     monkeypatch.setattr(mixing, "BLOCKS", 8)
     monkeypatch.setattr(mixing, "MOST_DRAWS", 2_000)
     assert mixing.quotas({"tiny": 8, "big": 7200}, targets) == {"big": 7200, "tiny": 7200}
-    assert mixing.folded(blocks, targets) == 2
-    assert sum(d[0] == "tiny" for d in mixing.plan(blocks, targets)) == 7200
-
-
-def test_only_the_source_of_many_passes_is_folded(monkeypatch):
-    blocks, targets = {"tiny": {b: 1 for b in range(8)}, "big": {b: 900 for b in range(8)}}, {"tiny": (0.5, 10_000), "big": (0.5, 1)}
-    monkeypatch.setattr(mixing, "BLOCKS", 8)
-    monkeypatch.setattr(mixing, "MOST_DRAWS", 2_000)
-    assert mixing.folds(blocks, targets) == {"big": 8, "tiny": 2}
+    assert mixing.folds({"tiny": 8, "big": 7200}, targets) == {"big": 8, "tiny": 2}
+    assert sum(d[0] == "tiny" for d in mixing.plan(blocks, targets)) == 7200 == mixing.plan(blocks, targets).__len__() - 8
+
+
+def test_many_sources_have_fewer_blocks(monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_DRAWS", 1_000)
+    tokens = {f"s{k}": 100 for k in range(300)}
+    counts = mixing.folds(tokens, {s: (1 / 300, 1) for s in tokens})
+    assert len(counts) == 300 and sum(counts.values()) <= 1_000 and min(counts.values()) >= 1
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_shards_beyond_the_groups(tables, spark, monkeypatch, groups):
+    """The tree's lower levels on the workers: the same documents, in all the shards, each in one."""
+    given = [(k, "wort " * (1 + k % 9), ["hot", "cold"][k % 2], 1, 2) for k in range(3000)]
+    folder = tables(documents=(DOCUMENT, given), mix_target=(TARGET, [("hot", 0.5, 1), ("cold", 0.5, 2)]))
+    whole = sorted((r["doc_id"], r["copy"]) for r in mixing.p7_mix(spark, folder).collect())
+    monkeypatch.setattr(mixing, "MOST_GROUPS", groups)
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 1_000)
+    got = mixing.p7_mix(spark, folder).collect()
+    size = {}
+    for r in got:
+        size[r["shard"]] = size.get(r["shard"], 0) + r["n_tokens"]
+    assert len({(r["shard"], r["pos"]) for r in got}) == len(got)
+    assert max(size.values()) < 3_000 and len(size) >= 0.8 * sum(size.values()) / 1_000
+    assert abs(len(got) - len(whole)) <= 10 and len({(r["doc_id"], r["copy"]) for r in got}) == len(got)
 
 
 def test_partial_block_is_filled_behind_large_documents():
