@@ -16,6 +16,8 @@ import unicodedata
 from functools import lru_cache
 from typing import NamedTuple
 
+from lodestrand.functions.language import german_odds
+
 
 class Unit(NamedTuple):
     scale: float
@@ -78,26 +80,21 @@ COMMON = {
     (CALENDAR, False): ("month", 1.0),
 }
 
-# Words by which a row is known to be German.
-GERMAN = frozenset(
-    "alle je nach unter etwa mindestens bzw oder bis ab wartung bedarf verschleiß jedem besuch laut diagnose nicht einstellbar roter deckel staubbetrieb "
-    "ausgenommen masseschluss stufe gewinde zoll meilen monat monate quartal quartale jahr jahre halbes tsd zuerst eintritt was umfang füllmenge drehmoment "
-    "bedeutung frist intervall klasse sollwert erstmalig kalt benziner nur erschwernis nachdem schmieren ausbauen spülen neu bespielen zurücksetzen prüfen anlernen "
-    "ablassen einstellen kalibrieren ersetzen vermessen auffüllen festziehen hinten vorn links rechts wartungsfrei kilometer grad liter signal unterbrochen "
-    "höchstens wechseln reinigen messen tauschen".split()
-)
-GERMAN_CAPITAL = frozenset(("Minimum", "Maximum"))
-WORD = re.compile(r"[^\W\d_]+")
-
-
-def german(*texts: str | None) -> bool:
-    """Whether a row is German, told from the words of all its texts."""
-    for text in texts:
-        for word in WORD.findall(text or ""):
-            low = word.lower()
-            if low in GERMAN or word in GERMAN_CAPITAL or "ä" in low or "ö" in low or "ü" in low or "ß" in low:
-                return True
-    return False
+#: Numbers that only one form of writing allows: groups have three digits, and no group follows a lone zero.
+COMMA_DECIMAL = re.compile(r"(?<![\d.,])\d+,(?:\d{1,2}|\d{4,})(?![\d,])|\d\.\d{3},\d|(?<![\d.,])0,\d")
+POINT_DECIMAL = re.compile(r"(?<![\d.,])\d+\.(?:\d{1,2}|\d{4,})(?![\d.])|\d,\d{3}\.\d|(?<![\d.,])0\.\d")
+HAN = re.compile("[一-鿿]")
+UNITS, MARGIN = frozenset(BASE), 0.1
+
+
+def german(value: str | None, *texts: str | None) -> bool:
+    """Whether a row writes numbers the German way: told from the form of the value's numbers where that is plain, else from the language of all its texts."""
+    row = " ".join(t for t in (value, *texts) if t)
+    if HAN.search(row):
+        return False
+    value = unicodedata.normalize("NFKC", value or "")
+    comma, point = bool(COMMA_DECIMAL.search(value)), bool(POINT_DECIMAL.search(value))
+    return comma if comma != point else german_odds(row, UNITS) > MARGIN
 
 
 DIGIT = {c: k for k, c in enumerate("零一二三四五六七八九")} | {"两": 2, "〇": 0}

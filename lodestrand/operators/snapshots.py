@@ -2,9 +2,11 @@
 
 Every delivery of a source brings all its records anew. Deliveries get one dense number g each, in
 the order (source, time, id), so that a delivery and the one before it are g and g - 1. Of every
-record only (g, key hash, row hash, row id) is moved: 32 bytes. These rows are bucketed by key
-hash and by runs of BLOCK delivery numbers, the last delivery of a run being repeated in the next,
-so neither a hot source nor a hot key nor a hot delivery lies in one bucket. A bucket is compared
+record only (g, key hash, row hash, row id) is moved: 48 bytes, hashes being of 128 bits, so that equal
+ones mean equal texts. These rows are bucketed by key hash and by runs of BLOCK delivery numbers, the
+last delivery of a run being repeated in the next; a run has as many buckets as its rows, which are
+counted, need to hold about BUCKET_ROWS each. So neither a hot source nor a hot key nor a hot delivery
+lies in one bucket. A bucket is compared
 in numpy: codes of (key, g) are sorted, and searchsorted finds for every code its neighbour one
 delivery earlier or later. Full values are fetched only for the records that differ.
 
@@ -23,22 +25,32 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import sql
 from lodestrand.functions.unicode import column, squeeze_value
+from lodestrand.operators.bounded import small
 from lodestrand.operators.ordering import numbered
 from lodestrand.session import cut, spread, table
 
 BLOCK = 4096
-KEY_BUCKETS = 16
+BUCKET_ROWS = 500_000
 KINDS = ("added", "removed", "changed")
 
 
-def differences(key: np.ndarray, g: np.ndarray, value: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, low: int, high: int) -> pd.DataFrame:
+def _dense(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Numbers 0, 1, ... that are equal where both halves of a hash are."""
+    by = np.lexsort((low, high))
+    new = np.r_[False, (high[by][1:] != high[by][:-1]) | (low[by][1:] != low[by][:-1])]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new)
+    return out
+
+
+def differences(key: np.ndarray, key_low: np.ndarray, g: np.ndarray, value: np.ndarray, value_low: np.ndarray, row: np.ndarray, first: np.ndarray, last: np.ndarray, low: int, high: int) -> pd.DataFrame:
     """The changes that deliveries low..high-1 bring, each (key, g) being there once.
 
-    `first` and `last` say whether a row's delivery is its source's first or last one.
+    Keys and values are hashes in two halves; `first` and `last` say whether a row's delivery is its source's first or last one.
     """
-    codes = np.unique(key, return_inverse=True)[1].astype(np.int64) * (high - low + 2) + (g - low + 1)
+    codes = _dense(key, key_low) * (high - low + 2) + (g - low + 1)
     by = np.argsort(codes)
-    codes, g, value, row, first, last = codes[by], g[by], value[by], row[by], first[by], last[by]
+    codes, g, value, value_low, row, first, last = (x[by] for x in (codes, g, value, value_low, row, first, last))
 
     def at(wanted: np.ndarray) -> np.ndarray:
         """Where each wanted code is, -1 if nowhere."""
@@ -50,7 +62,7 @@ def differences(key: np.ndarray, g: np.ndarray, value: np.ndarray, row: np.ndarr
     before = at(codes[now] - 1)
     added, kept = now[before < 0], before >= 0
     changed, old = now[kept], before[kept]
-    differ = value[changed] != value[old]
+    differ = (value[changed] != value[old]) | (value_low[changed] != value_low[old])
     changed, old = changed[differ], old[differ]
     gone = np.flatnonzero((g + 1 >= low) & (g + 1 < high) & ~last)
     gone = gone[at(codes[gone] + 1) < 0]
@@ -67,7 +79,7 @@ def differences(key: np.ndarray, g: np.ndarray, value: np.ndarray, row: np.ndarr
 def _bucket(block: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         low = int(pdf["run"].iloc[0]) * block
-        return differences(*(pdf[c].to_numpy() for c in ("key", "g", "value", "row", "first", "last")), low, low + block)
+        return differences(*(pdf[c].to_numpy() for c in ("key", "key_low", "g", "value", "value_low", "row", "first", "last")), low, low + block)
 
     return run
 
@@ -78,9 +90,11 @@ def changes(deliveries: DataFrame, records: DataFrame) -> DataFrame:
     deliveries: id, source, time. records: row, version_id, key, value (strings).
     """
     records = records.where("version_id IS NOT NULL AND key IS NOT NULL AND row IS NOT NULL")
-    value = F.xxhash64(column(squeeze_value, "string", F.col("value")))
-    compact = spread(records).select("version_id", F.xxhash64("key").alias("key"), F.struct("row", value.alias("value")).alias("last"))
-    compact = cut(compact.groupBy("version_id", "key").agg(F.max("last").alias("r")).select("version_id", "key", "r.row", "r.value"))
+    plain = spread(records).select("version_id", "key", "row", column(squeeze_value, "string", F.col("value")).alias("value"))
+    # the second half of a hash is that of the text behind another one, and so has another seed
+    both = lambda c, n: (F.xxhash64(c).alias(n), F.xxhash64(F.lit("low"), c).alias(f"{n}_low"))
+    compact = plain.select("version_id", *both("key", "key"), "row", *both("value", "value")).select("version_id", "key", "key_low", F.struct("row", "value", "value_low").alias("last"))
+    compact = cut(compact.groupBy("version_id", "key", "key_low").agg(F.max("last").alias("r")).select("version_id", "key", "key_low", "r.row", "r.value", "r.value_low"))
     full = compact.select("version_id").distinct()
     once = deliveries.where("id IS NOT NULL AND source IS NOT NULL").groupBy("id").agg(F.min("source").alias("source"), F.min("time").alias("time"))
     ordered = numbered(once.join(full, once["id"] == full["version_id"], "left_semi"), ["source", F.col("time").asc_nulls_first(), "id"], "g")
@@ -90,11 +104,12 @@ def changes(deliveries: DataFrame, records: DataFrame) -> DataFrame:
     same = lambda c: F.coalesce(F.col("source") == F.col(c), F.lit(False))
     ordered = ordered.join(before, "g", "left").join(after, "g", "left").select("id", "g", (~same("source_before")).alias("first"), (~same("source_after")).alias("last"))
     ordered = cut(ordered)
-    placed = compact.join(ordered, compact["version_id"] == ordered["id"]).select("g", "key", "value", "row", "first", "last")
+    placed = compact.join(ordered, compact["version_id"] == ordered["id"]).select("g", "key", "key_low", "value", "value_low", "row", "first", "last")
     run = F.floor(F.col("g") / BLOCK)
     carried = (F.col("g") % BLOCK == BLOCK - 1) & ~F.col("last")
     placed = placed.withColumn("run", F.explode(F.when(carried, F.array(run, run + 1)).otherwise(F.array(run))))
-    placed = placed.withColumn("bucket", F.pmod("key", F.lit(KEY_BUCKETS)))
+    sizes = small(placed.groupBy("run").agg(F.ceil(F.count("*") / BUCKET_ROWS).alias("buckets")))
+    placed = placed.join(sizes, "run").withColumn("bucket", F.pmod("key", F.col("buckets")))
     found = placed.groupBy("run", "bucket").applyInPandas(_bucket(BLOCK), "g long, kind int, old_row long, new_row long")
     found = cut(found.join(ordered.select("g", F.col("id").alias("version_id")), "g").drop("g"))
     wanted = found.select(F.col("old_row").alias("row")).unionAll(found.select(F.col("new_row").alias("row"))).where("row >= 0").distinct()

@@ -9,7 +9,7 @@ def test_rows_whose_amount_is_wrong(tables, spark):
     folder = tables(
         claim=(CLAIM, [
             (1, "2.1 bar", "210kpa", "limit", None, None, None, True, "x"), (2, "2.1 bar", "2bar", None, None, None, None, None, None), (3, "2,5 bar", "250kpa", "Sollwert", None, None, "[", None, None),
-            (4, "2,5 bar", "250kpa", "nominal", None, None, None, None, None), (5, "5W-40", None, None, None, None, None, None, None), (6, None, "3l", None, None, None, None, None, None), (7, "3 L", None, None, None, None, None, None, None),
+            (4, "1,200 Nm", "1.2nm", "nominal torque", None, None, None, None, None), (5, "5W-40", None, None, None, None, None, None, None), (6, None, "3l", None, None, None, None, None, None), (7, "3 L", None, None, None, None, None, None, None),
             (7, "3 L", None, None, None, None, None, None, None), (8, "", "", None, None, None, None, None, None), (9, "3 L " * 50_000, "3l", None, None, None, None, None, None),
         ]),
         maintenance=(MAINTENANCE, [

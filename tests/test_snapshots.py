@@ -68,9 +68,9 @@ def test_differences_of_blocks(seed):
     key, g = np.array(pairs).T
     value, row = r.integers(0, 3, len(key)), np.arange(len(key))
     first, last = g == 0, g == 11
-    whole = snapshots.differences(key, g, value, row, first, last, 0, 12)
+    whole = snapshots.differences(key // 2, key % 2, g, value % 2, value // 2, row, first, last, 0, 12)
     parts = []
     for low in range(0, 12, 4):
         own = (g >= low - 1) & (g < low + 4)
-        parts += snapshots.differences(key[own], g[own], value[own], row[own], first[own], last[own], low, low + 4).itertuples(index=False)
+        parts += snapshots.differences(key[own] // 2, key[own] % 2, g[own], value[own] % 2, value[own] // 2, row[own], first[own], last[own], low, low + 4).itertuples(index=False)
     assert sorted(map(tuple, parts)) == sorted(map(tuple, whole.itertuples(index=False)))

@@ -1,5 +1,6 @@
 import pytest
 
+from lodestrand.functions import units
 from lodestrand.functions.units import amounts, chinese_number, german, near, same_amounts, stored, unit
 
 
@@ -70,3 +71,14 @@ def test_stored_fields():
 
 def test_chinese_numbers():
     assert [chinese_number(x) for x in ("两", "十二", "三百", "一万五千", "万")] == [2, 12, 300, 15000, 10000]
+
+
+@pytest.mark.parametrize("text, expected", [("Luftdruck 2,5 bar", (250.0, "kpa")), ("Anzugsmoment 1.200 Nm", (1200.0, "nm")), ("0,5 bar", (50.0, "kpa")), ("tightening torque 1,200 Nm", (1200.0, "nm")), ("pressure 2.5 bar", (250.0, "kpa")), ("Ölfüllmenge 4,75 l", (4.75, "l")), ("Reichweite etwa 1.500 km", (1500.0, "km")), ("range about 1.500 km", (1.5, "km")), ("5,000 miles", (8046.72, "km")), ("28,000 mi", (45061.632, "km"))])
+def test_number_forms(text, expected):
+    found = units.amounts(text, units.german(text))
+    assert len(found) == 1 and found[0][1] == expected[1] and found[0][0] == pytest.approx(expected[0])
+
+
+def test_languages():
+    given = {"Wir fahren morgen früh in die Stadt": True, "we drive to the city early tomorrow": False, "die Bremsscheibe ersetzen": True, "replace the brake disc": False, "Schmierstoff": True, "lubricant": False}
+    assert {t: units.german(t) for t in given} == given
