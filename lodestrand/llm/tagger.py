@@ -80,13 +80,13 @@ class Tagger:
         table, u = self.tables[d], self.tables[f"{d}U"]
         n = u.shape[0]
         h_all, c_all, s_all = (np.zeros((x.shape[1], n), np.float32) for _ in "hcs")
-        z_all = np.empty((x.shape[1], 4 * n), np.float32)
+        z_all, e_all = (np.empty((x.shape[1], 4 * n), np.float32) for _ in "ze")
         out = np.zeros((len(x), x.shape[1], n), np.float32)
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             k = active[t]
             h, c, s, z = h_all[:k], c_all[:k], s_all[:k], z_all[:k]
             np.matmul(h, u, out=z)
-            z += table[x[t, :k]]
+            z += np.take(table, x[t, :k], axis=0, out=e_all[:k], mode="clip")
             np.tanh(z, out=z)
             z[:, : 3 * n] += 1
             np.multiply(z[:, :n], z[:, 3 * n :], out=s)
@@ -106,7 +106,10 @@ class Tagger:
         for start in range(0, len(ids), BATCH):
             own = ids[start : start + BATCH]
             x, active = self._packed([texts[k] for k in own])
-            s = np.concatenate([self._states(d, x, active) for d in "fb"], 2) @ self.w["O"] + self.w["Ob"]
+            n = self.w["fU"].shape[0]
+            s = self._states("f", x, active) @ self.w["O"][:n]
+            s += self._states("b", x, active) @ self.w["O"][n:]
+            s += self.w["Ob"]
             best = self._best(s, active)
             for k in np.flatnonzero(best.any(axis=0)):
                 out[own[k]] = _spans(best[: len(texts[own[k]]), k])

@@ -43,6 +43,11 @@ def test_shapes_keep_places():
     assert pii.windows(300, 128) == [(0, 128), (80, 208), (160, 288), (240, 300)] and pii.windows(1000) == [(0, 512), (464, 976), (928, 1000)]
 
 
+def test_shapes_of_many_texts():
+    given = ["", "Ａ１２，Über 12.5 km AB-1234 （x）　", "PV-99 und 😀 3D", "字\r\n"]
+    assert pii.shapes(given) == [pii.shape(t) for t in given] and pii.shapes([]) == []
+
+
 def test_reconcile():
     assert pii.reconcile([(0, 5, "name"), (3, 8, "name"), (7, 9, "phone"), (20, 22, "phone")]) == [(0, 8, "name"), (20, 22, "phone")]
 
