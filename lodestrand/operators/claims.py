@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
 from lodestrand.functions.unicode import column
+from lodestrand.operators.ordering import numbered
 
 # Types whose changes weigh heavily, and the order of severities.
 GRAVE = ("interval", "threshold", "policy")
@@ -141,3 +142,32 @@ def severities(changes: DataFrame) -> DataFrame:
     """doc_source, changes by severity, in one row per document."""
     n = lambda s: F.count_if(F.col("severity") == s).alias(s)
     return changes.groupBy("doc_source").agg(*map(n, SEVERITIES))
+
+
+CLAIM = "claim_key string, doc_source string, section string, claim_type string, subject string, predicate string, value string, value_normalized string, qualifiers string, evidence string, chunk_id string"
+
+
+def extract(chunks: DataFrame, known: DataFrame, before: DataFrame, extractor) -> tuple[DataFrame, DataFrame]:
+    """The claims of a new version of documents, and its chunk hashes.
+
+    chunks: chunk_id, doc_source, section, text. known: chunk_id, content_hash of the version before;
+    before: its claims (CLAIM). Claims of chunks whose text is unchanged are taken over; only other
+    chunks go to the `extractor`, which gives chunk_id, claim_type, subject, predicate, value,
+    qualifiers, evidence of what it finds. What has no evidence in its chunk is dropped, and values get
+    their normal forms. Of several claims of one key the first by chunk stays.
+    """
+    plan = reuse_plan(chunks.select("chunk_id", "text"), known)
+    fresh = chunks.join(plan.where("NOT reusable").select("chunk_id"), "chunk_id", "left_semi")
+    found = accepted(extractor(fresh), fresh.select("chunk_id", "text")).join(fresh.select("chunk_id", "doc_source", "section"), "chunk_id")
+    named = found.withColumn("claim_key", claim_key(*map(F.col, ("doc_source", "claim_type", "subject", "predicate")))).withColumn("value_normalized", normalize_value(F.col("value")))
+    columns = [c.split()[0] for c in CLAIM.split(", ")]
+    kept = before.join(plan.where("reusable").select("chunk_id"), "chunk_id", "left_semi")
+    both = kept.select(*columns).unionByName(named.select(*columns))
+    first = both.groupBy("doc_source", "claim_key").agg(F.min_by(F.struct(*columns), F.struct("chunk_id", "value")).alias("c")).select("c.*")
+    return first, plan.select("chunk_id", "content_hash")
+
+
+def next_version(versions: DataFrame, doc_source: DataFrame) -> DataFrame:
+    """doc_source, id of the versions to come: ids go on behind the highest there is, in the order of sources."""
+    last = versions.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("last"))
+    return numbered(doc_source.select("doc_source").distinct(), ["doc_source"], "_n").crossJoin(F.broadcast(last)).select("doc_source", (F.col("last") + 1 + F.col("_n")).alias("id"))

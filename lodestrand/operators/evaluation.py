@@ -37,6 +37,18 @@ def recall_at(hits: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     return both.groupBy("query_id").agg(F.count("*").alias("expected"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
 
 
+def label_recall(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """query_id, expected, found, recall where all others of a query's label are expected; they are counted, not paired.
+
+    hits: query_id, id. labels: vec_id, label. Queries whose label has no other row are left out.
+    """
+    a, b = (labels.select(F.col("vec_id").alias(k), F.col("label").alias(f"{k}_label")) for k in ("query_id", "id"))
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("expected")).where("expected > 0")
+    same = F.coalesce(F.col("query_id_label") == F.col("id_label"), F.lit(False))
+    found = hits.join(a, "query_id").join(b, "id").groupBy("query_id", "query_id_label").agg(F.count_if(same).alias("found"))
+    return found.join(sizes, found["query_id_label"] == sizes["label"]).select("query_id", "expected", "found", F.round(F.col("found") / F.col("expected"), 4).alias("recall"))
+
+
 def token_f1(rows: DataFrame, key: str, reference: str, hypothesis: str) -> DataFrame:
     """key, f1 of the multisets of tokens of two texts, commas in numbers not counting; null if one has none."""
     side = lambda c, n: rows.select(key, F.explode(X.tokens(M.number_form(F.col(c)))).alias("token")).groupBy(key, "token").agg(F.count("*").alias(n))

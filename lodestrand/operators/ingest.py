@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.session import cut
+
 
 def plan(delivered: DataFrame, registry: DataFrame, rebuild: bool = False, only: list[str] | None = None) -> DataFrame:
     """source, status of every source: indexed (new or changed), skipped, failed (empty), deleted.
@@ -30,3 +32,25 @@ def apply(registry: DataFrame, delivered: DataFrame, planned: DataFrame) -> Data
     new = delivered.join(planned.where("status = 'indexed'").select("source"), "source", "left_semi")
     gone = planned.where("status IN ('indexed', 'deleted')").select("source")
     return registry.join(gone, "source", "left_anti").unionByName(new.select(*registry.columns))
+
+
+LAST_RUN = "finished timestamp, indexed long, skipped long, failed long, deleted long, rebuild boolean, version long"
+
+
+def run(registry, runs, delivered: DataFrame, rebuild: bool = False, only: list[str] | None = None) -> dict[str, int]:
+    """One ingest against a registry table: plans, takes in new and changed sources, takes deleted ones out; gives the counters.
+
+    registry: a store.Table by source (source, checksum, n_chars, ...). runs: a store.Table of LAST_RUN, to
+    which the run is added. A run that changes nothing writes nothing to the registry, so its version,
+    which tells caches whether the index is another one, rises only with a change.
+    """
+    planned = cut(plan(delivered, registry.read(), rebuild, only))
+    n = {r["status"]: r["n"] for r in planned.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    if n.get("indexed"):
+        registry.upsert(delivered.join(planned.where("status = 'indexed'").select("source"), "source", "left_semi"), ["source"])
+    if n.get("deleted"):
+        registry.delete(planned.where("status = 'deleted'").select("source"), ["source"])
+    out = {k: int(n.get(k, 0)) for k in ("indexed", "skipped", "failed", "deleted")} | {"version": registry.version()}
+    spark = delivered.sparkSession
+    runs.append(spark.range(1).select(F.current_timestamp().alias("finished"), *(F.lit(out[k]).cast("long").alias(k) for k in ("indexed", "skipped", "failed", "deleted")), F.lit(rebuild).alias("rebuild"), F.lit(out["version"]).cast("long").alias("version")))
+    return out

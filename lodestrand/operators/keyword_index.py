@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
 from lodestrand.operators.bounded import small
 from lodestrand.session import cut, spread
+from lodestrand.sources.store import Table
 
 # Fixed values of the ranking function.
 K1, B, FLOOR, PHRASE, SINGLE = 1.5, 0.75, 0.15, 1.3, 0.3
@@ -147,18 +148,61 @@ def search(documents: DataFrame, queries: DataFrame, k: int, id_column: str = "d
     return ranked.withColumn("best", best).where(F.col("score") >= FLOOR * F.col("best")).drop("best")
 
 
-def search_postings(stored: DataFrame, frequency: DataFrame, queries: DataFrame, k: int, query_id: str = "item_id", query_text: str = "text") -> DataFrame:
-    """query_id, id, score, rank from a stored index: `postings` and `frequencies` as written once, without phrases.
+def search_postings(stored: DataFrame, frequency: DataFrame, queries: DataFrame, k: int, query_id: str = "item_id", query_text: str = "text", average: float | None = None) -> DataFrame:
+    """query_id, id, score, rank from postings and frequencies of at least the queries' tokens, without phrases.
 
-    Only the postings of the queries' terms are read; they meet the queries in a join, so this is
-    for few or short queries against a large stored index, `search` for many at once.
+    The postings meet the queries in a join, so this is for few or short queries against a large
+    stored index, `search` for many at once. `average` is the mean length of the documents, else
+    taken from the postings, which then must be all there are.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(X.tokens(F.col(query_text))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
     weight = F.when((F.length("token") == 1) & F.col("token").rlike(X.HAN), F.lit(SINGLE)).otherwise(F.lit(1.0))
     asked = small(asked.join(frequency.select("token", "idf"), "token").select("query_id", "token", (F.col("times") * F.col("idf") * weight).alias("w")))
-    average = stored.select("id", "length").distinct().agg(F.avg("length").alias("average"))
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    scored = stored.join(asked, "token").join(F.broadcast(average)).groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    if average is None:
+        average = stored.select("id", "length").distinct().agg(F.avg("length")).first()[0] or 1.0
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
+    scored = stored.join(asked, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     w = Window.partitionBy("query_id")
     ranked = scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.withColumn("best", F.max("score").over(w)).where(F.col("score") >= FLOOR * F.col("best")).drop("best")
+
+
+class StoredIndex:
+    """An index on disk: postings in buckets by token, and each document's length and tokens in buckets by id.
+
+    An update replaces the postings of its documents and touches only the buckets of their old and new
+    tokens; a search reads only the buckets of the queries' tokens and the documents' lengths.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, id_type: str = "string", buckets: int = 256):
+        self.postings = Table(spark, f"{folder}/postings", f"token string, id {id_type}, tf long, length int", ["token"], buckets)
+        self.documents = Table(spark, f"{folder}/documents", f"id {id_type}, length int, tokens array<string>", ["id"], buckets)
+
+    def update(self, rows: DataFrame, id_column: str, index_text) -> None:
+        """Puts documents in, in place of those of the same ids; documents without a token go."""
+        given = rows.select(F.col(id_column).alias("id"), X.tokens(index_text).alias("all")).where("id IS NOT NULL")
+        given = cut(given.groupBy("id").agg(F.max("all").alias("all")))
+        self._drop(given.select("id"))
+        new = given.where(F.size("all") > 0)
+        counts = new.select("id", F.size("all").alias("length"), F.explode("all").alias("token")).groupBy("token", "id", "length").agg(F.count("*").alias("tf"))
+        self.postings.append(counts)
+        self.documents.upsert(new.select("id", F.size("all").alias("length"), F.array_distinct("all").alias("tokens")), ["id"])
+
+    def remove(self, ids: DataFrame) -> int:
+        """Takes documents (id) out; gives how many they were."""
+        gone = cut(ids.select("id").distinct())
+        self._drop(gone)
+        return self.documents.delete(gone, ["id"])
+
+    def _drop(self, ids: DataFrame) -> None:
+        known = self.documents.read(self.documents.buckets_of(ids, ["id"])).join(ids, "id", "left_semi")
+        self.postings.delete(known.select("id", F.explode("tokens").alias("token")), ["token", "id"])
+
+    def search(self, queries: DataFrame, k: int, query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+        """query_id, id, score, rank of the best documents of each query, without phrases."""
+        wanted = small(cut(queries.select(F.explode(X.tokens(F.col(query_text))).alias("token")).distinct()))
+        own = self.postings.read(self.postings.buckets_of(wanted, ["token"])).join(wanted, "token")
+        n, average = self.documents.read().agg(F.count("*"), F.avg("length")).first()
+        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        frequency = own.groupBy("token").agg(F.count("*").alias("df")).select("token", "df", idf.alias("idf"))
+        return search_postings(own, frequency, queries, k, query_id, query_text, average or 1.0)

@@ -12,6 +12,7 @@ from lodestrand.functions import metrics as M
 from lodestrand.functions import sql as S
 from lodestrand.functions import text as X
 from lodestrand.operators import answering, attribution, audit, chunking, claims, evaluation, ingest, keyword_index, plugins, retrieval, serving, tables
+from lodestrand.operators.bounded import small
 from lodestrand.session import shared_folder, table
 from lodestrand.streaming import windows
 
@@ -181,7 +182,7 @@ def hybrid_fusion(spark: SparkSession, folder: str) -> DataFrame:
     """Cosine hits fused with the nearest ids of the same label."""
     rows = table(spark, folder, "embeddings").select("vec_id", "label")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    pairs = rows.join(F.broadcast(asked), "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"), (1 / (1.0 + F.abs(F.col("query_id") - F.col("vec_id")))).alias("score"))
+    pairs = rows.join(small(asked), "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"), (1 / (1.0 + F.abs(F.col("query_id") - F.col("vec_id")))).alias("score"))
     w = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     near = pairs.withColumn("rank", w).where("rank <= 20")
     found = retrieval.fuse(_hits(spark, folder, 20), near)
@@ -346,9 +347,7 @@ def rank_metrics(spark: SparkSession, folder: str) -> DataFrame:
 )
 def recall_at_k(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "embeddings").select("vec_id", "label")
-    asked = labels.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    expected = labels.join(F.broadcast(asked), "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("id"))
-    return evaluation.recall_at(_hits(spark, folder, 10), expected, 10)
+    return evaluation.label_recall(_hits(spark, folder, 10), labels)
 
 
 @query(
@@ -688,6 +687,18 @@ def request_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return serving.request_metrics(table(spark, folder, "events"))
 
 
+_CACHE = "CASE WHEN event_type = 'signup' THEN 's' ELSE '' END"
+
+
+@query(f"SELECT event_id, {_CACHE} = '' AND NOT event_type = 'error' AS cacheable, 'v' || (event_id // 5000) || '|' || CASE WHEN event_type = 'view' THEN 'hybrid' ELSE 'auto' END || '|k5|' || user_id AS key FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL")
+def cache_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as questions: signups belong to a session, errors are debugging, the index version rises every 5,000."""
+    rows = table(spark, folder, "events").where("event_type IS NOT NULL AND user_id IS NOT NULL")
+    session, mode = F.when(F.col("event_type") == "signup", "s"), F.when(F.col("event_type") == "view", "hybrid")
+    key = answering.cache_key(F.floor(F.col("event_id") / 5000), mode, F.lit(5), F.concat(F.lit(" "), F.col("user_id").cast("string")))
+    return rows.select("event_id", answering.cacheable(session, F.col("event_type") == "error").alias("cacheable"), key.alias("key"))
+
+
 @query("SELECT count(*) AS n, min(ts) AS since, max(ts) AS until, round(count(*) FILTER (event_type = 'view') / count(*)::DOUBLE, 4) AS cache_hit_rate, round(count(*) FILTER (event_type = 'signup') / count(*)::DOUBLE, 4) AS refusal_rate, round(count(*) FILTER (event_type = 'error') / count(*)::DOUBLE, 4) AS error_rate, "
        "sum(user_id)::BIGINT AS prompt_tokens, count(*) FILTER (event_type = 'click') * 7 AS completion_tokens, (sum(user_id) + count(*) FILTER (event_type = 'click') * 7)::BIGINT AS total_tokens, count(*) FILTER (user_id > 0 OR event_type = 'click') AS n_with_usage, round(sum(user_id) / 1e6 * 2 + count(*) FILTER (event_type = 'click') * 7 / 1e6 * 8, 4) AS cost FROM events")
 def request_rates(spark: SparkSession, folder: str) -> DataFrame:
@@ -796,7 +807,7 @@ def session_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def _scratch(spark: SparkSession) -> str:
     """A new folder within the shared one."""
-    return os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
+    return os.path.join(shared_folder(spark), f"scratch-{uuid.uuid4().hex}")
 
 
 def _streamed(spark: SparkSession, folder: str, shape) -> DataFrame:
@@ -844,10 +855,10 @@ z AS (SELECT *, row_number() OVER (PARTITION BY car_model ORDER BY score DESC, d
 SELECT car_model, doc_id, score, rank FROM z WHERE rank <= 5 AND score >= 0.15::DOUBLE * best"""
 )
 def index_search(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents that speak most of each vehicle's name, by a stored index."""
-    documents = table(spark, folder, "documents")
-    stored, frequency = (f(documents, "doc_id", F.col("text")) for f in (keyword_index.postings, keyword_index.frequencies))
-    found = keyword_index.search_postings(stored, frequency, table(spark, folder, "vehicle_model"), 5, "car_model", "display_name")
+    """The documents that speak most of each vehicle's name, from an index written to the shared folder and read again."""
+    index = keyword_index.StoredIndex(spark, _scratch(spark), "long", 16)
+    index.update(table(spark, folder, "documents"), "doc_id", F.col("text"))
+    found = index.search(table(spark, folder, "vehicle_model"), 5, "car_model", "display_name")
     return found.select(F.col("query_id").alias("car_model"), F.col("id").alias("doc_id"), "score", F.col("rank").cast("long").alias("rank"))
 
 

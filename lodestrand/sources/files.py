@@ -88,12 +88,14 @@ def evaluation_set(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.col("name").alias("dataset"), "version", F.explode("items").alias("i")).select("dataset", "version", "i.*")
 
 
+REGISTRY = "source string, doc_id string, checksum string, chunks int, title string"
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """source, checksum of a registry table; empty if there is none yet or it can't be read."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:
-        return spark.createDataFrame([], "source string, doc_id string, checksum string, chunks int, title string")
+    """source, doc_id, checksum, chunks, title of a registry table; empty only if there is none yet: what can't be read is an error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(REGISTRY).parquet(path) if there else spark.createDataFrame([], REGISTRY)
 
 
 def reports(spark: SparkSession, folder: str) -> DataFrame:

@@ -184,3 +184,33 @@ def test_audits(spark):
 def test_signals(spark, weights):
     df = spark.createDataFrame([(True, 1.0, 0.0), (False, 0.0, 0.0), (False, 0.5, 1.0)], "flag boolean, x double, y double")
     assert rows(evaluation.signal_discrimination(df, "flag", weights)) == [("x", 1.0, 0.25, 0.75, 0.5), ("y", 0.0, 0.5, -0.5, 0.0)]
+
+
+def test_ingest_runs(spark, tmp_path):
+    from lodestrand.sources.store import Table
+
+    registry, runs = Table(spark, str(tmp_path / "r"), "source string, checksum string, n_chars int", ["source"], 4), Table(spark, str(tmp_path / "runs"), ingest.LAST_RUN, ["version"], 2)
+    given = lambda *x: spark.createDataFrame(list(x), "source string, checksum string, n_chars int")
+    assert ingest.run(registry, runs, given(("a", "1", 3), ("b", "1", 3), ("c", None, 0))) == {"indexed": 2, "skipped": 0, "failed": 1, "deleted": 0, "version": 1}
+    assert ingest.run(registry, runs, given(("a", "1", 3), ("b", "1", 3)))["version"] == 1
+    assert ingest.run(registry, runs, given(("a", "2", 3)))["deleted"] == 1 and rows(registry.read()) == [("a", "2", 3)]
+    assert runs.read().count() == 3
+
+
+def test_extraction_of_a_version(spark):
+    chunks = spark.createDataFrame([("c1", "d", "s", "机油每 8,000 km 更换"), ("c2", "d", "s", "轮胎 230 kPa"), ("c3", "d", "s", "新段落每 2 年")], "chunk_id string, doc_source string, section string, text string")
+    from lodestrand.functions import text as X
+
+    known = chunks.where("chunk_id = 'c2'").select("chunk_id", X.content_hash(F.col("text")).alias("content_hash"))
+    old = spark.createDataFrame([("ck_old", "d", "s", "spec", "轮胎", "气压", "230 kPa", None, "[]", "轮胎", "c2"), ("ck_gone", "d", "s", "spec", "x", "y", "z", None, "[]", "x", "c1")], claims.CLAIM)
+    seen = []
+
+    def extractor(fresh):
+        seen.extend(r["chunk_id"] for r in fresh.collect())
+        return fresh.select("chunk_id", F.lit("interval").alias("claim_type"), F.lit("油").alias("subject"), F.col("chunk_id").alias("predicate"), F.col("text").alias("value"), F.lit("[]").alias("qualifiers"), F.when(F.col("chunk_id") == "c3", "不在文中").otherwise(F.col("text")).alias("evidence"))
+
+    found, hashes = claims.extract(chunks, known, old, extractor)
+    got = {r["chunk_id"]: (r["claim_key"], r["value_normalized"]) for r in found.collect()}
+    assert sorted(set(seen)) == ["c1", "c3"] and set(got) == {"c1", "c2"} and got["c1"][1] == "8000km" and got["c2"][0] == "ck_old" and hashes.count() == 3
+    versions = spark.createDataFrame([(7, "d")], "id long, doc_source string")
+    assert rows(claims.next_version(versions, spark.createDataFrame([("b",), ("a",), ("a",)], "doc_source string"))) == [("a", 8), ("b", 9)]

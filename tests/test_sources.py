@@ -93,3 +93,55 @@ def test_clusters_need_a_shared_folder(spark):
     with pytest.raises(RuntimeError):
         session.shared_folder(cluster)
     assert session.shared_folder(spark)
+
+
+def test_writes_touch_their_buckets_only(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"), "k int, v string", ["k"], 8)
+    rows_of = lambda *x: spark.createDataFrame(list(x), "k int, v string")
+    t.write(rows_of(*((k, "a") for k in range(40))))
+    before = t.parts()
+    t.upsert(rows_of((3, "new")), ["k"])
+    after = t.parts()
+    changed = {b for b in before if before[b] != after.get(b)}
+    assert len(changed) == 1 and len(before) > 4 and dict(rows(t.read()))[3] == "new" and t.read().count() == 40
+    t.append(rows_of((100, "x")))
+    assert sum(len(p) for p in t.parts().values()) == len(after) + 1
+    assert t.delete(rows_of((3, "")), ["k"]) == 1 and t.delete(rows_of((999, "")), ["k"]) == 0
+    whole = rows(t.read())
+    assert t.vacuum(1) >= 1 and rows(t.read()) == whole
+
+
+def test_second_writers_fail(spark, tmp_path):
+    one, two = (Table(spark, str(tmp_path / "t"), "k int") for _ in "ab")
+    one.write(spark.createDataFrame([(1,)], "k int"))
+    base = two._start()
+    one.append(spark.createDataFrame([(2,)], "k int"))
+    (tmp_path / "t" / f"lock-{one.version() + 1}").touch()
+    with pytest.raises(RuntimeError):
+        two.append(spark.createDataFrame([(3,)], "k int"))
+    (tmp_path / "t" / f"lock-{one.version() + 1}").unlink()
+    with pytest.raises(RuntimeError):  # what was read before the other's write mustn't replace it
+        two._commit(two.read(), None, base)
+    assert base == 1 and rows(two.read()) == [(1,), (2,)]
+
+
+def test_registry_faults_are_not_an_empty_registry(spark, tmp_path):
+    assert rows(files.registry(spark, str(tmp_path / "none"))) == []
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        files.registry(spark, str(tmp_path / "bad")).collect()
+
+
+def test_stored_index_follows_updates(spark, tmp_path):
+    from lodestrand.operators.keyword_index import StoredIndex
+
+    index = StoredIndex(spark, str(tmp_path / "i"), "long", 8)
+    asked = spark.createDataFrame([("q", "brake oil")], "item_id string, text string")
+    put = lambda *x: index.update(spark.createDataFrame(list(x), "id long, text string"), "id", F.col("text"))
+    put((1, "brake pads"), (2, "engine oil and more oil"), (3, "nothing here"), (4, ""), (5, None))
+    assert {r["id"] for r in index.search(asked, 5).collect()} == {1, 2}
+    put((2, "tyres"), (3, "brake oil"))
+    assert [r["id"] for r in index.search(asked, 5).orderBy("rank").collect()][0] == 3 and 2 not in {r["id"] for r in index.search(asked, 5).collect()}
+    assert index.remove(spark.createDataFrame([(3,), (9,)], "id long")) == 1
+    assert [r["id"] for r in index.search(asked, 5).collect()] == [1]
