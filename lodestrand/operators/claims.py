@@ -169,5 +169,5 @@ def extract(chunks: DataFrame, known: DataFrame, before: DataFrame, extractor) -
 
 def next_version(versions: DataFrame, doc_source: DataFrame) -> DataFrame:
     """doc_source, id of the versions to come: ids go on behind the highest there is, in the order of sources."""
-    last = versions.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long").alias("last"))
-    return numbered(doc_source.select("doc_source").distinct(), ["doc_source"], "_n").crossJoin(F.broadcast(last)).select("doc_source", (F.col("last") + 1 + F.col("_n")).alias("id"))
+    last = versions.agg(F.max("id")).first()[0] or 0
+    return numbered(doc_source.select("doc_source").distinct(), ["doc_source"], "_n").select("doc_source", (F.col("_n") + last + 1).alias("id"))
