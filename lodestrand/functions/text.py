@@ -62,11 +62,13 @@ def _letters(run: Column, width: int) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Han characters and their bigrams by run, then words of a-z and 0-9 without single letters; repeats stay."""
+    """Han characters, their bigrams by run, then words of a-z and 0-9 without single letters; repeats stay.
+
+    Each kind is one regular expression, bigrams a look-ahead that matches at every place.
+    """
     low = F.lower(c)
-    runs = F.regexp_extract_all(low, F.lit(f"{HAN}+"), F.lit(0))
-    words = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) > 1) | w.rlike("[0-9]"))
-    return F.concat(F.flatten(F.transform(runs, lambda r: F.concat(_letters(r, 1), _letters(r, 2)))), words)
+    found = lambda pattern, group: F.regexp_extract_all(low, F.lit(pattern), F.lit(group))
+    return F.concat(found(HAN, 0), found(f"(?=({HAN}{{2}}))", 1), found("[a-z0-9]{2,}|[0-9]", 0))
 
 
 def snippet(c: Column, most: int = 160) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions import text as X
-from lodestrand.operators.bounded import small
+from lodestrand.operators.bounded import MOST_ROWS, small
 from lodestrand.session import cut, spread
 from lodestrand.sources.store import Table
 
@@ -105,6 +105,40 @@ def _score(shared, k: int):
     return run
 
 
+def _counted(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, place = shared.value
+        df, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for pdf in batches:
+            for own in map(terms, pdf["index_text"]):
+                if own:
+                    at = [k for t in {"", *own} if (k := place.get(t)) is not None]
+                    df[at] += 1
+                    size[at] += len(own)
+        if len(at := np.flatnonzero(df)):
+            yield pd.DataFrame({"token": np.array([words[k] for k in at], object), "df": df[at], "size": size[at]})
+
+    return run
+
+
+def _term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """token, df, size (tokens of the documents that have it) of the wanted tokens and, as the token '', of all.
+
+    Up to MOST_ROWS tokens are sent to the workers, which count them in one pass and give one row per
+    token and partition; more meet the documents' tokens in a shuffled join. The counts are the same.
+    """
+    few = wanted.limit(MOST_ROWS + 1).collect()
+    if len(few) <= MOST_ROWS:
+        words = ["", *sorted(r["token"] for r in few)]
+        shared = docs.sparkSession.sparkContext.broadcast((words, {w: k for k, w in enumerate(words)}))
+        each = docs.select("index_text").mapInPandas(_counted(shared), "token string, df long, size long")
+        return each.groupBy("token").agg(F.sum("df").alias("df"), F.sum("size").alias("size"))
+    tokens = docs.select(X.tokens(F.col("index_text")).alias("tokens")).where(F.size("tokens") > 0)
+    each = tokens.select(F.size("tokens").alias("size"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("token"))
+    both = wanted.unionByName(docs.sparkSession.createDataFrame([("",)], "token string"))
+    return each.join(both, "token").groupBy("token").agg(F.count("*").alias("df"), F.sum("size").alias("size"))
+
+
 def search(documents: DataFrame, queries: DataFrame, k: int, id_column: str = "doc_id", text_column: str = "text", context: tuple = (), query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """query_id, id, score, rank of the best documents of each query."""
     spark = documents.sparkSession
@@ -114,11 +148,8 @@ def search(documents: DataFrame, queries: DataFrame, k: int, id_column: str = "d
     asked = queries.select(F.col(query_id).alias("q"), F.col(query_text).alias("t"), X.phrases(F.col(query_text)).alias("p")).where("q IS NOT NULL AND t IS NOT NULL")
     kinds = dict(docs.dtypes)["id"], dict(asked.dtypes)["q"]
     schema = f"query_id {kinds[1]}, id {kinds[0]}, score double"
-    # One pass counts the documents of each query term and, as the term '', all documents and their tokens.
-    wanted = small(asked.select(F.explode(X.tokens(F.col("t"))).alias("token")).unionByName(spark.createDataFrame([("",)], "token string")).distinct())
-    tokens = docs.select(X.tokens(F.col("index_text")).alias("tokens")).where(F.size("tokens") > 0)
-    each = tokens.select(F.size("tokens").alias("size"), F.explode(F.array_append(F.array_distinct("tokens"), F.lit(""))).alias("token"))
-    counts = cut(each.join(wanted, "token").groupBy("token").agg(F.count("*").alias("df"), F.sum("size").alias("size")))
+    wanted = cut(asked.select(F.explode(X.tokens(F.col("t"))).alias("token")).distinct())
+    counts = cut(_term_counts(docs, wanted))
     n, total = counts.where("token = ''").select("df", "size").first() or (0, 0)
     average = total / n if n else 1.0
     many, size = asked.agg(F.count("*"), F.sum(F.size(X.tokens(F.col("t"))))).first()

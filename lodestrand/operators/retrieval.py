@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import random
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -101,20 +101,22 @@ def _signs(dim: int) -> np.ndarray:
     return np.array([1.0 if draw.random() < 0.5 else -1.0 for _ in range(dim)])
 
 
+@lru_cache(maxsize=1 << 20)
+def _placed(gram: str, dim: int) -> tuple[int, float]:
+    """The dimension of a gram and its sign; grams recur, so the digests are kept."""
+    digest = hashlib.blake2b(gram.encode("utf-8"), digest_size=8).digest()
+    at = int.from_bytes(digest, "big") % dim
+    return at, (1.0 if digest[0] & 1 == 0 else -1.0) * _signs(dim)[at]
+
+
 def hash_vector(text: str | None, dim: int) -> np.ndarray:
     """The signed, hashed, log-counted character 2- and 3-grams of a text, of length 1; zero if it has none."""
-    low, out = " ".join((text or "").lower().split()), np.zeros(dim)
-    count: dict[str, int] = {}
-    for width in (2, 3):
-        for i in range(len(low) - width + 1):
-            gram = low[i : i + width]
-            if gram.strip():
-                count[gram] = count.get(gram, 0) + 1
-    signs = _signs(dim)
-    for gram, n in count.items():
-        digest = hashlib.blake2b(gram.encode("utf-8"), digest_size=8).digest()
-        at = int.from_bytes(digest, "big") % dim
-        out[at] += (1.0 if digest[0] & 1 == 0 else -1.0) * (1 + math.log(n)) * signs[at]
+    low = " ".join((text or "").lower().split())
+    count = Counter(g for width in (2, 3) for g in map("".join, zip(*(low[k:] for k in range(width)))) if g != " " * width)
+    if not count:
+        return np.zeros(dim)
+    at, sign = zip(*(_placed(g, dim) for g in count))
+    out = np.bincount(at, np.array(sign) * (1 + np.log(np.fromiter(count.values(), float, len(count)))), dim)
     norm = np.linalg.norm(out)
     return out / norm if norm > 0 else out
 

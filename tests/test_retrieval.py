@@ -96,3 +96,13 @@ def test_offline_models(spark):
     assert got[0]["answer"] == "甲句。 [1]" and "未找到" in got[1]["answer"]
     df = spark.createDataFrame([("q", '"新问题如何"\nx'), ("q", "短"), ("q", None)], "q string, r string")
     assert [r[0] for r in df.select(plugins.accept_rewrite(F.col("q"), F.col("r"))).collect()] == ["新问题如何", "q", "q"]
+
+
+def test_term_counts_agree_whatever_the_number_of_terms(spark, monkeypatch):
+    from lodestrand.operators import keyword_index as K
+
+    docs = spark.createDataFrame([("更换机油 oil 5w",), ("oil oil",), ("",), ("轮胎",)], "index_text string")
+    wanted = spark.createDataFrame([("oil",), ("机油",), ("zzz",), ("轮",)], "token string")
+    few = sorted(map(tuple, K._term_counts(docs, wanted).collect()))
+    monkeypatch.setattr(K, "MOST_ROWS", 1)
+    assert few == sorted(map(tuple, K._term_counts(docs, wanted).collect())) == [("", 3, 14), ("oil", 2, 11), ("机油", 1, 9), ("轮", 1, 3)]
