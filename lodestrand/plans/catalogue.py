@@ -780,6 +780,22 @@ def snippet_lint(spark: SparkSession, folder: str) -> DataFrame:
     return audit.snippet_lint(table(spark, folder, "multi_turn_set"), table(spark, folder, "source_document"), table(spark, folder, "chunk"))
 
 
+@query(f"SELECT chunk_id, section FROM (SELECT DISTINCT chunk_id, section, text FROM chunk) WHERE regexp_matches({sql_strip('text')}, '^(---|\\*\\*\\*)')")
+def rule_led_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that begin with a rule line, so that their section may be the one before."""
+    return audit.mislabelled(table(spark, folder, "chunk").select("chunk_id", "section", "text").distinct())
+
+
+@query("SELECT car_model, display_name FROM vehicle_model WHERE car_model ILIKE '%ke%' OR display_name ILIKE '%ke%'")
+def keyword_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.keyword_search(table(spark, folder, "vehicle_model"), "ke", "car_model", "display_name").select("car_model", "display_name")
+
+
+@query("SELECT status, known, count(*) AS n FROM (" + SQL["ingest_plan"] + ") GROUP BY ALL")
+def ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.counters(ingest_plan(spark, folder))
+
+
 # Windows and streams
 
 
