@@ -202,10 +202,17 @@ def _weight(t: Column) -> Column:
 
 
 def coverage(terms: Column, there: Column) -> Column:
-    """The weight of the terms that are in `there`, of the weight of all; 0 if there are no terms."""
-    add = lambda keep: F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.when(keep(t), _weight(t)).otherwise(F.lit(0.0)))
-    total = add(lambda t: F.lit(True))
-    return F.when(total > 0, add(lambda t: F.array_contains(there, t)) / total).otherwise(F.lit(0.0))
+    """The weight of the terms that are in `there`, of the weight of all; 0 if there are no terms.
+
+    What both hold is intersected first, by hashing, and bound as one element, so that a term is sought among few.
+    """
+
+    def share(held: Column) -> Column:
+        add = lambda keep: F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.when(keep(t), _weight(t)).otherwise(F.lit(0.0)))
+        total = add(lambda t: F.lit(True))
+        return F.when(total > 0, add(lambda t: F.array_contains(held, t)) / total).otherwise(F.lit(0.0))
+
+    return F.element_at(F.transform(F.array(F.array_intersect(terms, there)), share), 1)
 
 
 def rerank(pairs: DataFrame, query: str = "query", text: str = "text", section: str = "section", fusion: str = "fusion") -> DataFrame:
