@@ -177,7 +177,10 @@ def retrieve(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None =
     by_vector = none if mode == "keyword" else recall(vectors.join(rows, "id", "left_semi"), query_vectors.join(asked, "query_id", "left_semi"), many)
     by_words = none if mode == "vector" else keyword_index.search(rows, asked, many, "id", "text", ("section",), "query_id", "query")
     fused = fuse(by_vector, by_words, mode).join(asked, "query_id").join(rows, "id")
-    ranked = rerank(fused, "query", "text", "section")
+    # candidates are few and small but cost much time each, so they must not be put together by their bytes
+    spark = fused.sparkSession
+    wide = fused.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "query_id", "id")
+    ranked = rerank(wide, "query", "text", "section")
     place = Window.partitionBy("query_id")
     order = [F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank"), F.asc("id")]
     ranked = ranked.withColumn("rank", F.row_number().over(place.orderBy(F.desc("score"), *order)))
