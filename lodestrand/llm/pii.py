@@ -38,8 +38,9 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 
 HALF = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F) if chr(c) not in "，；：！？"} | {0x3000: 32, 0xA0: 32, 13: 10, 0x2007: 32, 0x202F: 32}
 SHAPE = HALF | {ord(c): "0" for c in "0123456789"} | {c: "0" for c in range(0xFF10, 0xFF1A)}
-CODE = re.compile(r"[A-Z]+(?=-?0)|(?<=0)[A-Z]+")
-NUMBER = re.compile(r"(?<![\w.+(/@-])(?<!0 )0{1,3}(?:\.0{1,2})?(?![\w./@-]| ?[0(])|(?<=[一-鿿])0{1,3}(?:\.0{1,2})?(?=[^0A-Za-z ./@-]|[KNVm%LMΩk])")
+# These begin with the sign itself, so that the search can leap from one to the next.
+CODE = re.compile(r"[A-Z](?:(?<=0[A-Z])[A-Z]*|[A-Z]*+(?=-?0))")
+NUMBER = re.compile(r"0(?:(?<![\w.+(/@-]0)(?<!0 0)0{0,2}(?:\.0{1,2})?(?![\w./@-]| ?[0(])|(?<=[一-鿿]0)0{0,2}(?:\.0{1,2})?(?=[^0A-Za-z ./@-]|[KNVm%LMΩk]))")
 MAIL = re.compile(r"[A-Za-z0-9_.+-]+(?:\s?@\s?|\s?[(\[{] ?at ?[)\]}]\s?|\sat\s)[A-Za-z0-9-]+(?:(?:\.| ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]+)+", re.I)
 MAIL_SIGN = re.compile(r"[A-Za-z0-9_.+@-]")
 EXTENSION = re.compile(r"ext|[x转]", re.I)

@@ -15,7 +15,9 @@ import numpy as np
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
-BATCH = 384
+BATCH = 768
+#: More than rounding makes of the scores of paths.
+MARGIN = 1.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -65,38 +67,81 @@ class Tagger:
         """Codes (time, batch) of texts in the order of falling lengths, and how many of them reach each time."""
         lengths = np.array([len(t) for t in texts])
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        x = np.zeros((len(texts), lengths[0]), np.int32)
+        x = np.zeros((len(texts), lengths[0]), np.intp)
         x[np.arange(lengths[0]) < lengths[:, None]] = self.table[np.minimum(points, 0x1FFFF)]
         return x.T.copy(), (lengths[:, None] > np.arange(lengths[0])).sum(axis=0)
 
-    def _states(self, d: str, x: np.ndarray, active: np.ndarray) -> np.ndarray:
-        """Hidden states (time, batch, hidden) of one direction over packed codes (time, batch)."""
+    def _scores(self, x: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Scores (time, tags, batch) of packed codes (time, batch); 0 behind a sequence's end.
+
+        Gates lie one behind the other, so each operation goes over memory without gaps. Inputs are
+        scaled so that one exp and one quotient do all gates: sigmoid(x) = 1 / (1 + exp(-x)) and
+        tanh(x) = 2 / (1 + exp(-2x)) - 1; what exp takes beyond all numbers becomes 0 there. The cell is
+        kept as -2 times its value, for the same reason.
+        """
+        n = self.w["fU"].shape[0]
         if self.tables is None:
-            # half of a sigmoid gate's input, as sigmoid(x) = (1 + tanh(x / 2)) / 2; one tanh then does all gates
-            n = self.w["fU"].shape[0]
-            half = np.r_[np.full(3 * n, 0.5), np.ones(n)].astype(np.float32)
-            self.tables = {k: np.ascontiguousarray((self.w["E"] @ self.w[f"{k}W"] + self.w[f"{k}b"]) * half) for k in "fb"}
-            self.tables |= {f"{k}U": np.ascontiguousarray(self.w[f"{k}U"] * half) for k in "fb"}
-        table, u = self.tables[d], self.tables[f"{d}U"]
-        n = u.shape[0]
-        h_all, c_all, s_all = (np.zeros((x.shape[1], n), np.float32) for _ in "hcs")
-        z_all, e_all = (np.empty((x.shape[1], 4 * n), np.float32) for _ in "ze")
-        out = np.zeros((len(x), x.shape[1], n), np.float32)
-        for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            k = active[t]
-            h, c, s, z = h_all[:k], c_all[:k], s_all[:k], z_all[:k]
-            np.matmul(h, u, out=z)
-            z += np.take(table, x[t, :k], axis=0, out=e_all[:k], mode="clip")
-            np.tanh(z, out=z)
-            z[:, : 3 * n] += 1
-            np.multiply(z[:, :n], z[:, 3 * n :], out=s)
-            c *= z[:, n : 2 * n]
-            c += s
-            c *= 0.5
-            np.tanh(c, out=s)
-            s *= z[:, 2 * n : 3 * n]
-            np.multiply(s, 0.5, out=h)
-            out[t, :k] = h
+            scale = np.r_[np.full(3 * n, -1), np.full(n, -2)].astype(np.float32)
+            gates = lambda m: np.ascontiguousarray((m * scale).reshape(-1, 4, n).transpose(1, 0, 2))
+            self.tables = {k: gates(self.w["E"] @ self.w[f"{k}W"] + self.w[f"{k}b"]) for k in "fb"}
+            self.tables |= {f"{k}U": gates(self.w[f"{k}U"]) for k in "fb"}
+        size = x.shape[1]
+        out = np.zeros((len(x), len(TAGS), size), np.float32)
+        over = np.array([1, 1, 1, -4], np.float32)[:, None, None]  # with 2 added, the last is -2 tanh
+        bias = self.w["Ob"][:, None]
+        z_all, e_all = (np.empty(4 * size * n, np.float32) for _ in "ze")
+        h_all, c_all, s_all = (np.empty((size, n), np.float32) for _ in "hcs")
+        part_all = np.empty(len(TAGS) * size, np.float32)
+        with np.errstate(over="ignore"):
+            for d, weights in (("f", self.w["O"][:n].T.copy()), ("b", self.w["O"][n:].T.copy())):
+                table, u = self.tables[d], self.tables[f"{d}U"]
+                h_all[:] = c_all[:] = 0
+                k = -1
+                for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
+                    if k != active[t]:
+                        k = active[t]
+                        h, c, s, part = h_all[:k], c_all[:k], s_all[:k], part_all[: len(TAGS) * k].reshape(-1, k)
+                        z, e = z_all[: 4 * k * n].reshape(4, k, n), e_all[: 4 * k * n].reshape(4, k, n)
+                    np.matmul(h, u, out=z)
+                    z += table.take(x[t, :k], 1, e, "clip")
+                    np.exp(z, out=z)
+                    z += 1
+                    np.divide(over, z, out=z)
+                    np.add(z[3], 2, out=s)
+                    s *= z[0]
+                    c *= z[1]
+                    c += s
+                    np.exp(c, out=s)
+                    s += 1
+                    np.divide(2, s, out=s)
+                    s -= 1
+                    np.multiply(s, z[2], out=h)
+                    np.matmul(weights, h.T, out=part)
+                    np.add(out[t, :, :k] if d == "b" else bias, part, out=out[t, :, :k])
+        return out
+
+    def _open(self, s: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Which sequences of packed scores (time, tags, batch) may hold a span; on the best path of the others every tag is O.
+
+        A path leaves O in runs. What a run gains over O is at most `gain`: by each character the tag's
+        score, less that of O, and the most that any step to the tag gives; by the first character the step from
+        O, or the beginning of the text. Where no run, with the step back to O or the text's end, reaches
+        -MARGIN, none gains anything.
+        """
+        w = self.w
+        steps = w["T"] - w["T"][0, 0]
+        begin, end = ((w[k] - w[k][0])[1:, None].astype(np.float32) for k in "SF")
+        enter, stay = steps[0, 1:, None].astype(np.float32), steps[1:, 1:].max(0)[:, None].astype(np.float32)
+        back = steps[1:, 0].max()
+        last = max(back, end.max())
+        gain, out = np.full(s.shape[2], -np.inf, np.float32), np.zeros(s.shape[2], bool)
+        for t, k in enumerate(active):
+            own, g = s[t, 1:, :k] - s[t, 0, :k], gain[:k]
+            g += (own + stay).max(0)
+            np.maximum(g, (own + (enter if t else begin)).max(0), out=g)
+            out[:k] |= g > -MARGIN - back
+            ends = active[t + 1] if t + 1 < len(active) else 0
+            out[ends:k] |= g[ends:] > -MARGIN - last
         return out
 
     def decode(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -106,13 +151,13 @@ class Tagger:
         for start in range(0, len(ids), BATCH):
             own = ids[start : start + BATCH]
             x, active = self._packed([texts[k] for k in own])
-            n = self.w["fU"].shape[0]
-            s = self._states("f", x, active) @ self.w["O"][:n]
-            s += self._states("b", x, active) @ self.w["O"][n:]
-            s += self.w["Ob"]
-            best = self._best(s, active)
-            for k in np.flatnonzero(best.any(axis=0)):
-                out[own[k]] = _spans(best[: len(texts[own[k]]), k])
+            s = self._scores(x, active)
+            some = np.flatnonzero(self._open(s, active))
+            if len(some):
+                best = self._best(s[: len(texts[own[some[0]]])].take(some, axis=2).transpose(0, 2, 1), np.searchsorted(some, active))
+                for k in np.flatnonzero(best.any(axis=0)):
+                    at = own[some[k]]
+                    out[at] = _spans(best[: len(texts[at]), k])
         return out
 
     def _best(self, s: np.ndarray, active: np.ndarray | None = None) -> np.ndarray:

@@ -112,6 +112,65 @@ def test_neighbours_do_not_matter():
     assert t.decode(texts) == alone and any(alone)
 
 
+def test_best_paths_only_where_a_span_may_be(monkeypatch):
+    """Texts whose scores leave no path but O are not searched for one, and the spans are those of a search in all."""
+    texts = ["更换鼓风机用时约6分钟，所需辅料为油压表一套、淡绿色密封胶87克。", "Lane assist and street mode stay off.", "客户冯棠桐来电反映胎面偏磨。", "Die Bremse vorne schleift seit gestern."] * 5
+    sought, best = [], Tagger._best
+    monkeypatch.setattr(Tagger, "_best", lambda self, s, active=None: sought.append(s.shape[1]) or best(self, s, active))
+    tagger = Tagger.load(pii.MODEL)
+    got = tagger.decode([pii.shorten(pii.shape(t)) for t in texts])
+    assert 5 <= sum(sought) < len(texts) and [bool(g) for g in got] == [k % 4 == 2 for k in range(20)]
+    monkeypatch.setattr(Tagger, "_open", lambda self, s, active: np.ones(s.shape[2], bool))
+    assert tagger.decode([pii.shorten(pii.shape(t)) for t in texts]) == got
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_sequences_not_open_hold_nothing(seed):
+    r = np.random.default_rng(seed)
+    t = Tagger.new("ab", 4, 3)
+    t.w |= {k: (r.normal(size=t.w[k].shape) * 2).astype(np.float32) for k in "TSF"}
+    active = np.sort(r.integers(1, 400, 12))[::-1]
+    s = (r.normal(size=(12, len(TAGS), 400)) * 2).astype(np.float32)
+    s[:, 0] += r.normal(4, 3, 400).astype(np.float32)
+    for step, k in enumerate(active):
+        s[step, :, k:] = 0
+    some, best = t._open(s, active), t._best(s.transpose(0, 2, 1), active)
+    assert not best[:, ~some].any() and 0 < some.sum() < 400
+
+
+@pytest.mark.parametrize("large", [1, 100])
+def test_scores_against_the_plain_formula(large):
+    t = Tagger.new("abcdefgh0 ", 6, 8)
+    r = np.random.default_rng(2)
+    t.w |= {"O": r.normal(size=t.w["O"].shape).astype(np.float32), "Ob": r.normal(size=len(TAGS)).astype(np.float32)}
+    t.w |= {f"{d}W": t.w[f"{d}W"] * np.float32(large) for d in "fb"}
+    texts = ["abc0 hgf" * 3, "a0 fz" * 2, "h"]
+    got, w, n = t._scores(*t._packed(texts)), {k: v.astype(np.float64) for k, v in t.w.items()}, 8
+    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+    for k, text in enumerate(texts):
+        states = []
+        for d in "fb":
+            h, c, own = np.zeros(n), np.zeros(n), []
+            for code in t.codes([text])[0][:: 1 if d == "f" else -1]:
+                z = w["E"][code] @ w[f"{d}W"] + w[f"{d}b"] + h @ w[f"{d}U"]
+                c = sigmoid(z[n : 2 * n]) * c + sigmoid(z[:n]) * np.tanh(z[3 * n :])
+                h = sigmoid(z[2 * n : 3 * n]) * np.tanh(c)
+                own.append(h)
+            states.append(own[:: 1 if d == "f" else -1])
+        scores = np.concatenate(states, 1) @ w["O"] + w["Ob"]
+        assert np.abs(got[: len(text), :, k] - scores).max() < 1e-4 and not got[len(text) :, :, k].any()
+
+
+def test_patterns_that_begin_with_a_sign_match_as_before():
+    code = re.compile(r"[A-Z]+(?=-?0)|(?<=0)[A-Z]+")
+    number = re.compile(r"(?<![\w.+(/@-])(?<!0 )0{1,3}(?:\.0{1,2})?(?![\w./@-]| ?[0(])|(?<=[一-鿿])0{1,3}(?:\.0{1,2})?(?=[^0A-Za-z ./@-]|[KNVm%LMΩk])")
+    r = np.random.default_rng(5)
+    for _ in range(3000):
+        text = "".join(r.choice(list("0000A Z-.+(/@字符KN% x"), 14))
+        assert [m.span() for m in pii.CODE.finditer(text)] == [m.span() for m in code.finditer(text)]
+        assert [m.span() for m in pii.NUMBER.finditer(text)] == [m.span() for m in number.finditer(text)]
+
+
 def test_long_mail_addresses():
     mail = "a" * 60 + "@" + "b" * 70 + ".example.org"
     text = f"an {mail}."
